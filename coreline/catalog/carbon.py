@@ -187,7 +187,7 @@ def legacy_core_correction(s):
 
 
 @query(
-    f"core_no treatment2 {MEAN_SE}",
+    "core_no treatment2 av:5~ sd:4 n:i se:4",
     mean_se_sql(
         f"(SELECT core_no, site_old_name AS treatment2, corrected FROM {_LEGACY.format(depth=50)})",
         "core_no, treatment2", "corrected", "lenient",
@@ -297,7 +297,7 @@ def horizon_accretion(s, *columns):
 
 
 @query(
-    "core_no site site_year_numeric:i site_type_25y total:8 stand_age:2 per_year:6 per_year_shown:6",
+    "core_no site site_year_numeric:i site_type_25y total:8 stand_age:2 per_year:6~ per_year_shown:6~",
     """SELECT core_no, site, site_year_numeric, site_type_25y, total_lenient AS total, stand_age,
               per_year, CASE WHEN site_type_25y = 'Converted' THEN 0 ELSE per_year END AS per_year_shown
        FROM core_horizon""",

@@ -2,7 +2,8 @@
 
 A column list such as ``"site av:4 n:i"`` is applied to the Spark result and to
 the SQL twin alike: ``:4`` rounds to four digits, ``:i`` is a 64-bit integer, a
-bare name passes through.
+bare name passes through.  ``:6~`` adds 1e-9 before rounding to six, so that
+exact ties, which engines break differently, are no ties any more.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from coreline.sources.driver_tables import Survey
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_NUDGE = 1e-9
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
@@ -29,7 +31,9 @@ def _report(df: DataFrame, spec: str) -> DataFrame:
         if kind == "i":
             out.append(F.col(name).cast("bigint").alias(name))
         elif kind:
-            out.append(F.round(F.col(name).cast("double"), int(kind)).alias(name))
+            value = F.col(name).cast("double")
+            value = value + _NUDGE if kind.endswith("~") else value
+            out.append(F.round(value, int(kind.rstrip("~"))).alias(name))
         else:
             out.append(F.col(name))
     return df.select(*out)
@@ -41,7 +45,8 @@ def _report_sql(sql: str, spec: str) -> str:
         if kind == "i":
             out.append(f"CAST({name} AS BIGINT) AS {name}")
         elif kind:
-            out.append(f"round(CAST({name} AS DOUBLE), {kind}) AS {name}")
+            nudge = f" + {_NUDGE!r}" if kind.endswith("~") else ""
+            out.append(f"round(CAST({name} AS DOUBLE){nudge}, {kind.rstrip('~')}) AS {name}")
         else:
             out.append(name)
     return with_views(f"SELECT {', '.join(out)} FROM ({sql}) AS result")

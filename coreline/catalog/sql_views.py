@@ -94,12 +94,14 @@ VIEWS = {
                CASE WHEN count(carbon_stock) = count(*) THEN sum(carbon_stock) END AS total
         FROM carbon WHERE depth_to <= 50 GROUP BY ALL""",
     "core_horizon": """
-        SELECT site_core, core_no, site, site_short, site_type, site_type_25y, site_year_numeric,
-               CASE WHEN count(stock_to_horizon) = count(*) THEN sum(stock_to_horizon) END AS total,
-               coalesce(sum(stock_to_horizon), 0) AS total_lenient,
-               2017 - site_year_numeric AS stand_age,
-               coalesce(sum(stock_to_horizon), 0) / (2017 - site_year_numeric) AS per_year
-        FROM clipped GROUP BY ALL""",
+        SELECT *, 2017 - site_year_numeric AS stand_age,
+               total_lenient / (2017 - site_year_numeric) AS per_year
+        FROM (SELECT site_core, core_no, site, site_short, site_type, site_type_25y,
+                     site_year_numeric,
+                     CASE WHEN count(stock_to_horizon) = count(*)
+                          THEN sum(stock_to_horizon) END AS total,
+                     coalesce(sum(stock_to_horizon), 0) AS total_lenient
+              FROM clipped GROUP BY ALL)""",
     "rehabilitated_both": """
         SELECT p.site, c.site_type, c.per_year AS soil_per_year, p.plant_per_year,
                c.per_year + p.plant_per_year AS combined,

@@ -32,7 +32,7 @@ def _brackets(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy:
         n_rows().alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [F.lit(p) for p in wanted], F.lit(accuracy)).alias("_s"),
+        F.percentile_approx("_v", wanted, accuracy).alias("_s"),
     )
     few = F.col("_n") <= accuracy
     k = len(probs)

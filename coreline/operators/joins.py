@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,14 +15,36 @@ BROADCAST_ROWS = 100_000
 HOT_ROWS = 5_000_000
 
 
-def broadcast_checked(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if ``dim`` has at most ``max_rows`` rows.
+_CHECKED: WeakKeyDictionary = WeakKeyDictionary()
+_COUNTED_BY: WeakKeyDictionary = WeakKeyDictionary()
 
-    The count stops after ``max_rows + 1`` rows.  A larger side gets no hint:
-    Spark then shuffles both sides and splits hot keys adaptively.
+
+def counted_by(dim: DataFrame, source: DataFrame) -> DataFrame:
+    """State that ``dim`` has no more rows than ``source``, which is cheaper to count."""
+    _COUNTED_BY[dim] = source
+    return dim
+
+
+def at_most(dim: DataFrame, max_rows: int) -> bool:
+    """Whether ``dim`` has at most ``max_rows`` rows.
+
+    The count stops after ``max_rows + 1`` rows and the answer is kept per DataFrame.
+    """
+    dim = _COUNTED_BY.get(dim, dim)
+    checked = _CHECKED.setdefault(dim, {})
+    if max_rows not in checked:
+        checked[max_rows] = dim.limit(max_rows + 1).count() <= max_rows
+    return checked[max_rows]
+
+
+def broadcast_checked(dim: DataFrame, columns: Sequence[str], max_rows: int = BROADCAST_ROWS):
+    """The named columns, with a broadcast hint if ``dim`` is small enough.
+
+    A larger side gets no hint: Spark then shuffles both sides and splits hot
+    keys adaptively.
     """
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(dim) if small else dim
+    side = dim.select(*columns)
+    return F.broadcast(side) if at_most(dim, max_rows) else side
 
 
 def join_dim(
@@ -39,8 +62,7 @@ def join_dim(
     clash = sorted(set(columns) & set(fact.columns))
     if clash:
         raise ValueError(f"rename or drop before the join: {clash}")
-    side = dim.select(on, *columns)
-    return fact.join(broadcast_checked(side, max_rows), on, "left")
+    return fact.join(broadcast_checked(dim, [on, *columns], max_rows), on, "left")
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

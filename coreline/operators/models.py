@@ -11,7 +11,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreline.functions.nullsafe import n_rows
@@ -259,20 +260,20 @@ def lmm_profile_terms(sites: DataFrame, ratios: Sequence[float], ref: str) -> Da
     )
 
 
-def _best_ratio(sites: DataFrame) -> float:
-    """Minimise the profiled deviance; only grid rows come back each round."""
-    def lowest(grid):
-        rows = lmm_profile(sites, grid).orderBy("deviance", "ratio").limit(1).collect()
-        return grid.index(rows[0]["ratio"])
+def _best_ratio(sites: DataFrame) -> tuple[float, float]:
+    """Ratio and residual variance at the lowest profiled deviance.
 
-    grid = [0.0] + [10.0 ** (e / 4) for e in range(-32, 33)]
-    for _ in range(6):
-        i = lowest(grid)
+    Each round evaluates a grid in one Spark job and zooms in on its lowest
+    point; a single row comes back per round.
+    """
+    grid = [0.0] + [10.0 ** (e / 8) for e in range(-64, 65)]
+    while True:
+        best = lmm_profile(sites, grid).orderBy("deviance", "ratio").first()
+        i = grid.index(best["ratio"])
         lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
-        if hi - lo <= 1e-7 * max(hi, 1e-7):
-            break
-        grid = [lo + (hi - lo) * k / 40 for k in range(41)]
-    return grid[lowest(grid)]
+        if hi - lo <= 1e-5 * max(hi, 1e-5):
+            return best["ratio"], best["sigma2"]
+        grid = [lo + (hi - lo) * k / 128 for k in range(129)]
 
 
 def _variance_sums(sites: DataFrame, s: float, tau: float) -> list:
@@ -339,8 +340,7 @@ def lmm_random_intercept(
     """
     spark = df.sparkSession
     sites = cut_lineage(site_statistics(df, fixed, site, y))
-    ratio = _best_ratio(sites)
-    sigma2 = lmm_profile(sites, [ratio]).collect()[0]["sigma2"]
+    ratio, sigma2 = _best_ratio(sites)
     tau = ratio * sigma2
     rows = {r["level"]: r for r in _variance_sums(sites, sigma2, tau)}
     n = sum(r["n"] for r in rows.values())
@@ -364,12 +364,10 @@ def lmm_random_intercept(
         name = "(Intercept)" if level == ref else f"{fixed}{level}"
         return (name, estimate, se, estimate / se, float(freedom), sigma2, tau)
 
+    names = ("term", "estimate", "se", "t", "df", "sigma2", "site_variance")
     ordered = [ref] + sorted(k for k in rows if k != ref)
-    return spark.createDataFrame(
-        [term(k) for k in ordered],
-        "term string, estimate double, se double, t double, df double, "
-        "sigma2 double, site_variance double",
-    )
+    columns = zip(*[term(k) for k in ordered])
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, columns)))))
 
 
 def model_table(models: dict[str, DataFrame], level: float = 0.95) -> DataFrame:

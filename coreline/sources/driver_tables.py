@@ -10,23 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coreline.constants import CONVERTED, DEFAULTS, ESTABLISHED, REHABILITATED
-from coreline.operators.joins import broadcast_checked
+from coreline.operators.joins import broadcast_checked, counted_by
 from coreline.runtime import configure
 from coreline.sources.rates import DATED_RATES, values_sql
 
 
+# Columns in use; a stated schema saves the pass that infers one.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+    "l_linestatus string",
+}
+
+
 class Survey:
     """Slices, plots, sites and rates of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
         self.folder = folder.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, build) -> DataFrame:
+        # One DataFrame object per lookup, so its size is checked once.
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def sites(self) -> DataFrame:
         """One row per site; ``site_no`` is the join key inside this mapping."""
+        return self._once("sites", self._sites)
+
+    def rates(self) -> DataFrame:
+        """The literal dated rates, keyed by site in rotation."""
+        return self._once("rates", self._rates)
+
+    def _sites(self) -> DataFrame:
         number = F.col("n_nationkey")
         kind = (
             F.when(F.col("r_name") == "AFRICA", CONVERTED)
@@ -39,7 +66,7 @@ class Survey:
         )
         nation = self.table("nation")
         region = self.table("region").withColumnRenamed("r_regionkey", "n_regionkey")
-        return nation.join(broadcast_checked(region), "n_regionkey").select(
+        sites = nation.join(region, "n_regionkey").select(
             number.alias("site_no"),
             F.replace("n_name", F.lit("_"), F.lit("")).alias("site"),
             F.concat(F.lit("S"), number.cast("string")).alias("site_short"),
@@ -58,34 +85,51 @@ class Survey:
             .when(number % 5 == 3, 6.5)
             .alias("horizon_cm"),
         )
+        return counted_by(sites, nation)
 
-    def rates(self) -> DataFrame:
-        """The literal dated rates, keyed by site in rotation."""
+    def _rates(self) -> DataFrame:
         keyed = [(i, mar, se) for i, (_, mar, se) in enumerate(DATED_RATES)]
         literal = self.spark.sql(
             f"SELECT * FROM VALUES {values_sql(keyed)} AS rates(slot, mar, mar_se)"
         )
-        sites = self.sites().select("site", (F.col("site_no") % len(keyed)).alias("slot"))
-        return sites.join(broadcast_checked(literal), "slot").select("site", "mar", "mar_se")
+        nation = self.table("nation").select(
+            F.replace("n_name", F.lit("_"), F.lit("")).alias("site"),
+            (F.col("n_nationkey") % len(keyed)).alias("slot"),
+        )
+        rates = nation.join(literal, "slot").select("site", "mar", "mar_se")
+        return counted_by(rates, nation)
 
-    def cores(self) -> DataFrame:
-        """Which site each core belongs to: keys only."""
+    def _owned(self, orders: DataFrame) -> DataFrame:
+        """Rows with ``o_custkey`` and the number of their site instead."""
         owner = self.table("customer").select(
             F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("site_no")
         )
-        return (
-            self.table("orders")
-            .select(F.col("o_orderkey").alias("core_no"), "o_custkey")
-            .join(owner, "o_custkey")
-            .select("core_no", "site_no")
+        return orders.join(owner, "o_custkey").drop("o_custkey")
+
+    def cores(self) -> DataFrame:
+        """Which site each core belongs to: keys only."""
+        return self._owned(
+            self.table("orders").select(F.col("o_orderkey").alias("core_no"), "o_custkey")
         )
 
     def raw_slices(self) -> DataFrame:
         """Slice measurements by core number, all habitats."""
+        return self._as_slices(self.table("lineitem"))
+
+    def slices(self) -> DataFrame:
+        """Slices of the assessed habitats, by core number.
+
+        The habitat test is put on stored columns, so that the scan applies it.
+        """
+        assessed = (F.col("l_returnflag") != "R") | (F.col("l_linestatus") != "F")
+        return self._as_slices(self.table("lineitem").filter(assessed))
+
+    @staticmethod
+    def _as_slices(lineitem: DataFrame) -> DataFrame:
         below = F.col("l_linenumber")
         measured = F.col("l_quantity") != 13
         saltmarsh = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-        return self.table("lineitem").select(
+        return lineitem.select(
             F.col("l_orderkey").alias("core_no"),
             F.when(saltmarsh, DEFAULTS.excluded_treatment).otherwise("Mangrove").alias("treatment"),
             ((below - 1) * F.lit(10.0)).alias("depth_from"),
@@ -99,27 +143,26 @@ class Survey:
             F.when(measured, F.col("l_extendedprice") / 1000).alias("section_stock"),
         )
 
-    def slices(self) -> DataFrame:
-        """Slices of the assessed habitats, by core number."""
-        return self.raw_slices().filter(F.col("treatment") != DEFAULTS.excluded_treatment)
+    def _at_sites(self, rows: DataFrame, *columns: str) -> DataFrame:
+        wanted = list(dict.fromkeys(["site_no", "site", *columns]))
+        sites = broadcast_checked(self.sites(), wanted)
+        return rows.join(sites, "site_no").withColumn(
+            "site_core", F.concat_ws("_", "site", F.col("core_no").cast("string"))
+        )
 
     def locate(self, by_core: DataFrame, *columns: str) -> DataFrame:
         """Attach site columns (and ``site_core``) to rows keyed by core number."""
-        sites = self.sites().select("site_no", "site", *[c for c in columns if c != "site"])
-        return (
-            by_core.join(self.cores(), "core_no")
-            .join(broadcast_checked(sites), "site_no")
-            .withColumn("site_core", F.concat_ws("_", "site", F.col("core_no").cast("string")))
-        )
+        return self._at_sites(by_core.join(self.cores(), "core_no"), *columns)
 
     def plots(self) -> DataFrame:
         """One vegetation plot per order."""
         unmeasured = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
         biomass = self.table("orders").select(
             F.col("o_orderkey").alias("core_no"),
+            "o_custkey",
             F.when(~unmeasured, F.col("o_totalprice") / 100).alias("biomass_kg"),
         )
-        return self.locate(biomass, "site_short", "site_old_name").select(
+        return self._at_sites(self._owned(biomass), "site_short", "site_old_name").select(
             "core_no",
             "site",
             "site_short",
