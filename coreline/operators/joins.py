@@ -144,7 +144,7 @@ def join_many_to_one(
     hot_keys = F.broadcast(counts.select(key))
     columns = [key, *[c for c in many.columns if c != key], *[c for c in one.columns if c != key]]
     hot = many.join(hot_keys, key, "left_semi").join(
-        F.broadcast(one.join(hot_keys, key, "left_semi")), key, "left"
+        F.broadcast(one.join(hot_keys, key, "left_semi")), key, "left" if how == "left" else "inner"
     )
     cold_many = many.join(hot_keys, key, "left_anti")
     cold_one = one.join(hot_keys, key, "left_anti") if how == "right" else one
