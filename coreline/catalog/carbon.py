@@ -183,7 +183,7 @@ _LEGACY = """(SELECT *, core_total * (100 - (depth_to / compaction - depth_to) /
 )
 def legacy_core_correction(s):
     """Depth-percentage correction, averaged over the slices of each site."""
-    return C.legacy_core_correction(s.locate(s.slices()), "core_no", "site")
+    return C.legacy_core_correction(s.locate(C.legacy_core_moments(s.slices(), "core_no")), "site")
 
 
 @query(
@@ -195,7 +195,8 @@ def legacy_core_correction(s):
 )
 def legacy_core_correction_50cm(s):
     """The older correction per core for the top 50 cm."""
-    by_core = C.legacy_core_correction(s.slices(), "core_no", "core_no", 50.0)
+    moments = C.legacy_core_moments(s.slices(), "core_no", 50.0)
+    by_core = C.legacy_core_correction(moments, "core_no")
     return s.locate(by_core, "site_old_name").withColumnRenamed("site_old_name", "treatment2")
 
 
@@ -262,7 +263,7 @@ def site_effect_table(s):
 # --- accretion ----------------------------------------------------------------
 
 @query(
-    "site site_year_numeric:i site_type mean_car:6 n_car:i sd_car:6 se_car:6",
+    "site site_year_numeric:i site_type mean_car:5 n_car:i sd_car:5 se_car:5",
     """SELECT *, sd_car / sqrt(n_car) AS se_car FROM (
          SELECT site, site_year_numeric, site_type, avg(rate) AS mean_car, count(*) AS n_car,
                 stddev_samp(rate) AS sd_car
@@ -272,11 +273,10 @@ def site_effect_table(s):
 )
 def accretion_dated(s):
     """Accretion from dated rates, per site."""
-    located = s.locate(s.slices(), "site_year_numeric", "site_type").filter(
-        F.col("site_type") != "Converted"
-    )
-    rated = join_dim(located, s.rates(), "site", ["mar"])
-    return C.accretion_dated(rated, ["site", "site_year_numeric", "site_type"])
+    by = ["site", "site_year_numeric", "site_type"]
+    cores = s.locate(C.carbon_moments(s.slices(), "core_no"), *by)
+    rated = join_dim(cores.filter(F.col("site_type") != "Converted"), s.rates(), "site", ["mar"])
+    return C.accretion_dated(rated, by)
 
 
 @query(

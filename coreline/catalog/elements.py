@@ -7,7 +7,7 @@ from coreline.catalog.sql_views import mean_se_sql, number_sql
 from coreline.constants import ESTABLISHED, REHABILITATED
 from coreline.functions.nullsafe import ifelse_na
 from coreline.operators import reshape
-from coreline.operators.joins import join_dim, join_many_to_one
+from coreline.operators.joins import counted_by, join_dim, join_many_to_one
 from coreline.operators.summary import mean_se
 from coreline.plans import cores as C
 from coreline.plans import plots as P
@@ -260,6 +260,7 @@ def join_rates(s):
     """Site dimension with its dated rates and number of cores."""
     sites = join_dim(s.sites(), s.rates(), "site", ["mar", "mar_se"])
     per_site = s.cores().groupBy("site_no").agg(F.count(F.lit(1)).alias("cores"))
+    per_site = counted_by(per_site, s.sites())
     return join_dim(sites, per_site, "site_no", ["cores"]).fillna(0, ["cores"])
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from coreline.catalog.registry import query
 from coreline.catalog.sql_views import box_sql, mean_se_sql, multi_measure_sql
 from coreline.constants import ESTABLISHED, REHABILITATED
-from coreline.functions.nullsafe import n_rows, sum_strict, weighted_mean
+from coreline.functions.nullsafe import n_rows, sum_strict
 from coreline.operators import boxstats, summary
 from coreline.operators.joins import attach_group_total, join_dim
 from coreline.plans import cores as C
@@ -88,9 +88,9 @@ def weighted_mean_query(s):
     cores = C.core_accretion(
         horizon_slices(s, "site_year_numeric"), ["core_no", "site", "site_year_numeric"]
     )
-    plain = summary.weighted_summary(cores, "site", "per_year")
-    weighted = cores.groupBy("site").agg(weighted_mean("per_year", "stand_age").alias("av_by_length"))
-    return plain.join(weighted, "site")
+    return summary.weighted_summary(
+        cores, "site", "per_year", also={"av_by_length": "stand_age"}
+    )
 
 
 @query(
@@ -292,8 +292,8 @@ def window_total(s):
 )
 def window_mean_reagg(s):
     """Core mean rate counted once per slice, summarised by type."""
-    rated = join_dim(s.locate(s.slices(), "site_type"), s.rates(), "site", ["mar"])
-    return C.accretion_dated_shallow(rated, "core_no", "site_type")
+    cores = s.locate(C.shallow_core_moments(s.slices(), "core_no"), "site_type")
+    return C.accretion_dated_shallow(join_dim(cores, s.rates(), "site", ["mar"]), "site_type")
 
 
 @query(

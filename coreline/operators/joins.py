@@ -28,12 +28,13 @@ def counted_by(dim: DataFrame, source: DataFrame) -> DataFrame:
 def at_most(dim: DataFrame, max_rows: int) -> bool:
     """Whether ``dim`` has at most ``max_rows`` rows.
 
-    The count stops after ``max_rows + 1`` rows and the answer is kept per DataFrame.
+    Reading stops one row after that; the answer is kept per DataFrame.
     """
-    dim = _COUNTED_BY.get(dim, dim)
+    while dim in _COUNTED_BY:
+        dim = _COUNTED_BY[dim]
     checked = _CHECKED.setdefault(dim, {})
     if max_rows not in checked:
-        checked[max_rows] = dim.limit(max_rows + 1).count() <= max_rows
+        checked[max_rows] = dim.offset(max_rows).isEmpty()
     return checked[max_rows]
 
 

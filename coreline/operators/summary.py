@@ -106,52 +106,64 @@ def multi_measure(
     )
 
 
-def weighted_summary(df: DataFrame, keys, value, weight=None) -> DataFrame:
-    """Weighted mean with lenient SD, N over all rows, and SE."""
+def weighted_summary(
+    df: DataFrame, keys, value, weight=None, also: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Weighted mean with lenient SD, N over all rows, and SE.
+
+    ``also`` names further means of the same value under other weights.
+    """
+    others = [weighted_mean(value, w).alias(name) for name, w in (also or {}).items()]
     return (
         df.groupBy(*_keys(keys))
         .agg(
             weighted_mean(value, weight).alias("av"),
             sd_lenient(value).alias("sd"),
             n_rows().alias("n"),
+            *others,
         )
         .withColumn("se", standard_error("sd", "n"))
     )
 
 
-def repeated_group_summary(
-    df: DataFrame, inner_keys, outer_keys, constant: Column, factor: Column | None = None
-) -> DataFrame:
-    """Lenient mean, SD, N and SE of ``constant * factor`` over all rows.
+def group_moments(df: DataFrame, keys, value: Column | str | None = None, **aggregates) -> DataFrame:
+    """Reduce each group to the count, mean and variance of ``value``.
+
+    Together with further aggregates of the group, these are enough for
+    :func:`merge_moments` to summarise ``value`` times any quantity that is
+    constant within the group, so the rows themselves never move again.
+    ``value`` defaults to 1.
+    """
+    value = F.lit(1.0) if value is None else as_column(value)
+    return df.groupBy(*_keys(keys)).agg(
+        n_rows().alias("m_rows"),
+        F.count(value).alias("m_present"),
+        F.avg(value).alias("m_mean"),
+        F.var_pop(value).alias("m_var"),
+        *[a.alias(name) for name, a in aggregates.items()],
+    )
+
+
+def merge_moments(moments: DataFrame, keys, scale: Column | str) -> DataFrame:
+    """Lenient mean, SD, N and SE of ``value * scale`` over all original rows.
 
-    ``constant`` is an aggregate that every row of its inner group would carry;
-    ``factor`` varies by row.  Instead of attaching the constant to each row,
-    each inner group is reduced to its count, mean and sum of squares, and the
-    outer group combines those, so no task ever holds a whole inner group.
+    Each row of ``moments`` is one inner group; ``scale`` is its constant.
     """
-    factor = F.lit(1.0) if factor is None else factor
-    outer = _keys(outer_keys)
-    inner = list(dict.fromkeys(outer + _keys(inner_keys)))
-    parts = df.groupBy(*inner).agg(
-        constant.alias("_c"),
-        n_rows().alias("_rows"),
-        F.count(factor).alias("_present"),
-        F.avg(factor).alias("_mean"),
-        F.var_pop(factor).alias("_var"),
-    ).select(
-        *outer,
-        "_rows",
-        F.when(F.col("_c").isNotNull(), F.col("_present")).otherwise(0).alias("_k"),
-        (F.col("_c") * F.col("_mean")).alias("_m"),
-        (F.col("_present") * F.col("_c") * F.col("_c") * F.col("_var")).alias("_within"),
+    scale = as_column(scale)
+    parts = moments.select(
+        *_keys(keys),
+        "m_rows",
+        F.when(scale.isNotNull(), F.col("m_present")).otherwise(0).alias("_k"),
+        (scale * F.col("m_mean")).alias("_m"),
+        (F.col("m_present") * scale * scale * F.col("m_var")).alias("_within"),
     )
     k, m = F.col("_k"), F.col("_m")
-    merged = parts.groupBy(*outer).agg(
+    merged = parts.groupBy(*_keys(keys)).agg(
         F.try_divide(F.sum(k * m), F.sum(k)).alias("av"),
         F.sum("_within").alias("_within"),
         F.sum(k * m * m).alias("_square"),
         F.sum(k).alias("_k"),
-        F.sum("_rows").alias("n"),
+        F.sum("m_rows").alias("n"),
     )
     spread = F.col("_within") + F.col("_square") - F.col("_k") * F.col("av") * F.col("av")
     return (
@@ -160,7 +172,7 @@ def repeated_group_summary(
             F.when(F.col("_k") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("_k") - 1))),
         )
         .withColumn("se", standard_error("sd", "n"))
-        .select(*outer, "av", "sd", "n", "se")
+        .select(*_keys(keys), "av", "sd", "n", "se")
     )
 
 

@@ -8,18 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coreline.constants import CONVERTED, DEFAULTS, Constants
-from coreline.functions.nullsafe import (
-    ifelse_na,
-    mean_strict,
-    sd_lenient,
-    sum_strict,
-    try_number,
-    weighted_mean,
-    n_rows,
-)
+from coreline.functions.nullsafe import ifelse_na, mean_strict, sum_strict, try_number
 from coreline.operators.joins import join_dim
 from coreline.operators.reshape import level_order, split_key
-from coreline.operators.summary import group_sum, mean_se, percent_of, repeated_group_summary
+from coreline.operators.summary import (
+    group_moments,
+    group_sum,
+    mean_se,
+    merge_moments,
+    percent_of,
+)
 
 
 def slice_carbon(slices: DataFrame, constants: Constants = DEFAULTS) -> DataFrame:
@@ -128,49 +126,52 @@ def legacy_depth_percent() -> Column:
     return 100 - F.try_divide(corrected - F.col("depth_to"), F.col("depth_to")) * 100
 
 
-def legacy_core_correction(
-    slices: DataFrame, core: str, by, max_depth: float = 100.0
-) -> DataFrame:
-    """Older method: core total times each slice's depth percentage, averaged
-    over the slices of a group (N counts slices)."""
-    return repeated_group_summary(
+def legacy_core_moments(slices: DataFrame, core, max_depth: float = 100.0) -> DataFrame:
+    """Per core: strict section total, and moments of the slices' kept share."""
+    return group_moments(
         slices.filter(F.col("depth_to") <= max_depth),
         core,
-        by,
-        constant=sum_strict("section_stock"),
-        factor=legacy_depth_percent() / 100,
+        legacy_depth_percent() / 100,
+        core_total=sum_strict("section_stock"),
     )
 
 
+def legacy_core_correction(moments: DataFrame, by) -> DataFrame:
+    """Older method: core total times each slice's depth percentage, averaged
+    over the slices of a group (N counts slices)."""
+    return merge_moments(moments, by, "core_total")
+
+
 def dated_rate() -> Column:
     """Carbon accretion (Mg/ha/y) of a slice from its carbon share and dated rate."""
     return F.col("c_perc") / 100 * F.col("mar") * 100
 
 
-def accretion_dated(slices: DataFrame, by) -> DataFrame:
-    """Mean dated accretion over slices; needs ``mar`` on each slice."""
-    rated = slices.withColumn("rate", dated_rate())
-    return (
-        rated.groupBy(*([by] if isinstance(by, str) else by))
-        .agg(
-            weighted_mean("rate").alias("mean_car"),
-            n_rows().alias("n_car"),
-            sd_lenient("rate").alias("sd_car"),
-        )
-        .withColumn("se_car", F.col("sd_car") / F.sqrt("n_car"))
+def carbon_moments(slices: DataFrame, core) -> DataFrame:
+    """Per core: moments of the carbon percentage over its slices."""
+    return group_moments(slices, core, "c_perc")
+
+
+def accretion_dated(moments: DataFrame, by) -> DataFrame:
+    """Mean dated accretion over slices, from core moments with ``mar``.
+
+    The rate is the same throughout a core, so it scales the core's moments.
+    """
+    return merge_moments(moments, by, "mar").withColumnsRenamed(
+        {"av": "mean_car", "sd": "sd_car", "n": "n_car", "se": "se_car"}
     )
 
 
-def accretion_dated_shallow(
-    slices: DataFrame, core: str, by, max_depth: float = 30.0, constants: Constants = DEFAULTS
-) -> DataFrame:
-    """Shallow variant: strict core mean counted once per slice, with CO2."""
-    out = repeated_group_summary(
-        slices.filter(F.col("depth_to") <= max_depth),
-        core,
-        by,
-        constant=mean_strict(F.col("c_perc") / 100 * F.col("mar")) * 100,
+def shallow_core_moments(slices: DataFrame, core, max_depth: float = 30.0) -> DataFrame:
+    """Per core: slices down to ``max_depth`` and their strict mean carbon percentage."""
+    return group_moments(
+        slices.filter(F.col("depth_to") <= max_depth), core, core_mean=mean_strict("c_perc")
     )
+
+
+def accretion_dated_shallow(moments: DataFrame, by, constants: Constants = DEFAULTS) -> DataFrame:
+    """Shallow variant: the core mean rate counted once per slice, with CO2."""
+    out = merge_moments(moments, by, F.col("core_mean") * F.col("mar"))
     return out.withColumns(
         {
             "av_co2": F.col("av") * constants.carbon_to_co2,

@@ -94,7 +94,7 @@ def test_percent_of_reference(slices, sites):
 
 
 def test_legacy_correction_counts_slices(slices):
-    got = rows(C.legacy_core_correction(slices, "site_core", "site"), "site")
+    got = rows(C.legacy_core_correction(C.legacy_core_moments(slices, ["site", "site_core"]), "site"), "site")
     brute = {}
     core = {}
     shallow = [r for r in slices.collect() if r.depth_to <= 100]
@@ -134,11 +134,15 @@ def test_dated_accretion(slices, spark):
 
     rates = dated_rates(spark)
     assert rates.count() == 13
-    rated = join_dim(slices, rates, "site", ["mar"])
-    got = {r["site"]: r for r in rows(C.accretion_dated(rated, "site"), "site")}
+    def rated(moments):
+        return join_dim(moments, rates, "site", ["mar"])
+
+    core = ["site", "site_core"]
+    got = rows(C.accretion_dated(rated(C.carbon_moments(slices, core)), "site"), "site")
+    got = {r["site"]: r for r in got}
     assert got["MRPL"]["mean_car"] is None and got["MRPL"]["n_car"] == 10
     carbon = [r.c_perc for r in slices.filter("site = 'MRAP'").collect()]
     assert got["MRAP"]["mean_car"] == pytest.approx(0.32 * sum(carbon) / 10)
-    shallow = C.accretion_dated_shallow(rated, "site_core", "site").collect()
+    shallow = C.accretion_dated_shallow(rated(C.shallow_core_moments(slices, core)), "site").collect()
     r = next(r for r in shallow if r.site == "MRAP")
     assert r.n == 6 and r.av_co2 == pytest.approx(r.av * 3.67)

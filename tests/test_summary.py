@@ -55,7 +55,7 @@ def test_null_keys_form_a_group(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_group_summary_equals_attaching_to_every_row(spark, seed):
+def test_moments_equal_attaching_to_every_row(spark, seed):
     rng = np.random.default_rng(seed)
     n = 600
     # one core holds a third of all rows
@@ -68,22 +68,25 @@ def test_repeated_group_summary_equals_attaching_to_every_row(spark, seed):
     total = frame.groupby("core")["x"].transform(lambda v: v.sum(skipna=False))
     frame["value"] = total * frame["p"]
     want = frame.groupby("site")["value"].agg(["mean", "std", "size"])
-    got = rows(S.repeated_group_summary(df, "core", "site", sum_strict("x"), F.col("p")), "site")
+    moments = S.group_moments(df, ["site", "core"], "p", total=sum_strict("x"))
+    got = rows(S.merge_moments(moments, "site", "total"), "site")
     assert [r["n"] for r in got] == want["size"].tolist()
     np.testing.assert_allclose([r["av"] for r in got], want["mean"], rtol=1e-10)
     np.testing.assert_allclose([r["sd"] for r in got], want["std"], rtol=1e-8)
 
     frame["value"] = frame.groupby("core")["x"].transform(lambda v: v.mean(skipna=False))
     want = frame.groupby("site")["value"].agg(["mean", "std", "size"])
-    got = rows(S.repeated_group_summary(df, "core", "site", mean_strict("x")), "site")
+    moments = S.group_moments(df, ["site", "core"], total=mean_strict("x"))
+    got = rows(S.merge_moments(moments, "site", F.col("total")), "site")
     np.testing.assert_allclose([r["av"] for r in got], want["mean"], rtol=1e-10)
     np.testing.assert_allclose([r["sd"] for r in got], want["std"], rtol=1e-8)
 
 
-def test_repeated_group_summary_with_nothing_present(spark):
+def test_moments_with_nothing_present(spark):
     df = spark.createDataFrame([("s", "c", None, 1.0), ("s", "c", 2.0, None)],
                                "site string, core string, x double, p double")
-    got = S.repeated_group_summary(df, "core", "site", sum_strict("x"), F.col("p")).collect()[0]
+    moments = S.group_moments(df, ["site", "core"], "p", total=sum_strict("x"))
+    got = S.merge_moments(moments, "site", "total").collect()[0]
     assert (got.av, got.sd, got.n, got.se) == (None, None, 2, None)
 
 
@@ -96,3 +99,9 @@ def test_attach_range_and_band(spark):
     lo_hi = S.bounds(spark.createDataFrame([(4.0, 1.5)], "av double, se double")).collect()[0]
     assert (lo_hi.lo, lo_hi.hi) == (2.5, 5.5)
     assert S.value_range(df, ["x"]).collect()[0].asDict() == {"min_x": 1.0, "max_x": 5.0}
+
+
+def test_weighted_summary_under_several_weights(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (4.0, 3.0), (None, 9.0)], "x double, w double")
+    got = S.weighted_summary(df, [], "x", also={"by_w": "w"}).collect()[0]
+    assert (got.av, got.by_w, got.n) == (2.5, 3.25, 3)
