@@ -12,7 +12,7 @@ from coreline.catalog.summaries import (
     horizon_totals,
     rehabilitated_both,
 )
-from coreline.constants import ESTABLISHED, REHABILITATED, TYPE_LEVELS
+from coreline.constants import ESTABLISHED, REHABILITATED, REHABILITATED_YOUNG, TYPE_LEVELS
 from coreline.operators import boxstats, reshape, summary
 from coreline.operators.joins import join_dim
 from coreline.plans import cores as C
@@ -120,6 +120,21 @@ def pct_of_reference_plant(s):
     return C.percent_of_reference(plots, reference, REHABILITATED, "plant_c")
 
 
+@query(
+    MEAN_SE,
+    mean_se_sql(
+        f"""(SELECT av AS site_mean FROM ({mean_se_sql(
+            "core_100", "site", "total", "lenient", "site_type = 'Established'")}))""",
+        "", "site_mean", "lenient",
+    ),
+)
+def reference_of_site_means(s):
+    """Mean over the reference sites' means (N counts sites)."""
+    totals = core_totals(s, "site_type").filter(F.col("site_type") == ESTABLISHED)
+    means = summary.mean_se(totals, "site", "total", "lenient")
+    return summary.mean_se(means.select(F.col("av").alias("site_mean")), [], "site_mean", "lenient")
+
+
 # --- plots --------------------------------------------------------------------
 
 @query(
@@ -168,6 +183,19 @@ def plot_carbon_box(s):
     return boxstats.box_stats(located_plots(s, "site_type_25y"), ["site_type_25y"], "plant_c")
 
 
+@query(
+    "site_type remnant_plant:4",
+    f"""SELECT site_type, avg(av) AS remnant_plant
+        FROM ({mean_se_sql("plants", "site, site_type", "plant_c", "mixed", "site_type = 'Established'")})
+        GROUP BY site_type""",
+)
+def plot_reference_line(s):
+    """Mean of the reference sites' plant carbon means."""
+    plots = located_plots(s, "site_type").filter(F.col("site_type") == ESTABLISHED)
+    means = summary.mean_se(plots, ["site", "site_type"], "plant_c", "mixed")
+    return means.groupBy("site_type").agg(F.avg("av").alias("remnant_plant"))
+
+
 # --- older core method --------------------------------------------------------
 
 _LEGACY = """(SELECT *, core_total * (100 - (depth_to / compaction - depth_to) / depth_to * 100) / 100
@@ -183,7 +211,7 @@ _LEGACY = """(SELECT *, core_total * (100 - (depth_to / compaction - depth_to) /
 )
 def legacy_core_correction(s):
     """Depth-percentage correction, averaged over the slices of each site."""
-    return C.legacy_core_correction(s.locate(C.legacy_core_moments(s.slices(), "core_no")), "site")
+    return C.legacy_core_correction(s.locate(C.legacy_core_moments(s.slices(), s.key)), "site")
 
 
 @query(
@@ -195,11 +223,25 @@ def legacy_core_correction(s):
 )
 def legacy_core_correction_50cm(s):
     """The older correction per core for the top 50 cm."""
-    moments = C.legacy_core_moments(s.slices(), "core_no", 50.0)
-    by_core = C.legacy_core_correction(moments, "core_no")
+    moments = C.legacy_core_moments(s.slices(), s.key, 50.0)
+    by_core = C.legacy_core_correction(moments, s.key)
     return s.locate(by_core, "site_old_name").withColumnRenamed("site_old_name", "treatment2")
 
 
+@query(
+    f"treatment2 {BOX}",
+    box_sql(
+        f"""(SELECT treatment2, av FROM ({mean_se_sql(
+            f"(SELECT core_no, site_old_name AS treatment2, corrected FROM {_LEGACY.format(depth=50)})",
+            "core_no, treatment2", "corrected", "lenient")}))""",
+        "treatment2", "av",
+    ),
+)
+def legacy_box(s):
+    """Box statistics of the older per-core means by former site class."""
+    return boxstats.box_stats(legacy_core_correction_50cm(s), ["treatment2"], "av")
+
+
 # --- above and below ----------------------------------------------------------
 
 @query(
@@ -238,6 +280,26 @@ def above_below_remnant(s):
     return out.filter(F.col("site_old_name") == "Remnant")
 
 
+@query(
+    f"site site_type_25y {MEAN_SE} stock",
+    f"""SELECT * FROM (
+          SELECT site, site_type_25y, coalesce(av, 0) AS av, coalesce(sd, 0) AS sd, n,
+                 coalesce(se, 0) AS se, 'Plant' AS stock
+          FROM ({mean_se_sql("plants", "site, site_type_25y", "plant_c", "mixed")})
+          UNION ALL
+          SELECT site, site_type_25y, -av, sd, n, se, 'Soil'
+          FROM ({mean_se_sql("core_50", "site, site_type_25y", "total", "strict")}))
+        WHERE site_type_25y = 'Rehabilitated_young'""",
+)
+def above_below_young(s):
+    """The mirrored table of young rehabilitated sites, top 50 cm."""
+    by = ["site", "site_type_25y"]
+    plant = summary.mean_se(located_plots(s, "site_type_25y"), by, "plant_c", "mixed")
+    soil = summary.mean_se(core_totals(s, "site_type_25y", max_depth=50.0), by, "total", "strict")
+    both = P.above_below(reshape.fill_zero(plant), soil)
+    return both.filter(F.col("site_type_25y") == REHABILITATED_YOUNG)
+
+
 @query(
     "site site_type av:4 se:4 stock_source",
     f"""SELECT site, site_type_25y AS site_type, round(av, 2) AS av, round(se, 2) AS se,
@@ -274,7 +336,7 @@ def site_effect_table(s):
 def accretion_dated(s):
     """Accretion from dated rates, per site."""
     by = ["site", "site_year_numeric", "site_type"]
-    cores = s.locate(C.carbon_moments(s.slices(), "core_no"), *by)
+    cores = s.locate(C.carbon_moments(s.slices(), s.key), *by)
     rated = join_dim(cores.filter(F.col("site_type") != "Converted"), s.rates(), "site", ["mar"])
     return C.accretion_dated(rated, by)
 
@@ -293,7 +355,7 @@ def accretion_horizon(s):
 
 def horizon_accretion(s, *columns):
     extra = ["site_year_numeric", *columns]
-    return C.core_accretion(horizon_slices(s, *extra), ["core_no", "site", *extra])
+    return C.core_accretion(horizon_slices(s, *extra), [s.key, "site", *extra])
 
 
 @query(
@@ -378,12 +440,12 @@ def established_both(s):
     """Established cores with the rates of their plots."""
     plots = join_dim(s.plots(), s.sites(), "site", ["site_year_numeric"])
     plots = P.plot_rate(plots.filter(F.col("treatment2") == "Remnant")).select(
-        "core_no", "plant_per_year"
+        s.key, "plant_per_year"
     )
     cores = horizon_accretion(s, "site_type").filter(F.col("site_type") == ESTABLISHED).select(
-        "core_no", "site", "site_type", F.col("per_year").alias("soil_per_year")
+        s.key, "site", "site_type", F.col("per_year").alias("soil_per_year")
     )
-    return P.combine_plots_and_cores(plots, cores, "core_no", keep="cores")
+    return P.combine_plots_and_cores(plots, cores, s.key, keep="cores")
 
 
 @query(_TEXT_COLUMNS, _text_sql("established_both", _ESTABLISHED_DIGITS))

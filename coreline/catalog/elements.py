@@ -7,7 +7,7 @@ from coreline.catalog.sql_views import mean_se_sql, number_sql
 from coreline.constants import ESTABLISHED, REHABILITATED
 from coreline.functions.nullsafe import ifelse_na
 from coreline.operators import reshape
-from coreline.operators.joins import counted_by, join_dim, join_many_to_one
+from coreline.operators.joins import join_dim, join_many_to_one
 from coreline.operators.summary import mean_se
 from coreline.plans import cores as C
 from coreline.plans import plots as P
@@ -40,7 +40,7 @@ def literal_rates(s):
 @query("site_core site total:8", "SELECT site_core, site, total FROM core_100")
 def sink_roundtrip(s):
     """Core totals written as CSV, read back by header, then kept as Parquet."""
-    totals = s.locate(C.core_stock(C.slice_carbon(s.slices()), "core_no", "strict", 100.0))
+    totals = s.locate(C.core_stock(C.slice_carbon(s.slices()), s.key, "strict", 100.0))
     fields = {"site_core": ("site_core", "string"), "site": ("site", "string"),
               "total": ("total", "double")}
     path = tables.write_csv(totals.select(*fields), new_path(s.spark, "core-totals-csv"))
@@ -171,7 +171,7 @@ def filter_type(s):
 )
 def stock_topk_depth(s):
     """Core stock of the top 50 cm; the depth cut reaches the scan."""
-    return C.core_stock(C.slice_carbon(s.slices()), "core_no", "strict", 50.0)
+    return C.core_stock(C.slice_carbon(s.slices()), s.key, "strict", 50.0)
 
 
 @query(
@@ -186,7 +186,7 @@ def stock_topk_depth(s):
 def filter_or(s):
     """Two types, slices above 51 cm, strict summary by type."""
     shallow = C.slice_carbon(s.slices()).filter(F.col("depth_to") < 51)
-    totals = s.locate(C.core_stock(shallow, "core_no", "strict"), "site_type")
+    totals = s.locate(C.core_stock(shallow, s.key, "strict"), "site_type")
     two = totals.filter(F.col("site_type").isin("Converted", ESTABLISHED))
     return mean_se(two, "site_type", "total", "strict")
 
@@ -234,9 +234,9 @@ def join_dimension(s):
 )
 def join_plot_core(s):
     """Every plot with the stock of its core, if it has one."""
-    totals = C.core_stock(C.slice_carbon(s.slices()), "core_no", "strict", 100.0)
-    plots = P.plot_carbon(s.plots()).select("core_no", "site", "plant_c")
-    return join_many_to_one(plots, totals, "core_no", "left")
+    totals = C.core_stock(C.slice_carbon(s.slices()), s.key, "strict", 100.0)
+    plots = P.plot_carbon(s.plots()).select(s.key, "site", "plant_c")
+    return join_many_to_one(plots, totals, s.key, "left")
 
 
 @query(
@@ -246,9 +246,9 @@ def join_plot_core(s):
 )
 def join_core_plot(s):
     """Every core with the carbon of its plots, if it has any."""
-    totals = C.core_stock(C.slice_carbon(s.slices()), "core_no", "strict", 100.0)
-    plots = P.plot_carbon(s.plots()).select("core_no", "plant_c")
-    return join_many_to_one(plots, totals, "core_no", "right")
+    totals = C.core_stock(C.slice_carbon(s.slices()), s.key, "strict", 100.0)
+    plots = P.plot_carbon(s.plots()).select(s.key, "plant_c")
+    return join_many_to_one(plots, totals, s.key, "right")
 
 
 @query(
@@ -259,9 +259,7 @@ def join_core_plot(s):
 def join_rates(s):
     """Site dimension with its dated rates and number of cores."""
     sites = join_dim(s.sites(), s.rates(), "site", ["mar", "mar_se"])
-    per_site = s.cores().groupBy("site_no").agg(F.count(F.lit(1)).alias("cores"))
-    per_site = counted_by(per_site, s.sites())
-    return join_dim(sites, per_site, "site_no", ["cores"]).fillna(0, ["cores"])
+    return join_dim(sites, s.core_counts(), "site", ["cores"]).fillna(0, ["cores"])
 
 
 @query(
@@ -273,7 +271,7 @@ def join_rates(s):
 def join_after_agg(s):
     """Aggregate first, then join the few result rows to their attributes."""
     clipped = C.clip_at_horizon(s.locate(C.slice_carbon(s.slices()), "horizon_cm"))
-    totals = C.core_stock(clipped, ["core_no", "site"], "strict", value="stock_to_horizon")
+    totals = C.core_stock(clipped, [s.key, "site"], "strict", value="stock_to_horizon")
     out = mean_se(totals, "site", "total", "lenient")
     out = join_dim(out, s.sites(), "site", ["site_type", "site_year_numeric"])
     return out.withColumn(
@@ -342,4 +340,4 @@ def unite_pm(s):
 def head_rows(s):
     """First six slices in a stated order."""
     rows = C.slice_carbon(s.slices())
-    return rows.orderBy("core_no", "depth_from", "c_percent", "carbon_stock").limit(6)
+    return rows.orderBy(s.key, "depth_from", "c_percent", "carbon_stock").limit(6)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coreline.catalog.sql_views import with_views
-from coreline.sources.driver_tables import Survey
+from coreline.sources.driver_tables import DriverSurvey
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,12 +53,15 @@ def _report_sql(sql: str, spec: str) -> str:
 
 
 def query(spec: str, sql: str | None = None, name: str | None = None):
-    """Register a function of a :class:`Survey` under its own name."""
+    """Register a function of a survey under its own name.
+
+    The function itself works on any :class:`FieldSurvey`.
+    """
     def add(fn):
         key = name or fn.__name__
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return _report(fn(Survey(spark, folder)), spec)
+            return _report(fn(DriverSurvey(spark, folder)), spec)
 
         run.__name__ = key
         run.__doc__ = fn.__doc__

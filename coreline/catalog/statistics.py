@@ -83,7 +83,7 @@ def origin_inputs(s):
         C.clip_at_horizon(
             s.locate(C.slice_carbon(s.slices()), "horizon_cm", "site_type", "site_year_numeric")
         ),
-        ["core_no", "site_type", "site_year_numeric"], "strict", value="stock_to_horizon",
+        [s.key, "site_type", "site_year_numeric"], "strict", value="stock_to_horizon",
     ).filter(F.col("site_type") != "Converted")
     horizon = horizon.withColumn("age", C.stand_age("site_year_numeric"))
     return {

@@ -17,7 +17,7 @@ BOX = "lower:6 middle:6 upper:6 ymin:6 ymax:6 n:i outliers:i"
 
 def core_totals(s, *columns, max_depth=100.0, policy="strict"):
     """Totals per core, grouped by core number before any join."""
-    totals = C.core_stock(C.slice_carbon(s.slices()), "core_no", policy, max_depth)
+    totals = C.core_stock(C.slice_carbon(s.slices()), s.key, policy, max_depth)
     return s.locate(totals, *columns)
 
 
@@ -28,7 +28,7 @@ def horizon_slices(s, *columns):
 
 def horizon_totals(s, *columns, policy="strict"):
     return summary.group_sum(
-        horizon_slices(s, *columns), ["core_no", "site", *columns], "stock_to_horizon", policy
+        horizon_slices(s, *columns), [s.key, "site", *columns], "stock_to_horizon", policy
     )
 
 
@@ -86,7 +86,7 @@ def mean_se_bounds(s):
 def weighted_mean_query(s):
     """Weighted mean with weights of 1, and weighted by stand age."""
     cores = C.core_accretion(
-        horizon_slices(s, "site_year_numeric"), ["core_no", "site", "site_year_numeric"]
+        horizon_slices(s, "site_year_numeric"), [s.key, "site", "site_year_numeric"]
     )
     return summary.weighted_summary(
         cores, "site", "per_year", also={"av_by_length": "stand_age"}
@@ -146,7 +146,7 @@ def two_level(s):
         C.slice_carbon(s.slices()).filter(F.col("depth_to") <= 50), "site_type"
     )
     return summary.two_level(
-        located, ["site_type", "core_no"], "site_type", "carbon_stock", "strict", "lenient"
+        located, ["site_type", s.key], "site_type", "carbon_stock", "strict", "lenient"
     )
 
 
@@ -158,7 +158,7 @@ def rehabilitated_accretion(s):
     clipped = horizon_slices(s, "site_type", "site_year_numeric").filter(
         F.col("site_type") == REHABILITATED
     )
-    return C.core_accretion(clipped, ["core_no", "site", "site_type", "site_year_numeric"])
+    return C.core_accretion(clipped, [s.key, "site", "site_type", "site_year_numeric"])
 
 
 _REHABILITATED_CORES = """(SELECT site, per_year, total_lenient AS total
@@ -183,7 +183,7 @@ def rounded_se(s):
 @query("site site_type", "SELECT DISTINCT site, site_type FROM located")
 def distinct_values(s):
     """Sites and types that occur among the slices."""
-    cores = s.slices().select("core_no").distinct()
+    cores = s.slices().select(s.key).distinct()
     return s.locate(cores, "site_type").select("site", "site_type").distinct()
 
 
@@ -205,12 +205,12 @@ def rehabilitated_both(s):
     """Rehabilitated plots with the rates of their cores."""
     plots = join_dim(s.plots(), s.sites(), "site", ["site_year_numeric"])
     plots = P.plot_rate(plots.filter(F.col("treatment2") == REHABILITATED)).select(
-        "core_no", "site", "plant_per_year"
+        s.key, "site", "plant_per_year"
     )
     cores = rehabilitated_accretion(s).select(
-        "core_no", "site_type", F.col("per_year").alias("soil_per_year")
+        s.key, "site_type", F.col("per_year").alias("soil_per_year")
     )
-    return P.combine_plots_and_cores(plots, cores, "core_no", keep="plots")
+    return P.combine_plots_and_cores(plots, cores, s.key, keep="plots")
 
 
 @query(
@@ -262,7 +262,7 @@ def box_stats_censored(s):
 )
 def box_outliers(s):
     """The cores drawn as outlier points."""
-    totals = core_totals(s, "site_type", max_depth=50.0).select("core_no", "site_type", "total")
+    totals = core_totals(s, "site_type", max_depth=50.0).select(s.key, "site_type", "total")
     return boxstats.box_outliers(totals, ["site_type"], "total")
 
 
@@ -276,8 +276,8 @@ def box_outliers(s):
 )
 def window_total(s):
     """The strict core total on every slice."""
-    rows = s.slices().filter(F.col("depth_to") <= 100).select("core_no", "depth_from", "section_stock")
-    return attach_group_total(rows, "core_no", sum_strict, "section_stock", "core_total")
+    rows = s.slices().filter(F.col("depth_to") <= 100).select(s.key, "depth_from", "section_stock")
+    return attach_group_total(rows, s.key, sum_strict, "section_stock", "core_total")
 
 
 @query(
@@ -292,7 +292,7 @@ def window_total(s):
 )
 def window_mean_reagg(s):
     """Core mean rate counted once per slice, summarised by type."""
-    cores = s.locate(C.shallow_core_moments(s.slices(), "core_no"), "site_type")
+    cores = s.locate(C.shallow_core_moments(s.slices(), s.key), "site_type")
     return C.accretion_dated_shallow(join_dim(cores, s.rates(), "site", ["mar"]), "site_type")
 
 

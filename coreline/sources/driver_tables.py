@@ -13,6 +13,7 @@ from coreline.constants import CONVERTED, DEFAULTS, ESTABLISHED, REHABILITATED
 from coreline.operators.joins import broadcast_checked, counted_by
 from coreline.runtime import configure
 from coreline.sources.rates import DATED_RATES, values_sql
+from coreline.sources.survey import FieldSurvey
 
 
 # Columns in use; a stated schema saves the pass that infers one.
@@ -28,8 +29,14 @@ SCHEMAS = {
 }
 
 
-class Survey:
-    """Slices, plots, sites and rates of one scale-factor folder."""
+class DriverSurvey(FieldSurvey):
+    """Slices, plots, sites and rates of one scale-factor folder.
+
+    Cores are identified by number, so that slices need no join to be grouped
+    by core; ``locate`` finds the site of a core number.
+    """
+
+    key = "core_no"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
@@ -47,13 +54,13 @@ class Survey:
 
     def sites(self) -> DataFrame:
         """One row per site; ``site_no`` is the join key inside this mapping."""
-        return self._once("sites", self._sites)
+        return self._once("sites", self._build_sites)
 
     def rates(self) -> DataFrame:
         """The literal dated rates, keyed by site in rotation."""
-        return self._once("rates", self._rates)
+        return self._once("rates", self._build_rates)
 
-    def _sites(self) -> DataFrame:
+    def _build_sites(self) -> DataFrame:
         number = F.col("n_nationkey")
         kind = (
             F.when(F.col("r_name") == "AFRICA", CONVERTED)
@@ -87,7 +94,7 @@ class Survey:
         )
         return counted_by(sites, nation)
 
-    def _rates(self) -> DataFrame:
+    def _build_rates(self) -> DataFrame:
         keyed = [(i, mar, se) for i, (_, mar, se) in enumerate(DATED_RATES)]
         literal = self.spark.sql(
             f"SELECT * FROM VALUES {values_sql(keyed)} AS rates(slot, mar, mar_se)"
@@ -112,6 +119,12 @@ class Survey:
             self.table("orders").select(F.col("o_orderkey").alias("core_no"), "o_custkey")
         )
 
+    def core_counts(self) -> DataFrame:
+        """Cores per site: one row per site at most."""
+        counts = self.cores().groupBy("site_no").agg(F.count(F.lit(1)).alias("cores"))
+        sites = broadcast_checked(self.sites(), ["site_no", "site"])
+        return counted_by(counts.join(sites, "site_no").select("site", "cores"), self.sites())
+
     def raw_slices(self) -> DataFrame:
         """Slice measurements by core number, all habitats."""
         return self._as_slices(self.table("lineitem"))
