@@ -215,7 +215,7 @@ def legacy_core_correction(s):
 
 
 @query(
-    "core_no treatment2 av:5~ sd:4 n:i se:4",
+    "core_no treatment2 av:5~ sd:4~ n:i se:4~",
     mean_se_sql(
         f"(SELECT core_no, site_old_name AS treatment2, corrected FROM {_LEGACY.format(depth=50)})",
         "core_no, treatment2", "corrected", "lenient",

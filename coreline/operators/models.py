@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coreline.functions.nullsafe import n_rows
@@ -199,9 +199,12 @@ def site_statistics(df: DataFrame, fixed: str, site: str, y: str) -> DataFrame:
     )
 
 
-def _by_ratio(sites: DataFrame, ratios: Sequence[float]) -> DataFrame:
+Ratios = Sequence[float] | Column
+
+
+def _by_ratio(sites: DataFrame, ratios: Ratios) -> DataFrame:
     """REML pieces per variance ratio and level."""
-    grid = F.array(*[F.lit(float(r)) for r in ratios])
+    grid = ratios if isinstance(ratios, Column) else F.lit([float(r) for r in ratios])
     w = F.col("n") / (1 + F.col("ratio") * F.col("n"))
     return (
         sites.withColumn("ratio", F.explode(grid))
@@ -217,7 +220,7 @@ def _by_ratio(sites: DataFrame, ratios: Sequence[float]) -> DataFrame:
     )
 
 
-def lmm_profile(sites: DataFrame, ratios: Sequence[float]) -> DataFrame:
+def lmm_profile(sites: DataFrame, ratios: Ratios) -> DataFrame:
     """REML deviance (up to a constant) and residual variance per ratio."""
     spread = F.sum("ss") + F.sum(F.col("wmm") - F.col("wm") * F.col("wm") / F.col("w"))
     out = _by_ratio(sites, ratios).groupBy("ratio").agg(
@@ -234,7 +237,7 @@ def lmm_profile(sites: DataFrame, ratios: Sequence[float]) -> DataFrame:
     )
 
 
-def lmm_profile_terms(sites: DataFrame, ratios: Sequence[float], ref: str) -> DataFrame:
+def lmm_profile_terms(sites: DataFrame, ratios: Ratios, ref: str) -> DataFrame:
     """Profile with the level estimates: one row per ratio and level."""
     levels = _by_ratio(sites, ratios).select(
         "ratio", "level", (F.col("wm") / F.col("w")).alias("mean"), "w"
@@ -260,20 +263,35 @@ def lmm_profile_terms(sites: DataFrame, ratios: Sequence[float], ref: str) -> Da
     )
 
 
+_GRID = 512
+
+
 def _best_ratio(sites: DataFrame) -> tuple[float, float]:
     """Ratio and residual variance at the lowest profiled deviance.
 
-    Each round evaluates a grid in one Spark job and zooms in on its lowest
+    Each round evaluates a grid in one Spark job and zooms in on the lowest
     point; a single row comes back per round.
     """
-    grid = [0.0] + [10.0 ** (e / 8) for e in range(-64, 65)]
-    while True:
-        best = lmm_profile(sites, grid).orderBy("deviance", "ratio").first()
-        i = grid.index(best["ratio"])
-        lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
-        if hi - lo <= 1e-5 * max(hi, 1e-5):
-            return best["ratio"], best["sigma2"]
-        grid = [lo + (hi - lo) * k / 128 for k in range(129)]
+    steps = F.sequence(F.lit(0), F.lit(_GRID))
+
+    def lowest(grid: Column) -> tuple[float, float]:
+        best = lmm_profile(sites, grid).agg(
+            F.min_by(F.struct("ratio", "sigma2"), "deviance").alias("best")
+        )
+        return tuple(best.first()["best"])
+
+    # 1e-8 to 1e8 in even ratios, and 0
+    step = 10.0 ** (16.0 / _GRID)
+    ratio, sigma2 = lowest(
+        F.concat(F.array(F.lit(0.0)), F.transform(steps, lambda k: 1e-8 * F.pow(F.lit(step), k)))
+    )
+    lo, hi = (0.0, 1e-8) if ratio == 0.0 else (ratio / step, ratio * step)
+    while hi - lo > 1e-5 * max(hi, 1e-5):
+        width = (hi - lo) / _GRID
+        start = lo
+        ratio, sigma2 = lowest(F.transform(steps, lambda k: start + width * k))
+        lo, hi = max(ratio - width, 0.0), ratio + width
+    return ratio, sigma2
 
 
 def _variance_sums(sites: DataFrame, s: float, tau: float) -> list:
