@@ -1,15 +1,17 @@
 """Exact box-plot statistics without holding a group in one task.
 
 Quartiles interpolate linearly between order statistics at ``(n - 1) * p``
-(type 7).  The order statistics are found in two passes: a mergeable quantile
-sketch brackets each one, then only the values inside the brackets are counted
-and ranked.  A bracket covers a fixed small share of a group, so the ranking
-step stays small however many rows one group has.
+(type 7).  The order statistics are found by narrowing: a mergeable quantile
+sketch of the group brackets each one, a sketch of the values in the bracket
+narrows it again, and only the distinct values left are counted and ranked.
+Sketches stay small, and what is ranked in the end is about a ten-thousandth of
+a group, however many rows it has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,14 +19,15 @@ from pyspark.sql import functions as F
 from coreline.functions.nullsafe import n_rows
 
 QUARTILES = (0.25, 0.5, 0.75)
-ACCURACY = 10_000
+ACCURACY = 2_000
 
 
 def _present(value: str) -> Column:
     return F.col(value).isNotNull() & ~F.isnan(value)
 
 
-def _brackets(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+def _first_brackets(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy: int):
+    """Per group and quantile: position ``_h`` and a bracket ``_lo, _hi``."""
     # Sketch rank error is n/accuracy; two more ranks cover the interpolation.
     slack = 4.0 / accuracy
     wanted = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
@@ -35,19 +38,55 @@ def _brackets(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy:
         F.percentile_approx("_v", wanted, accuracy).alias("_s"),
     )
     few = F.col("_n") <= accuracy
-    k = len(probs)
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("q"),
-                ((F.col("_n") - 1) * F.lit(p)).alias("h"),
-                F.when(few, F.col("_min")).otherwise(F.col("_s")[i]).alias("lo"),
-                F.when(few, F.col("_max")).otherwise(F.col("_s")[i + k]).alias("hi"),
-            )
-            for i, p in enumerate(probs)
+    columns = []
+    for i, p in enumerate(probs):
+        columns += [
+            ((F.col("_n") - 1) * F.lit(p)).alias(f"_h{i}"),
+            F.when(few, F.col("_min")).otherwise(F.col("_s")[i]).alias(f"_lo{i}"),
+            F.when(few, F.col("_max")).otherwise(F.col("_s")[i + len(probs)]).alias(f"_hi{i}"),
         ]
-    )
-    return sketch.select(*by, targets.alias("_targets"))
+    return sketch.select(*by, *columns)
+
+
+def _second_brackets(keyed: DataFrame, by: list[str], k: int, accuracy: int) -> DataFrame:
+    """Narrow each bracket to ``_from, _to`` around its rank among the values inside.
+
+    ``_below`` counts the values under the first bracket.
+    """
+    cells = min(max(accuracy // 2, 1), 250)
+    grid = ", ".join(f"{c / cells!r}D" for c in range(cells + 1))
+    aggregates = []
+    for i in range(k):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        inside = F.col("_v").between(lo, hi)
+        aggregates += [
+            F.max(f"_h{i}").alias(f"_h{i}"),
+            F.max(lo).alias(f"_lo{i}"),
+            F.max(hi).alias(f"_hi{i}"),
+            F.count(F.when(F.col("_v") < lo, F.lit(1))).alias(f"_below{i}"),
+            F.count(F.when(inside, F.lit(1))).alias(f"_in{i}"),
+            F.expr(
+                f"percentile_approx(IF(_v BETWEEN _lo{i} AND _hi{i}, _v, NULL), "
+                f"array({grid}), {accuracy})"
+            ).alias(f"_s{i}"),
+        ]
+    found = keyed.groupBy(*by).agg(*aggregates)
+    columns = []
+    for i in range(k):
+        lo, hi, inside, sketch = (F.col(f"{c}{i}") for c in ("_lo", "_hi", "_in", "_s"))
+        rank = F.floor(f"_h{i}") + 1 - F.col(f"_below{i}")
+        # two cells of margin on either side cover the sketch's rank error
+        first = F.floor(rank * cells / inside) - 2
+        last = F.ceil((rank + 1) * cells / inside) + 2
+        few = inside <= accuracy
+        columns += [
+            f"_h{i}",
+            f"_lo{i}",
+            f"_below{i}",
+            F.when(few | (first < 0), lo).otherwise(F.get(sketch, first.cast("int"))).alias(f"_from{i}"),
+            F.when(few | (last > cells), hi).otherwise(F.get(sketch, last.cast("int"))).alias(f"_to{i}"),
+        ]
+    return found.select(*by, *columns)
 
 
 def quantiles(
@@ -58,38 +97,57 @@ def quantiles(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact type-7 quantiles per group as columns ``q0, q1, ...``."""
-    by = list(by)
+    by, k = list(by), len(probs)
     rows = df.filter(_present(value)).select(*by, F.col(value).alias("_v"))
-    groups = _brackets(rows, by, probs, accuracy)
-    keyed = _join_groups(rows, groups, by)
+    first = _first_brackets(rows, by, probs, accuracy)
+    second = _second_brackets(_join_groups(rows, first, by), by, k, accuracy)
 
-    # One output row per value inside a bracket; all values below it share one
-    # NULL row, so the grouping collapses them before the shuffle.
+    # One output row per value in a narrowed bracket; the values between the
+    # two lower ends share one NULL row, which the grouping collapses.
+    v = F.col("_v")
+    near = [v.between(F.col(f"_lo{i}"), F.col(f"_to{i}")) for i in range(k)]
+    targets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("q"),
+                F.col(f"_h{i}").alias("h"),
+                F.col(f"_below{i}").alias("below"),
+                near[i].alias("near"),
+                F.when(v >= F.col(f"_from{i}"), v).alias("x"),
+            )
+            for i in range(k)
+        ]
+    )
     counted = (
-        keyed.select(*by, "_v", F.explode("_targets").alias("_t"))
-        .filter(F.col("_v") <= F.col("_t.hi"))
+        _join_groups(rows, second, by)
+        .filter(reduce(Column.__or__, near))
+        .select(*by, F.explode(targets).alias("_t"))
+        .filter("_t.near")
         .select(
             *by,
             F.col("_t.q").alias("_q"),
             F.col("_t.h").alias("_h"),
-            F.when(F.col("_v") >= F.col("_t.lo"), F.col("_v")).alias("_x"),
+            F.col("_t.below").alias("_below"),
+            F.col("_t.x").alias("_x"),
         )
-        .groupBy(*by, "_q", "_h", "_x")
+        .groupBy(*by, "_q", "_h", "_below", "_x")
         .agg(n_rows().alias("_c"))
     )
-    upto = Window.partitionBy(*by, "_q", "_h").orderBy(F.col("_x").asc_nulls_first())
+    keys = [*by, "_q", "_h", "_below"]
+    upto = Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first())
     ranked = counted.withColumn(
-        "_cum", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0))
+        "_cum",
+        F.col("_below") + F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)),
     )
     rank = F.floor("_h") + 1
-    found = ranked.groupBy(*by, "_q", "_h").agg(
-        F.coalesce(F.max(F.when(F.col("_x").isNull(), F.col("_cum"))), F.lit(0)).alias("_below"),
+    found = ranked.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("_x").isNull(), F.col("_cum"))), F.col("_below")).alias("_under"),
         F.min(F.when(F.col("_cum") >= rank, F.col("_x"))).alias("_a"),
         F.min(F.when(F.col("_cum") >= rank + 1, F.col("_x"))).alias("_b"),
     )
     part = F.col("_h") - F.floor("_h")
     bracketed = (
-        (F.col("_below") < rank)
+        (F.col("_under") < rank)
         & F.col("_a").isNotNull()
         & (F.col("_b").isNotNull() | (part == 0))
     )
@@ -102,7 +160,7 @@ def quantiles(
     return (
         found.select(*by, "_q", exact.alias("_value"))
         .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(f"q{i}") for i in range(len(probs))])
+        .agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(f"q{i}") for i in range(k)])
     )
 
 
