@@ -75,7 +75,23 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
     return path
 
 
-def materialise(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
-    """Write an intermediate as Parquet and read it back."""
-    df.write.mode(mode).parquet(path)
+def materialise(
+    df: DataFrame, path: str, mode: str = "error", partition_by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Write an intermediate as Parquet and read it back.
+
+    Partitioned by site or type, later filters on those columns skip whole
+    folders.
+    """
+    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def save_by_core(df: DataFrame, table: str, key: str, buckets: int, mode: str = "error") -> DataFrame:
+    """Save slices bucketed by core, so that grouping by core needs no shuffle.
+
+    Each core lies in one bucket file.  Choose ``buckets`` so that a bucket is
+    a few hundred MB; keep a table with one dominating core unbucketed.
+    """
+    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -62,3 +62,34 @@ def test_depth_filter_reaches_the_scan(spark):
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(depth_to,50.0)" in text
     assert "section_stock" not in text and "treatment" not in text
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_site_partitions_are_pruned(spark):
+    import survey_data as D
+
+    df = tables.materialise(D.slices(spark), new_path(spark, "by-site"), partition_by=("site",))
+    text = plan(df.filter("site = 'MNDC'").select("c_perc"))
+    assert "PartitionFilters: [isnotnull(site" in text
+    assert df.count() == D.slices(spark).count()
+
+
+def test_bucketed_slices_are_grouped_by_core_without_a_shuffle(spark):
+    import survey_data as D
+    from coreline.plans import cores as C
+
+    df = tables.save_by_core(D.slices(spark), "slices_by_core", "site_core", 4)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        totals = C.core_stock(C.slice_carbon(df), "site_core", "strict", 100.0)
+        assert "Exchange" not in plan(totals)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    plain = C.core_stock(C.slice_carbon(D.slices(spark)), "site_core", "strict", 100.0)
+    got, want = rows(totals, "site_core"), rows(plain, "site_core")
+    assert [r["site_core"] for r in got] == [r["site_core"] for r in want]
+    for a, b in zip(got, want):
+        assert a["total"] == b["total"] or abs(a["total"] - b["total"]) < 1e-9
