@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from coreline.catalog.carbon import horizon_accretion, located_plots
 from coreline.catalog.registry import query
 from coreline.catalog.summaries import core_totals
-from coreline.constants import ESTABLISHED, REHABILITATED
+from coreline.constants import CONVERTED, ESTABLISHED, REHABILITATED
 from coreline.operators import models as M
 from coreline.operators.joins import join_dim
 from coreline.plans import cores as C
@@ -217,16 +217,15 @@ def lmm_random_intercept(s):
     soil = core_totals(s, "site_type", policy="lenient").filter(
         F.col("site_type") != REHABILITATED
     )
-    rates = P.plot_rate(plots)
-    return M.model_table(
+    fits = M.lmm_fit(
         {
-            "plant": M.lmm_random_intercept(plots, "site_type", "site", "plant_c", REHABILITATED),
-            "soil": M.lmm_random_intercept(soil, "site_type", "site", "total", "Converted"),
-            "soil_rate": M.lmm_random_intercept(
-                horizon_accretion(s, "site_type"), "site_type", "site", "per_year", "Converted"
-            ),
-            "plant_rate": M.lmm_random_intercept(
-                rates, "site_type", "site", "plant_per_year", ESTABLISHED
-            ),
+            name: M.RandomIntercept(data, "site_type", "site", y, ref)
+            for name, data, y, ref in (
+                ("plant", plots, "plant_c", REHABILITATED),
+                ("soil", soil, "total", CONVERTED),
+                ("soil_rate", horizon_accretion(s, "site_type"), "per_year", CONVERTED),
+                ("plant_rate", P.plot_rate(plots), "plant_per_year", ESTABLISHED),
+            )
         }
     )
+    return M.with_probabilities(fits)

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -202,13 +204,13 @@ def site_statistics(df: DataFrame, fixed: str, site: str, y: str) -> DataFrame:
 Ratios = Sequence[float] | Column
 
 
-def _by_ratio(sites: DataFrame, ratios: Ratios) -> DataFrame:
+def _by_ratio(sites: DataFrame, ratios: Ratios, by: Sequence[str] = ()) -> DataFrame:
     """REML pieces per variance ratio and level."""
     grid = ratios if isinstance(ratios, Column) else F.lit([float(r) for r in ratios])
     w = F.col("n") / (1 + F.col("ratio") * F.col("n"))
     return (
-        sites.withColumn("ratio", F.explode(grid))
-        .groupBy("ratio", "level")
+        sites.withColumn("ratio", F.explode(F.array_distinct(grid)))
+        .groupBy(*by, "ratio", "level")
         .agg(
             F.sum(w).alias("w"),
             F.sum(w * F.col("m")).alias("wm"),
@@ -220,20 +222,27 @@ def _by_ratio(sites: DataFrame, ratios: Ratios) -> DataFrame:
     )
 
 
-def lmm_profile(sites: DataFrame, ratios: Ratios) -> DataFrame:
-    """REML deviance (up to a constant) and residual variance per ratio."""
-    spread = F.sum("ss") + F.sum(F.col("wmm") - F.col("wm") * F.col("wm") / F.col("w"))
-    out = _by_ratio(sites, ratios).groupBy("ratio").agg(
-        F.sum("n").alias("n"),
-        n_rows().alias("levels"),
-        spread.alias("rss"),
+def lmm_profile(sites: DataFrame, ratios: Ratios, by: Sequence[str] = ()) -> DataFrame:
+    """REML deviance (up to a constant) and residual variance per ratio.
+
+    Both are missing where no residual freedom or variance is left.  ``rise``
+    is the deviance without its large constant part, for comparing ratios.
+    """
+    out = _by_ratio(sites, ratios, by).groupBy(*by, "ratio").agg(
+        (F.sum("n") - n_rows()).alias("free"),
+        F.sum("ss").alias("ss"),
+        F.sum(F.col("wmm") - F.col("wm") * F.col("wm") / F.col("w")).alias("between"),
         (F.sum("logs") + F.sum(F.log("w"))).alias("_logs"),
     )
-    free = F.col("n") - F.col("levels")
+    ss, between = F.col("ss"), F.col("between")
+    out = out.withColumn("sigma2", F.try_divide(ss + between, F.col("free")))
+    grown = F.when(ss > 0, F.log1p(F.try_divide(between, ss))).otherwise(F.log(between))
     return out.select(
+        *by,
         "ratio",
-        (F.col("rss") / free).alias("sigma2"),
-        (free * F.log(F.col("rss") / free) + F.col("_logs")).alias("deviance"),
+        "sigma2",
+        (F.col("free") * F.log("sigma2") + F.col("_logs")).alias("deviance"),
+        F.when(F.col("sigma2") > 0, F.col("free") * grown + F.col("_logs")).alias("rise"),
     )
 
 
@@ -266,40 +275,54 @@ def lmm_profile_terms(sites: DataFrame, ratios: Ratios, ref: str) -> DataFrame:
 _GRID = 512
 
 
-def _best_ratio(sites: DataFrame) -> tuple[float, float]:
-    """Ratio and residual variance at the lowest profiled deviance.
+def _per_model(values: dict[str, float]) -> Column:
+    """The value of each row's model."""
+    pairs = chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in values.items())
+    return F.create_map(*pairs)[F.col("model")]
+
 
-    Each round evaluates a grid in one Spark job and zooms in on the lowest
-    point; a single row comes back per round.
+def _best_ratios(sites: DataFrame, largest: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Ratio and residual variance at the lowest profiled deviance, per model.
+
+    Each round evaluates one grid per model in one Spark job and zooms in on
+    the lowest point; one row per model comes back.  ``largest`` is each
+    model's largest site: ratios far below its inverse equal no site variance.
     """
     steps = F.sequence(F.lit(0), F.lit(_GRID))
 
-    def lowest(grid: Column) -> tuple[float, float]:
-        best = lmm_profile(sites, grid).agg(
-            F.min_by(F.struct("ratio", "sigma2"), "deviance").alias("best")
+    def lowest(grid: Column) -> dict[str, tuple[float, float]]:
+        best = lmm_profile(sites, grid, ["model"]).groupBy("model").agg(
+            F.min_by(F.struct("ratio", "sigma2"), "rise").alias("best")
         )
-        return tuple(best.first()["best"])
-
-    # 1e-8 to 1e8 in even ratios, and 0
-    step = 10.0 ** (16.0 / _GRID)
-    ratio, sigma2 = lowest(
-        F.concat(F.array(F.lit(0.0)), F.transform(steps, lambda k: 1e-8 * F.pow(F.lit(step), k)))
-    )
-    lo, hi = (0.0, 1e-8) if ratio == 0.0 else (ratio / step, ratio * step)
-    while hi - lo > 1e-5 * max(hi, 1e-5):
-        width = (hi - lo) / _GRID
-        start = lo
-        ratio, sigma2 = lowest(F.transform(steps, lambda k: start + width * k))
-        lo, hi = max(ratio - width, 0.0), ratio + width
-    return ratio, sigma2
-
-
-def _variance_sums(sites: DataFrame, s: float, tau: float) -> list:
-    """Per level, sums over sites of the weight and its derivatives.
+        found = {r["model"]: r["best"] for r in best.collect()}
+        empty = sorted(k for k, v in found.items() if v is None)
+        if empty:
+            raise ValueError(f"no residual variance left in {empty}")
+        return {k: tuple(v) for k, v in found.items()}
+
+    # 0, and even steps of the exponent from 1e-6 / largest up to 1e8
+    first = {k: -6.0 - math.log10(n) for k, n in largest.items()}
+    rise = {k: (8.0 - e) / _GRID for k, e in first.items()}
+    exponent, pace = _per_model(first), _per_model(rise)
+    powers = F.transform(steps, lambda k: F.pow(F.lit(10.0), exponent + pace * k))
+    best = lowest(F.concat(F.array(F.lit(0.0)), powers))
+    lo = {k: r / 10.0 ** rise[k] for k, (r, _) in best.items()}
+    hi = {k: r * 10.0 ** rise[k] for k, (r, _) in best.items()}
+    while any(hi[k] - lo[k] > 1e-5 * hi[k] for k in best):
+        width = {k: (hi[k] - lo[k]) / _GRID for k in best}
+        start, stride = _per_model(lo), _per_model(width)
+        best = lowest(F.transform(steps, lambda k: start + stride * k))
+        lo = {k: max(best[k][0] - width[k], 0.0) for k in best}
+        hi = {k: best[k][0] + width[k] for k in best}
+    return best
+
+
+def _variance_sums(sites: DataFrame, s: Column, tau: Column) -> list:
+    """Per model and level, sums over sites of the weight and its derivatives.
 
     ``d = s + tau n`` is the spread of a site; ``u = n / d`` its weight.
     """
-    d, n, m = F.lit(s) + F.lit(tau) * F.col("n"), F.col("n"), F.col("m")
+    d, n, m = s + tau * F.col("n"), F.col("n"), F.col("m")
     weights = {
         "u": n / d,
         "us": -n / (d * d),
@@ -319,7 +342,7 @@ def _variance_sums(sites: DataFrame, s: float, tau: float) -> list:
         F.sum(-n * n / (d * d)).alias("ltt"),
     ]
     return (
-        sites.groupBy("level")
+        sites.groupBy("model", "level")
         .agg(*sums, *logs, F.sum("n").alias("n"), F.sum("ss").alias("ss"), n_rows().alias("sites"))
         .collect()
     )
@@ -348,44 +371,94 @@ def _curvature(rows: list, s: float) -> tuple[float, float, float]:
     return h_ss - free / s**2 + 2 * ss / s**3, h_st, h_tt
 
 
-def lmm_random_intercept(
-    df: DataFrame, fixed: str, site: str, y: str, ref: str
-) -> DataFrame:
-    """REML fit of ``y ~ fixed + (1 | site)`` with Satterthwaite df.
+@dataclass(frozen=True)
+class RandomIntercept:
+    """``y ~ fixed + (1 | site)``; ``ref`` is the reference level of ``fixed``."""
 
-    One row per level.  The site statistics stay in Spark; a handful of grid
-    rows and one row per level reach the driver.
-    """
-    spark = df.sparkSession
-    sites = cut_lineage(site_statistics(df, fixed, site, y))
-    ratio, sigma2 = _best_ratio(sites)
-    tau = ratio * sigma2
-    rows = {r["level"]: r for r in _variance_sums(sites, sigma2, tau)}
-    n = sum(r["n"] for r in rows.values())
-    h_ss, h_st, h_tt = _curvature(list(rows.values()), sigma2)
-    det = h_ss * h_tt - h_st * h_st
+    data: DataFrame
+    fixed: str
+    site: str
+    y: str
+    ref: str
 
-    def term(level):
-        parts = [rows[level]] if level == ref else [rows[level], rows[ref]]
+
+def _terms(
+    model: RandomIntercept, rows: dict, s: float, tau: float, center: float
+) -> list[tuple]:
+    """Coefficients, SEs and Satterthwaite df from the sums per level."""
+    h_ss, h_st, h_tt = _curvature(list(rows.values()), s)
+    det = h_ss * h_tt - h_st * h_st
+    out = []
+    for level in [model.ref] + sorted(k for k in rows if k != model.ref):
+        is_ref = level == model.ref
+        parts = [rows[level]] if is_ref else [rows[level], rows[model.ref]]
+        means = [r["u1"] / r["u0"] for r in parts]
+        estimate = center + means[0] if is_ref else means[0] - means[1]
         variance = sum(1.0 / r["u0"] for r in parts)
-        mean = rows[level]["u1"] / rows[level]["u0"]
-        estimate = mean if level == ref else mean - rows[ref]["u1"] / rows[ref]["u0"]
         if tau <= 0.0 or det <= 0.0:
-            freedom = n - len(rows)
+            freedom = sum(r["n"] for r in rows.values()) - len(rows)
         else:
             gs = sum(-r["us0"] / r["u0"] ** 2 for r in parts)
             gt = sum(-r["ut0"] / r["u0"] ** 2 for r in parts)
             # covariance of the variances: twice the inverse curvature
             spread = 2.0 * (gs * gs * h_tt - 2 * gs * gt * h_st + gt * gt * h_ss) / det
             freedom = 2.0 * variance**2 / spread
+        term = "(Intercept)" if is_ref else f"{model.fixed}{level}"
         se = math.sqrt(variance)
-        name = "(Intercept)" if level == ref else f"{fixed}{level}"
-        return (name, estimate, se, estimate / se, float(freedom), sigma2, tau)
+        out.append((term, estimate, se, estimate / se, float(freedom), s, tau))
+    return out
+
+
+def lmm_fit(models: dict[str, RandomIntercept]) -> DataFrame:
+    """REML fits with Satterthwaite df, several models at once.
+
+    One row per model and level.  The site statistics stay in Spark; one row
+    per model and round, and one per model and level, reach the driver.
+    """
+    stats = [
+        site_statistics(m.data, m.fixed, m.site, m.y).withColumn("model", F.lit(name))
+        for name, m in models.items()
+    ]
+    sites = cut_lineage(reduce(DataFrame.unionByName, stats))
+    whole = sites.groupBy("model").agg(
+        F.max("n").alias("largest"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("center")
+    ).collect()
+    largest = {r["model"]: r["largest"] for r in whole}
+    center = {r["model"]: r["center"] for r in whole}
+    # centred site means keep the sums of squares free of cancellation
+    sites = sites.withColumn("m", F.col("m") - _per_model(center))
+    best = _best_ratios(sites, largest)
+    s = {k: sigma2 for k, (_, sigma2) in best.items()}
+    tau = {k: ratio * sigma2 for k, (ratio, sigma2) in best.items()}
+    rows: dict[str, dict] = {k: {} for k in best}
+    for r in _variance_sums(sites, _per_model(s), _per_model(tau)):
+        rows[r["model"]][r["level"]] = r
+    terms = [
+        (name, *term)
+        for name, model in models.items()
+        for term in _terms(model, rows[name], s[name], tau[name], center[name])
+    ]
+    names = ("model", *COEFFICIENTS, "sigma2", "site_variance")
+    return sites.sparkSession.createDataFrame(
+        pa.table({n: list(column) for n, column in zip(names, zip(*terms))})
+    )
+
+
+def lmm_random_intercept(df: DataFrame, fixed: str, site: str, y: str, ref: str) -> DataFrame:
+    """A single random-intercept fit, one row per level."""
+    return lmm_fit({"": RandomIntercept(df, fixed, site, y, ref)}).drop("model")
 
-    names = ("term", "estimate", "se", "t", "df", "sigma2", "site_variance")
-    ordered = [ref] + sorted(k for k in rows if k != ref)
-    columns = zip(*[term(k) for k in ordered])
-    return spark.createDataFrame(pa.table(dict(zip(names, map(list, columns)))))
+
+def with_probabilities(rows: DataFrame, level: float = 0.95) -> DataFrame:
+    """Coefficient rows with two-sided p and confidence limits."""
+    half = t_quantile(F.lit((1.0 + level) / 2.0), F.col("df")) * F.col("se")
+    return rows.withColumns({"p": t_two_sided_p(F.col("t"), F.col("df")), "_half": half}).select(
+        "model",
+        *COEFFICIENTS,
+        "p",
+        (F.col("estimate") - F.col("_half")).alias("ci_lo"),
+        (F.col("estimate") + F.col("_half")).alias("ci_hi"),
+    )
 
 
 def model_table(models: dict[str, DataFrame], level: float = 0.95) -> DataFrame:
@@ -394,16 +467,4 @@ def model_table(models: dict[str, DataFrame], level: float = 0.95) -> DataFrame:
         DataFrame.unionByName,
         [m.select(F.lit(name).alias("model"), *COEFFICIENTS) for name, m in models.items()],
     )
-    rows = rows.withColumns(
-        {
-            "_q": t_quantile(F.lit((1.0 + level) / 2.0), F.col("df")),
-            "p": t_two_sided_p(F.col("t"), F.col("df")),
-        }
-    )
-    return rows.select(
-        "model",
-        *COEFFICIENTS,
-        "p",
-        (F.col("estimate") - F.col("_q") * F.col("se")).alias("ci_lo"),
-        (F.col("estimate") + F.col("_q") * F.col("se")).alias("ci_hi"),
-    )
+    return with_probabilities(rows, level)

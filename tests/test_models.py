@@ -207,3 +207,28 @@ def test_plant_carbon_model_matches_recorded_result(spark):
         assert r.t == pytest.approx(t, rel=2e-3)
         assert r.p == pytest.approx(p, rel=1e-2)
         assert r.ci_lo < r.estimate < r.ci_hi
+
+
+def test_models_fitted_together_equal_single_fits(spark):
+    rng = np.random.default_rng(8)
+    models = {}
+    for name, spread in (("a", 5.0), ("b", 0.2)):
+        data = [
+            ("xyz"[i % 3], f"s{i}", float(rng.normal(20 + i % 3, 2) + effect))
+            for i, effect in enumerate(rng.normal(0, spread, 15))
+            for _ in range(1 + i % 4)
+        ]
+        df = spark.createDataFrame(data, "type string, site string, y double")
+        models[name] = M.RandomIntercept(df, "type", "site", "y", "y")
+    together = rows(M.lmm_fit(models), "model", "term")
+    for name, m in models.items():
+        single = rows(M.lmm_random_intercept(m.data, m.fixed, m.site, m.y, m.ref), "term")
+        for a, b in zip([r for r in together if r["model"] == name], single):
+            for column in ("estimate", "se", "t", "df"):
+                assert a[column] == pytest.approx(b[column], rel=1e-6)
+
+
+def test_no_residual_variance_is_refused(spark):
+    df = spark.createDataFrame([("a", "s1", 1.0), ("b", "s2", 2.0)], "type string, site string, y double")
+    with pytest.raises(ValueError, match="no residual variance"):
+        M.lmm_random_intercept(df, "type", "site", "y", "a")
