@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coreline.llm import line_dedup
 from coreline.llm.common import documents
 
 QUERIES = {}
 ORACLES = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, sql: str | None = None):
+    """Register a query, with its SQL twin where there is one."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add(fn) if fn else add
 
 
 @query
@@ -34,3 +42,22 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = write_token_file(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_file(spark, path).drop("ids")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, line and repetition measures of all documents, and the verdict."""
+    from coreline.llm.repetition import quality_measures
+
+    found = quality_measures(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_chars",
+        "longest_repeat", "base_failed", "kept",
+    )
+
+
+@query(sql=line_dedup.ORACLE)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines under later occurrences of three-line windows."""
+    found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.selectExpr("doc_id", "__n_lines AS n_lines", "__n_removed AS n_removed", "__kept AS kept_text")
