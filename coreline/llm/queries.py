@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coreline.llm import line_dedup
+from coreline.llm import line_dedup, mixing
 from coreline.llm.common import documents
 
 QUERIES = {}
@@ -61,3 +61,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines under later occurrences of three-line windows."""
     found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.selectExpr("doc_id", "__n_lines AS n_lines", "__n_removed AS n_removed", "__kept AS kept_text")
+
+
+@query(sql=mixing.ORACLE)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_report(documents(spark, sf_dir))
