@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,12 @@ BATCH_BYTES = 4 << 20
 _STREAM = "part int, seq long, doc_id long, start_in_part long, n_tokens long, ids binary"
 
 
-def token_stream(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_stream(docs: DataFrame, tokenizer: str, end_id: int, zipped: bool = False) -> DataFrame:
     """``part, seq, doc_id, start_in_part, n_tokens, ids`` of every row of ``docs``.
 
     ``ids`` are little-endian 16-bit numbers, 32-bit where the vocabulary needs
-    it.  A NULL text counts as empty: its document is the end id alone.
+    it; zstd frames of them if ``zipped``.  A NULL text counts as empty: its
+    document is the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +49,12 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ends = np.cumsum(counts)
                 offsets = np.concatenate([[0], ends]) * closed.itemsize
                 n = len(counts)
+                ids = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(closed)]
+                ).cast(pa.binary())
+                if zipped:
+                    pack = zstandard.ZstdCompressor(level=3).compress
+                    ids = pa.array([pack(x.as_buffer()) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, part, np.int32)),
@@ -54,9 +62,7 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                         batch.column("doc_id").cast(pa.int64()),
                         pa.array(start + ends - counts),
                         pa.array(counts),
-                        pa.LargeBinaryArray.from_buffers(
-                            pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(closed)]
-                        ).cast(pa.binary()),
+                        ids,
                     ],
                     ["part", "seq", "doc_id", "start_in_part", "n_tokens", "ids"],
                 )

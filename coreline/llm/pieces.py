@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Letters followed by punctuation are two words in either vocabulary.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?;:]*)$"
 _JOINED = 500
 
 
@@ -29,7 +29,7 @@ class PieceEncoder:
     ends of words.  ``most_chars`` bounds the cache; a full cache starts anew.
     """
 
-    def __init__(self, path: str, most_chars: int = 12_000_000):
+    def __init__(self, path: str, most_chars: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,27 +44,26 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        #: the empty piece is number 0
+        self.slot: dict[str, int] = {"": 0}
         self.chars = 0
-        self.used = 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start: list[int] = []
-        self.length: list[int] = []
-
-    def _store(self, key: str, ids) -> None:
-        n = len(ids)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + n] = ids
-        self.slot[key] = len(self.start)
-        self.start.append(self.used)
-        self.length.append(n)
-        self.used += n
-        self.chars += len(key)
-
-    def _ids(self, key: str) -> np.ndarray:
-        k = self.slot[key]
-        return self.flat[self.start[k] : self.start[k] + self.length[k]]
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _store(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add pieces whose ids lie end to end."""
+        n, have = len(keys), len(self.slot)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while have + n > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[have : have + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[have : have + n] = lengths
+        self.slot.update(zip(keys, range(have, have + n), strict=True))
+        self.used += len(ids)
+        self.chars += sum(map(len, keys))
 
     def _learn_words(self, words: list[str]) -> None:
         """Words of letters only, many in one call; each is one token group."""
@@ -77,59 +76,54 @@ class PieceEncoder:
             else:
                 cuts = np.flatnonzero(self.last[ids])[:-1] + 1
             if len(cuts) + 1 == len(some):
-                for word, part in zip(some, np.split(ids, cuts), strict=True):
-                    self._store(word, part)
+                self._store(some, ids, np.diff(np.concatenate([[0], cuts, [len(ids)]])))
             else:
                 self._learn_any(some)
 
     def _learn_any(self, keys: list[str]) -> None:
         for at in range(0, len(keys), _JOINED):
             some = keys[at : at + _JOINED]
-            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            for key, one in zip(some, found, strict=True):
-                self._store(key, one.ids)
-
-    def _learn(self, missing: list[str]) -> None:
-        composed, words, other = [], {}, {}
-        for key in missing:
-            lead = " " if self.spaced and key.startswith(" ") else ""
-            match = _PLAIN.fullmatch(key, len(lead))
-            if match is None or (self.spaced and not lead):
-                other[key] = None
-                continue
-            word, tail = match[1], match[2]
-            word = lead + (word if self.spaced else word.lower())
-            if word not in self.slot:
-                words[word] = None
-            if tail and tail not in self.slot:
-                other[tail] = None
-            if tail or word != key:
-                composed.append((key, word, tail))
-        self._learn_any([k for k in other if k not in self.slot])
-        self._learn_words([k for k in words if k not in self.slot])
-        for key, word, tail in composed:
-            if key not in self.slot:
-                ids = self._ids(word)
-                self._store(key, np.concatenate([ids, self._ids(tail)]) if tail else ids.copy())
-
-    def _slots(self, keys: list[str]) -> np.ndarray:
-        missing = [k for k in dict.fromkeys(keys) if k not in self.slot]
-        if missing:
-            self._learn(missing)
+            found = [one.ids for one in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            flat = np.array([i for ids in found for i in ids], np.uint32)
+            self._store(some, flat, np.array([len(ids) for ids in found], np.int64))
+
+    def _slots(self, keys: list[str], learn) -> np.ndarray:
+        if missing := [k for k in dict.fromkeys(keys) if k not in self.slot]:
+            learn(missing)
         return np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
 
+    def _two_slots(self, pieces: pa.Array) -> np.ndarray:
+        """Two numbers for each distinct piece, of its word and of what follows the word."""
+        cut = pc.extract_regex(pieces, _PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(pieces), 2), np.int64)
+        word = pc.struct_field(cut, "word").filter(cut.is_valid())
+        space, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+        word = pc.binary_join_element_wise(space, word, nothing) if self.spaced else pc.utf8_lower(word)
+        for column, values, learn in (
+            (0, word, self._learn_words),
+            (1, pc.struct_field(cut, "tail").filter(cut.is_valid()), self._learn_any),
+        ):
+            coded = values.dictionary_encode()
+            numbers = self._slots(coded.dictionary.to_pylist(), learn)
+            out[plain, column] = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        rest = pieces.filter(pa.array(~plain)).to_pylist()
+        out[~plain, 0] = self._slots([" " + x for x in rest] if self.spaced else rest, self._learn_any)
+        return out
+
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, two for each, and how many each text has."""
         lists = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(lists).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        if not self.spaced:
-            return self._slots(distinct)[codes], counts
-        slots = self._slots([" " + piece for piece in distinct])[codes]
-        heads = np.cumsum(counts) - counts
-        slots[heads] = self._slots([distinct[c] for c in codes[heads]])
-        return slots, counts
+        slots = self._two_slots(coded.dictionary)[codes]
+        if self.spaced:
+            # the first piece of a text has no space before it
+            heads = np.cumsum(counts) - counts
+            slots[heads, 0] = self._slots(coded.dictionary.take(pa.array(codes[heads])).to_pylist(), self._learn_any)
+            slots[heads, 1] = 0
+        return slots.reshape(-1), 2 * counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text (none for NULL)."""
@@ -150,11 +144,10 @@ class PieceEncoder:
                 for i, part in zip(np.flatnonzero(~odd), np.split(plain, np.cumsum(sizes)[:-1]), strict=True):
                     rows[i] = part
             for i in np.flatnonzero(odd):
-                rows[i] = self._slots(_CUT.split(texts[int(i)].as_py()))
+                rows[i] = self._slots(_CUT.split(texts[int(i)].as_py()), self._learn_any)
             slots = np.concatenate(rows)
             counts = np.array([len(r) for r in rows], np.int64)
-        start = np.array(self.start, np.int64)[slots]
-        length = np.array(self.length, np.int64)[slots]
+        start, length = self.start[slots], self.length[slots]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
         take = np.arange(total) + np.repeat(start - (ends - length), length)

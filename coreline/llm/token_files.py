@@ -25,9 +25,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coreline.llm.common import frozen, running_offsets, shares, text_bytes
@@ -62,25 +61,26 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _place(edges: list[int]) -> Column:
+    """Number of the doc_id range of a row, by a short scan of ranges and one inside a range."""
+    if not edges:
+        return F.lit(0)
+    width = max(1, int(len(edges) ** 0.5))
+    coarse, fine = (F.array(*[F.lit(int(e)).cast("long") for e in some]) for some in (edges[::width], edges))
+    below = lambda e: e < F.col("doc_id")
+    skip = F.greatest(F.size(F.filter(coarse, below)) - 1, F.lit(0)) * width
+    place = skip + F.size(F.filter(F.slice(fine, skip + 1, F.lit(width + 1)), below))
+    return F.coalesce(place, F.lit(0)).cast("int")
+
+
 def _sorted_parts(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: int) -> DataFrame:
     """Zipped ids of all documents, dealt to parts by doc_id and sorted there."""
     parts = shares(text_bytes(docs), part_bytes)
     quantiles = [i / parts for i in range(1, parts)]
     bounds = docs.agg(F.percentile_approx("doc_id", quantiles, 10 * parts)).first()[0] if quantiles else []
-    edges = np.array(sorted(set(bounds or [])), np.int64)
-
-    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            small = pa.array([pack(x.as_buffer()) for x in batch.column("ids")], pa.binary())
-            key = pc.fill_null(batch.column("doc_id"), -(1 << 63)).to_numpy()
-            part = pa.array(np.searchsorted(edges, key).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part, batch.column("doc_id"), batch.column("n_tokens"), small], ["part", "doc_id", "n_tokens", "ids"]
-            )
-
-    coded = token_stream(docs, tokenizer, end_id).mapInArrow(zipped, "part int, doc_id long, n_tokens long, ids binary")
-    dealt = coded.repartition(parts, "part")
+    edges = sorted(set(bounds or []))
+    coded = token_stream(docs, tokenizer, end_id, zipped=True).select("doc_id", "n_tokens", "ids")
+    dealt = coded.withColumn("part", _place(edges)).repartition(parts, "part")
     return dealt.sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
 
 
