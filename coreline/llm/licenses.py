@@ -18,7 +18,7 @@ widened by one step.  Built-in expressions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
@@ -75,15 +75,25 @@ def _shingles(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, every).otherwise(F.array().cast("array<bigint>"))
 
 
+def _once(value: Column) -> Column:
+    """The value as a generated column: later filters can't copy its expression into themselves."""
+    return F.explode(F.array(value))
+
+
 def _named(words: Column, low: Column, count: Column) -> Column:
     """The five-word runs that start at ``low`` and the ``count - 1`` next words, as text."""
     at = F.filter(F.sequence(low, low + count - 1), lambda i: i + SHINGLE <= F.size(words))
     return F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(SHINGLE))))
 
 
-def _smallest(hashes: Column, row: int) -> Column:
-    """The shingle hash that comes first under permutation ``row``."""
-    return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, F.lit(row)).alias("r"), h.alias("h"))))["h"]
+def _smallest(hashes: Column) -> Column:
+    """For every row of all bands, the hash that comes first under the row's permutation."""
+
+    def first(row: Column) -> Column:
+        ranked = F.transform(hashes, lambda h: F.struct(F.xxhash64(h, row).alias("r"), h.alias("h")))
+        return F.array_min(ranked)["h"]
+
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), first)
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -99,7 +109,7 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
         F.size("hashes").alias("m"),
         F.greatest(F.lit(1), F.floor(F.size("hashes") / 8).cast("int")).alias("step"),
         F.array_distinct(_named(F.col("words"), F.lit(0), F.size("words") - SHINGLE + 1)).alias("shingles"),
-        F.array(*[_smallest(F.col("hashes"), r) for r in range(BANDS * ROWS)]).alias("mins"),
+        _smallest(F.col("hashes")).alias("mins"),
     )
 
 
@@ -119,9 +129,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> Da
     the one with the highest containment (the first of equals).  Words count
     from 0, ``end_word`` is behind the last one.
 
-    NULL, empty and short texts have no place; each row is scanned alone, so
-    repeated rows repeat their places, and a NULL doc_id stays NULL.  Other columns
-    are ignored, an empty table gives no rows.  ``templates`` are (license, text)
+    NULL, empty and short texts have no place; rows that repeat doc_id and text
+    are one document, and a NULL doc_id stays NULL.  Other columns are ignored, an
+    empty table gives no rows.  ``templates`` are (license, text)
     pairs; they become literals of the plan and are meant to be some hundreds at most.
     """
     # the templates are parameters, not data
@@ -129,10 +139,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> Da
     if short := [r["license"] for r in rows if not r["m"]]:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     wanted = F.array(*[F.lit(x).cast("bigint") for x in sorted({x for r in rows for x in r["mins"]})])
-    texts = docs.select("doc_id", _words(F.col("text")).alias("words")).withColumn("hashes", _shingles(F.col("words")))
-    # an own number a row: repeated rows are not merged
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _once(_words(F.col("text"))).alias("words"))
+    texts = texts.select("*", _once(_shingles(F.col("words"))).alias("hashes"))
     hit = texts.where(F.size(F.array_intersect("hashes", wanted)) > 0)
-    each = hit.withColumn("t", F.explode(F.array(*map(_literal, rows)))).where(F.arrays_overlap("hashes", "t.mins"))
+    each = hit.select("*", F.explode(F.array(*map(_literal, rows))).alias("t")).where(F.arrays_overlap("hashes", "t.mins"))
     h, m, step, last = F.col("hashes"), F.col("t.m"), F.col("t.step"), F.greatest(F.size("hashes") - F.col("t.m"), F.lit(0))
     near = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda p: F.array_contains("t.mins", F.get(h, p)))
     # grid starts of windows that hold such a shingle, and the last window of the text
@@ -140,25 +150,34 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> Da
         F.transform(
             near,
             lambda p: F.filter(
-                F.sequence(F.greatest(p - m + 1, F.lit(0)), F.least(p, last)) if False else F.sequence(
-                    F.least(F.greatest(p - m + 1, F.lit(0)), last), F.least(p, last)
-                ),
+                F.sequence(F.least(F.greatest(p - m + 1, F.lit(0)), last), F.least(p, last)),
                 lambda i: (i % step == 0) | (i == last),
             ),
         )
     )
-    each = each.withColumn("start", F.explode(F.array_distinct(grid)))
-    seen = F.slice(h, F.col("start") + 1, m)
-    bands = None
-    for band in range(BANDS):
-        agree = None
-        for k in range(band * ROWS, band * ROWS + ROWS):
-            same = _smallest(F.col("seen"), k) == F.get("t.mins", F.lit(k))
-            agree = same if agree is None else agree & same
-        bands = agree if bands is None else bands | agree
-    each = each.withColumn("seen", seen).where(bands)
+    each = each.select("*", F.explode(F.array_distinct(grid)).alias("start"))
+    each = each.select("*", _once(_smallest(F.slice(h, F.col("start") + 1, m))).alias("firsts"))
+    agree = F.exists(
+        F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1), F.lit(ROWS)),
+        lambda i: F.slice("firsts", i + 1, F.lit(ROWS)) == F.slice("t.mins", i + 1, F.lit(ROWS)),
+    )
+    each = each.where(agree).drop("firsts")
     low = F.greatest(F.col("start") - step, F.lit(0))
     count = F.col("start") + m + step - low
     found = F.array_intersect(_named(F.col("words"), low, count), F.col("t.shingles"))
     share = F.size(found) / F.size("t.shingles")
-    return each.withColumn("containment", share).where(F.col("containment") * 100 >= percent)
+    each = each.select(
+        "doc_id",
+        "text_hash",
+        "t.license",
+        F.col("start").alias("start_word"),
+        F.least(F.col("start") + m + (SHINGLE - 1), F.size("words")).alias("end_word"),
+        share.alias("containment"),
+    ).where(F.col("containment") * 100 >= percent)
+    key = ["doc_id", "text_hash", "license"]
+    order = Window.partitionBy(*key).orderBy("start_word", "end_word")
+    reached = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start_word") >= reached, F.lit(True)).cast("int")
+    placed = each.withColumn("fresh", fresh).withColumn("place", F.sum("fresh").over(order))
+    best = F.max_by(F.struct("start_word", "end_word", "containment"), F.struct("containment", -F.col("start_word"), "end_word"))
+    return placed.groupBy(*key, "place").agg(best.alias("best")).select("doc_id", "license", "best.*")

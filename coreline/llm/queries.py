@@ -67,3 +67,35 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix_report(documents(spark, sf_dir))
+
+
+@query
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from coreline.llm.winnowing import fingerprint_report
+
+    return fingerprint_report(documents(spark, sf_dir))
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of known licenses in all documents."""
+    from coreline.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes under 50-byte strings of earlier documents."""
+    from coreline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), keep=False).drop("kept")
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are alike."""
+    from coreline.llm.jaccard_tree import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir)).drop("d1")
