@@ -12,15 +12,18 @@ groups equal after the last one are exactly the repeated strings.
     same run, all its strings are repeated, with nothing more to compare.
 *   Third digit: the string itself, only in runs that share their first digit
     with a different run of another document, and only once for each such run.
+    Their bytes are sent as they are, and cut into strings where they meet.
 
-Records travel as sorted arrays, one for each task and range of the digit, so
-no digit's group is a row each; a task sends a run once for each document.
-Digits are 48-bit hashes that only ever meet in combination (96 bits and more).
+Records travel as sorted arrays, one for each batch and range of the digit, so
+no digit's group is a row each.  A first digit has as many bytes as tell the
+records of the table apart, a second one five; they only count together, and a
+third one counts 64 bits together with the first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +36,11 @@ from coreline.llm.common import byte_view, frozen, shares, slices, text_bytes
 from coreline.llm.rolling import mixed, prefix_sums, span_hash, window_hash
 
 BATCH_BYTES = 2 << 20
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
+CONTEXT_BYTES = 5
 #: A NULL doc_id counts as the largest id.
 NO_ID = (1 << 63) - 1
-_LOW48 = np.uint64((1 << 48) - 1)
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 _RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -56,7 +59,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Runs:
     """Runs of neighbouring strings with one first digit, for texts laid end to end."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, width: int):
         self.sums = prefix_sums(data)
         n = len(data) - length + 1
         starts, ends = offsets[:-1], offsets[1:]
@@ -79,9 +82,9 @@ class Runs:
         self.start = first
         last = ends[self.doc] - length + 1
         self.stop = np.minimum(np.append(first[1:], n), last)
-        self.digit = least[first] >> np.uint64(16)
+        self.digit = least[first] >> np.uint64(64 - 8 * width)
         span = (self.stop - self.start).astype(np.uint64)
-        self.context = mixed(span_hash(self.sums, self.start, self.stop + length - 1) + span * _C1) & _LOW48
+        self.context = mixed(span_hash(self.sums, self.start, self.stop + length - 1) + span * _C1) >> np.uint64(24)
 
 
 def _join(digit: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -96,26 +99,30 @@ def _chunk(ids: np.ndarray, chunks: int) -> np.ndarray:
     return (mixed(ids.astype(np.uint64)) % np.uint64(chunks)).astype(np.int32)
 
 
-def _six(x: np.ndarray) -> bytes:
-    """Lowest six bytes of each number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    """Lowest ``width`` bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
+def _numbers(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8").reshape(-1)
 
 
+def digit_bytes(size: int) -> int:
+    """Bytes of a first digit for a table of ``size`` bytes: few records share one by chance."""
+    return min(8, max(5, math.ceil((math.log2(max(size, 2)) + 10) / 8)))
+
+
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
 
-def _split(digit: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of sorted 48-bit digits starts (but the first)."""
-    step = (1 << 48) // buckets
-    return np.searchsorted(digit, np.array([k * step for k in range(1, buckets)], np.uint64))
+def _split(digit: np.ndarray, width: int, buckets: int) -> list[int]:
+    """Edges of ``buckets`` equal ranges in sorted digits."""
+    step = (1 << 8 * width) // buckets
+    return [0, *np.searchsorted(digit, np.array([k * step for k in range(1, buckets)], np.uint64)), len(digit)]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -132,7 +139,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, rows
 
 
-def _run_records(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
+def _run_records(docs: DataFrame, length: int, gram: int, width: int, buckets: int) -> DataFrame:
     """First and second digits of all runs: arrays of one batch and digit range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,20 +149,19 @@ def _run_records(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
                 found = []
                 at = 0
                 for some in slices(batch, "text", BATCH_BYTES):
-                    runs = Runs(*byte_view(some.column("text")), length, gram)
+                    runs = Runs(*byte_view(some.column("text")), length, gram, width)
                     found.append((runs.digit, runs.context, runs.doc + at))
                     at += some.num_rows
                 digit, context, doc = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.argsort(digit)
                 digit, context, doc = digit[order], context[order], doc[order]
                 rows = []
-                cuts = [0, *_split(digit, buckets), len(digit)]
+                cuts = _split(digit, width, buckets)
                 for k in range(buckets):
                     part = slice(cuts[k], cuts[k + 1])
                     if cuts[k] < cuts[k + 1]:
-                        used, place = np.unique(doc[part], return_inverse=True)
-                        kind = "<u2" if len(used) <= 1 << 16 else "<u4"
-                        rows.append((k, ids[used].tobytes(), place.astype(kind).tobytes(), _six(digit[part]), _six(context[part])))
+                        own = _members(doc[part], ids)
+                        rows.append((k, *own, _bytes(digit[part], width), _bytes(context[part], CONTEXT_BYTES)))
                 if rows:
                     columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -166,6 +172,17 @@ def _run_records(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
     return docs.mapInArrow(run, "bucket int, ids binary, place binary, digit binary, context binary")
 
 
+def _members(doc: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids that occur, and the number of each record's id among them."""
+    used, place = np.unique(doc, return_inverse=True)
+    return ids[used].tobytes(), place.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()
+
+
+def _member_ids(row: dict) -> np.ndarray:
+    kind = "<u2" if len(row["ids"]) <= 8 << 16 else "<u4"
+    return np.frombuffer(row["ids"], np.int64)[np.frombuffer(row["place"], kind)]
+
+
 def _to_chunks(ids: np.ndarray, key: np.ndarray, kind: int, chunks: int) -> pa.RecordBatch:
     """Rows ``chunk, kind, doc_id, body``: sorted marks of documents of one chunk."""
     mark, chunk = _owned(ids, key), _chunk(ids, chunks)
@@ -184,21 +201,16 @@ def _to_chunks(ids: np.ndarray, key: np.ndarray, kind: int, chunks: int) -> pa.R
 
 
 _WORK = "chunk int, kind int, doc_id long, body binary"
-REPEATED, OPEN, TEXT = 0, 1, 2
+REPEATED, OPEN, STRING, TEXT = 0, 1, 2, 3
 
 
-def _first_two_digits(records: DataFrame, buckets: int, chunks: int) -> DataFrame:
+def _first_two_digits(records: DataFrame, width: int, buckets: int, chunks: int) -> DataFrame:
     """Marks of runs that an earlier document has (REPEATED), and of those to look into (OPEN)."""
 
     def decide(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        digit = np.concatenate([_from_six(r["digit"]) for r in rows])
-        context = np.concatenate([_from_six(r["context"]) for r in rows])
-        ids = np.concatenate(
-            [
-                np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["place"], "<u2" if len(r["ids"]) <= 8 << 16 else "<u4")]
-                for r in rows
-            ]
-        )
+        digit = np.concatenate([_numbers(r["digit"], width) for r in rows])
+        context = np.concatenate([_numbers(r["context"], CONTEXT_BYTES) for r in rows])
+        ids = np.concatenate([_member_ids(r) for r in rows])
         order = np.argsort(digit, kind="stable")
         same = digit[order][1:] == digit[order][:-1]
         several = np.zeros(len(order), bool)
@@ -272,133 +284,123 @@ def _finish(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, gone: np.nda
     return rows
 
 
-def _bodies(rows: list[dict], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]]:
+def _bodies(rows: list[dict], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, bytes and offsets of the texts of some rows, about ``most`` bytes at a time."""
     unzip = zstandard.ZstdDecompressor().decompress
-    some, held, size = [], [], 0
+    some, ids, size = [], [], 0
     for k, row in enumerate(rows):
         some.append(unzip(row["body"]))
-        held.append(row)
+        ids.append(row["doc_id"])
         size += len(some[-1])
         if size >= most or k == len(rows) - 1:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
-            yield np.array([r["doc_id"] for r in held], np.int64), np.frombuffer(b"".join(some), np.uint8), offsets, held
-            some, held, size = [], [], 0
+            yield np.array(ids, np.int64), np.frombuffer(b"".join(some), np.uint8), offsets
+            some, ids, size = [], [], 0
 
 
-_MARKED = (
-    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
-    "chunk int, body binary, gone binary, bucket int, first binary, second binary, place binary, ids binary"
-)
-_NAMES = [x.split()[0] for x in _MARKED.split(", ")]
+_OPEN = "bucket int, ids binary, place binary, digit binary, size binary, body binary"
 
 
-def _table(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"chunk": pa.int32(), "bucket": pa.int32(), "kept_sha256": pa.string()}
-    kinds |= dict.fromkeys(("doc_id", "n_bytes", "n_removed", "n_spans"), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.binary())) for c in _NAMES], _NAMES)
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of some spans, end to end."""
+    ends = np.cumsum(size)
+    return data[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _second_pass(work: DataFrame, length: int, gram: int, buckets: int, chunks: int, keep: bool) -> DataFrame:
-    """Results of documents that are settled; texts, and third digits, of the others."""
+def _open_runs(work: DataFrame, length: int, gram: int, width: int, buckets: int, chunks: int) -> DataFrame:
+    """The bytes of OPEN runs: arrays of one chunk and range of the first digit."""
 
-    def chunk_rows(chunk: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        lists = {kind: [r["body"] for r in rows if r["kind"] == kind] for kind in (REPEATED, OPEN)}
-        for ids, data, offsets, held in _bodies([r for r in rows if r["kind"] == TEXT], BATCH_BYTES):
+    def chunk_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        lists = [r["body"] for r in rows if r["kind"] == OPEN]
+        if not lists:
+            return
+        zipped = zstandard.ZstdCompressor(level=3).compress
+        for ids, data, offsets in _bodies([r for r in rows if r["kind"] == TEXT], BATCH_BYTES):
+            runs = Runs(data, offsets, length, gram, width)
+            mark = _owned(ids[runs.doc], _join(runs.digit, runs.context))
+            look = np.flatnonzero(_known(mark, lists))
+            _, once = np.unique(mark[look], return_index=True)
+            look = look[once]
+            look = look[np.argsort(runs.digit[look])]
+            cuts = _split(runs.digit[look], width, buckets)
             out = []
-            gone, pending = np.zeros(len(data), bool), np.zeros(len(ids), bool)
-            if lists[REPEATED] or lists[OPEN]:
-                runs = Runs(data, offsets, length, gram)
-                mark = _owned(ids[runs.doc], _join(runs.digit, runs.context))
-                hit = _known(mark, lists[REPEATED])
-                gone = _covered(len(data), runs.start[hit], runs.stop[hit] + length - 1)
-                look = _known(mark, lists[OPEN])
-                pending[runs.doc[look]] = True
-                many = runs.stop[look] - runs.start[look]
-                at = np.repeat(runs.start[look] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                first = mixed(window_hash(runs.sums, length)[at]) if len(at) else np.zeros(0, np.uint64)
-                second = (mixed(first ^ _C2) ^ np.repeat(runs.digit[look], many)) & _LOW48
-                doc = np.repeat(runs.doc[look], many)
-                _, one = np.unique(_owned(doc, first), return_index=True)
-                one = one[np.argsort(first[one])]
-                first, second, doc = first[one], second[one], doc[one]
-                cuts = [0, *_split(first >> np.uint64(16), buckets), len(first)]
-                for k in range(buckets):
-                    part = slice(cuts[k], cuts[k + 1])
-                    if cuts[k] < cuts[k + 1]:
-                        used, place = np.unique(doc[part], return_inverse=True)
-                        out.append(
-                            {
-                                "bucket": k,
-                                "first": first[part].tobytes(),
-                                "second": _six(second[part]),
-                                "place": place.astype("<u4").tobytes(),
-                                "ids": ids[used].tobytes(),
-                            }
-                        )
-            done = _finish(ids, data, offsets, gone, keep)
-            for i, row in enumerate(done):
-                if pending[i]:
-                    bits = np.packbits(gone[offsets[i] : offsets[i + 1]]).tobytes()
-                    zipped = zstandard.ZstdCompressor(level=3).compress(bits)
-                    out.append({"doc_id": int(ids[i]), "chunk": chunk, "body": held[i]["body"], "gone": zipped})
-                else:
-                    out.append(dict(zip(_RESULT, row, strict=True)))
-            yield _table(out)
+            for k in range(buckets):
+                part = look[cuts[k] : cuts[k + 1]]
+                if len(part):
+                    size = runs.stop[part] - runs.start[part] + length - 1
+                    body = zipped(_gather(data, runs.start[part], size).tobytes())
+                    own = _members(runs.doc[part], ids)
+                    out.append((k, *own, _bytes(runs.digit[part], width), size.astype("<u4").tobytes(), body))
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(next(columns), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
+                    ["bucket", "ids", "place", "digit", "size", "body"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in _grouped(batches, "chunk"):
-            yield from chunk_rows(chunk, rows)
+        for _, rows in _grouped(batches, "chunk"):
+            yield from chunk_rows(rows)
 
-    return work.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, _MARKED)
+    return work.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, _OPEN)
 
 
-def _third_digit(marked: DataFrame, buckets: int, chunks: int) -> DataFrame:
+def _third_digit(opened: DataFrame, length: int, width: int, buckets: int, chunks: int) -> DataFrame:
     """Marks of strings that an earlier document has."""
 
     def decide(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        first = np.concatenate([np.frombuffer(r["first"], np.uint64) for r in rows])
-        second = np.concatenate([_from_six(r["second"]) for r in rows])
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["place"], "<u4")] for r in rows])
-        order = np.lexsort((ids, second, first))
-        first, second, ids = first[order], second[order], ids[order]
+        unzip = zstandard.ZstdDecompressor().decompress
+        data = np.frombuffer(b"".join(unzip(r["body"]) for r in rows), np.uint8)
+        size = np.concatenate([np.frombuffer(r["size"], "<u4") for r in rows]).astype(np.int64)
+        many = size - length + 1
+        start = np.cumsum(size) - size
+        at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        string = mixed(window_hash(prefix_sums(data), length)[at])
+        digit = np.repeat(np.concatenate([_numbers(r["digit"], width) for r in rows]), many)
+        ids = np.repeat(np.concatenate([_member_ids(r) for r in rows]), many)
+        order = np.lexsort((ids, string, digit))
+        digit, string, ids = digit[order], string[order], ids[order]
         new = np.ones(len(ids), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        new[1:] = (digit[1:] != digit[:-1]) | (string[1:] != string[:-1])
         late = ids > ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
         if late.any():
-            yield _to_chunks(ids[late], first[late], REPEATED, chunks)
+            yield _to_chunks(ids[late], string[late], STRING, chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "bucket"):
             yield from decide(rows)
 
-    rows = marked.where("bucket IS NOT NULL").select("bucket", "first", "second", "place", "ids")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _WORK)
+    return opened.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _WORK)
 
 
-def _last_pass(marked: DataFrame, marks: DataFrame, length: int, chunks: int, keep: bool) -> DataFrame:
-    texts = marked.where("gone IS NOT NULL").select(F.col("chunk"), F.lit(TEXT).alias("kind"), "doc_id", "body", "gone")
-    work = texts.unionByName(marks.withColumn("gone", F.lit(None).cast("binary")))
+def _results(work: DataFrame, length: int, gram: int, width: int, chunks: int, keep: bool) -> DataFrame:
+    def chunk_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        lists = {kind: [r["body"] for r in rows if r["kind"] == kind] for kind in (REPEATED, STRING)}
+        for ids, data, offsets in _bodies([r for r in rows if r["kind"] == TEXT], BATCH_BYTES):
+            gone = np.zeros(len(data), bool)
+            if any(lists.values()):
+                runs = Runs(data, offsets, length, gram, width)
+                hit = _known(_owned(ids[runs.doc], _join(runs.digit, runs.context)), lists[REPEATED])
+                gone = _covered(len(data), runs.start[hit], runs.stop[hit] + length - 1)
+                if lists[STRING] and len(data) >= length:
+                    string = mixed(window_hash(runs.sums, length))
+                    owner = np.repeat(np.arange(len(ids)), np.diff(offsets))[: len(string)]
+                    at = np.arange(len(string))
+                    hit = _known(_owned(ids[owner], string), lists[STRING]) & (at + length <= offsets[owner + 1])
+                    gone |= _covered(len(data), at[hit], at[hit] + length)
+            done = _finish(ids, data, offsets, gone, keep)
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            columns = zip(*done, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor().decompress
         for _, rows in _grouped(batches, "chunk"):
-            lists = [r["body"] for r in rows if r["kind"] == REPEATED]
-            for ids, data, offsets, held in _bodies([r for r in rows if r["kind"] == TEXT], BATCH_BYTES):
-                sizes = np.diff(offsets)
-                gone = np.concatenate(
-                    [np.unpackbits(np.frombuffer(unzip(r["gone"]), np.uint8), count=n) for r, n in zip(held, sizes, strict=True)]
-                ).astype(bool)
-                if lists and len(data) >= length:
-                    string = mixed(window_hash(prefix_sums(data), length))
-                    owner = np.repeat(np.arange(len(ids)), sizes)[: len(string)]
-                    at = np.arange(len(string))
-                    hit = _known(_owned(ids[owner], string), lists) & (at + length <= offsets[owner + 1])
-                    gone |= _covered(len(data), at[hit], at[hit] + length)
-                yield _table([dict(zip(_RESULT, row, strict=True)) for row in _finish(ids, data, offsets, gone, keep)])
+            yield from chunk_rows(rows)
 
     dealt = work.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
-    return dealt.mapInArrow(run, _MARKED)
+    return dealt.mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    )
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, keep: bool = True) -> DataFrame:
@@ -416,10 +418,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, keep: bool
     """
     docs = docs.select("doc_id", "text")
     size = text_bytes(docs)
-    buckets, chunks = shares(size, BUCKET_BYTES), shares(size, CHUNK_BYTES)
-    marks = _first_two_digits(_run_records(docs, length, gram, buckets), buckets, chunks)
-    work = marks.unionByName(_texts(docs, chunks))
-    marked = frozen(_second_pass(work, length, gram, buckets, chunks, keep), "suffix-marks", "lz4")
-    last = _last_pass(marked, _third_digit(marked, buckets, chunks), length, chunks, keep)
-    settled = marked.where("n_bytes IS NOT NULL")
-    return settled.select(*_RESULT).unionByName(last.select(*_RESULT))
+    width, buckets, chunks = digit_bytes(size), shares(size, BUCKET_BYTES), shares(size, CHUNK_BYTES)
+    records = _run_records(docs, length, gram, width, buckets)
+    marks = frozen(_first_two_digits(records, width, buckets, chunks), "suffix-marks", "lz4")
+    texts = _texts(docs, chunks)
+    opened = _open_runs(marks.where(F.col("kind") == OPEN).unionByName(texts), length, gram, width, buckets, chunks)
+    strings = _third_digit(opened, length, width, buckets, chunks)
+    work = marks.where(F.col("kind") == REPEATED).unionByName(strings).unionByName(texts)
+    return _results(work, length, gram, width, chunks, keep)
