@@ -99,3 +99,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from coreline.llm.jaccard_tree import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir)).drop("d1")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    from coreline.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
