@@ -163,8 +163,28 @@ def _map_sets(docs: DataFrame, shingle: int, percent: int, buckets: int) -> Data
     )
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest node of each component of these edges to its other nodes."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[i], label[j])
+        if (least == label[i]).all() and (least == label[j]).all():
+            break
+        np.minimum.at(label, label[i], least)
+        np.minimum.at(label, label[j], least)
+        label = label[label]
+        label = label[label]
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def _stars(signatures: DataFrame, buckets: int) -> DataFrame:
-    """Edges ``a, b`` from the members of each signature to its smallest one."""
+    """Edges ``a, b`` that connect the members of each signature.
+
+    Each hash range sends a spanning forest: no more edges than it has members.
+    """
 
     def edges(parts: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch | None:
         sig = np.concatenate([np.frombuffer(x, np.uint64) for _, x, _ in parts])
@@ -177,8 +197,8 @@ def _stars(signatures: DataFrame, buckets: int) -> DataFrame:
         apart = center != row
         if not apart.any():
             return None
-        pairs = np.unique(np.stack([center[apart], row[apart]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        a, b = _forest(center[apart], row[apart])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
