@@ -410,3 +410,24 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
         "d1",
     )
     return out.withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: one of each group of linked texts stays.
+
+    It is the one with the smallest doc_id (a NULL last, equal ids by a hash of
+    their texts).  Here texts link, not ids: rows that share a doc_id but not
+    their text are compared like any others, rows of one text are one.  Texts
+    without words link with nothing and all stay.
+    """
+    text = F.xxhash64("text").bitwiseAND(F.lit(NO_ID))
+    wordy = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    rows = docs.where(wordy).withColumn("__text", text)
+    groups = jaccard_components(rows.select(F.col("__text").alias("doc_id"), "text"), shingle, percent)
+    groups = groups.select(F.col("doc_id").alias("__text"), "component_id").distinct()
+    ids = rows.select("__text", "doc_id").distinct().join(groups, "__text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("first")
+    stays = ids.groupBy("component_id").agg(first).select("first.__text", F.col("first.doc_id").alias("__id"))
+    kept = rows.join(stays, "__text").where(F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__text"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*names).unionByName(docs.where(~wordy).select(*names))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from coreline.llm import line_dedup, mixing
@@ -107,3 +108,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from coreline.llm.toxicity import toxicity_scores
 
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed sequences of the filtered, deduplicated and mixed documents."""
+    return corpus_pipeline.run(spark, sf_dir)
