@@ -215,7 +215,7 @@ def legacy_core_correction(s):
 
 
 @query(
-    "core_no treatment2 av:5~ sd:4~ n:i se:4~",
+    "core_no treatment2 av:8 sd:6 n:i se:6",
     mean_se_sql(
         f"(SELECT core_no, site_old_name AS treatment2, corrected FROM {_LEGACY.format(depth=50)})",
         "core_no, treatment2", "corrected", "lenient",
@@ -307,12 +307,12 @@ def above_below_young(s):
         FROM ({mean_se_sql("core_100", "site, site_type_25y", "total_lenient", "strict")})
         UNION ALL
         SELECT site, site_type_25y, round(av, 2), round(se, 2), 'Aboveground'
-        FROM ({mean_se_sql("plants", "site, site_type_25y", "plant_c", "strict",
-                           "plant_c IS NOT NULL AND treatment2 <> 'Disturbed'")})""",
+        FROM ({mean_se_sql("complete_plants", "site, site_type_25y", "plant_c", "strict",
+                           "treatment2 <> 'Disturbed'")})""",
 )
 def site_effect_table(s):
     """Site means above and below ground, by age bucket."""
-    plots = located_plots(s, "site_type", "site_year_numeric").dropna("any").filter(
+    plots = P.complete_plots(P.plot_carbon(s.plots()), s.sites(), ["treatment2", "plant_c"]).filter(
         F.col("treatment2") != "Disturbed"
     )
     above = plots.select("site", P.age_bucket().alias("bucket"), F.col("plant_c").alias("value"))
@@ -359,7 +359,7 @@ def horizon_accretion(s, *columns):
 
 
 @query(
-    "core_no site site_year_numeric:i site_type_25y total:8 stand_age:2 per_year:6~ per_year_shown:6~",
+    "core_no site site_year_numeric:i site_type_25y total:8 stand_age:2 per_year:9 per_year_shown:9",
     """SELECT core_no, site, site_year_numeric, site_type_25y, total_lenient AS total, stand_age,
               per_year, CASE WHEN site_type_25y = 'Converted' THEN 0 ELSE per_year END AS per_year_shown
        FROM core_horizon""",

@@ -11,7 +11,7 @@ from coreline.operators.joins import join_dim, join_many_to_one
 from coreline.operators.summary import mean_se
 from coreline.plans import cores as C
 from coreline.plans import plots as P
-from coreline.runtime import new_path
+from coreline.runtime import drop_path, new_path
 from coreline.sources import tables
 
 
@@ -44,9 +44,30 @@ def sink_roundtrip(s):
     fields = {"site_core": ("site_core", "string"), "site": ("site", "string"),
               "total": ("total", "double")}
     path = tables.write_csv(totals.select(*fields), new_path(s.spark, "core-totals-csv"))
-    return tables.materialise(
-        tables.read_csv(s.spark, path, fields), new_path(s.spark, "core-totals")
-    )
+    try:
+        return tables.materialise(
+            tables.read_csv(s.spark, path, fields), new_path(s.spark, "core-totals")
+        )
+    finally:
+        drop_path(s.spark, path)
+
+
+@query(
+    "core_no:i depth_from:2 depth_to:2 c_perc:4 treatment",
+    "SELECT core_no, depth_from, depth_to, c_perc, treatment FROM raw_slices",
+)
+def scan_csv_files(s):
+    """Slices from CSV files of two column orders, each read by its own header."""
+    slices = s.raw_slices().withColumn("core_no", F.col("core_no").cast("string"))
+    fields = {"core_no": ("Core", "string")} | {
+        k: tables.SLICE_FIELDS[k] for k in ("depth_from", "depth_to", "c_perc", "treatment")
+    }
+    paths = []
+    for part, order in enumerate((list(fields), list(reversed(fields)))):
+        some = slices.filter(F.pmod(F.col("core_no").cast("long"), F.lit(2)) == part)
+        named = some.select(*[F.col(k).alias(fields[k][0]) for k in order])
+        paths.append(tables.write_csv(named, new_path(s.spark, "slices-csv")))
+    return tables.read_csv(s.spark, paths, fields)
 
 
 # --- projections --------------------------------------------------------------
@@ -193,12 +214,12 @@ def filter_or(s):
 
 @query(
     "subplot_name treatment2 biomass_kg:6 plant_c:8",
-    "SELECT * FROM plants WHERE plant_c IS NOT NULL AND treatment2 <> 'Disturbed'",
+    "SELECT * FROM complete_plants WHERE treatment2 <> 'Disturbed'",
 )
 def complete_cases(s):
-    """Plots with every value present, disturbed sites left out."""
-    rows = P.plot_carbon(s.plots()).select("subplot_name", "treatment2", "biomass_kg", "plant_c")
-    return rows.dropna("any").filter(F.col("treatment2") != "Disturbed")
+    """Plots of known sites with every value present, disturbed sites left out."""
+    rows = P.complete_plots(P.plot_carbon(s.plots()), s.sites(), ["subplot_name", "treatment2", "biomass_kg", "plant_c"])
+    return rows.filter(F.col("treatment2") != "Disturbed")
 
 
 @query(

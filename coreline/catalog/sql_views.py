@@ -10,48 +10,53 @@ _RATES = values_sql([(i, mar, se) for i, (_, mar, se) in enumerate(DATED_RATES)]
 
 VIEWS = {
     "sites": """
-        SELECT n_nationkey AS site_no,
-               replace(n_name, '_', '') AS site,
-               'S' || CAST(n_nationkey AS VARCHAR) AS site_short,
-               r_name AS region,
-               CAST(1917 + 4 * n_nationkey AS VARCHAR)
-                 || CASE WHEN n_nationkey % 7 = 3 THEN 'A' ELSE '' END AS site_year,
-               1917 + 4 * n_nationkey AS site_year_numeric,
-               CASE r_name WHEN 'AFRICA' THEN 'Disturbed' WHEN 'AMERICA' THEN 'Remnant'
-                    ELSE 'Rehabilitated' END AS site_old_name,
-               CASE r_name WHEN 'AFRICA' THEN 'Converted' WHEN 'AMERICA' THEN 'Established'
-                    ELSE 'Rehabilitated' END AS site_type,
-               CASE WHEN r_name = 'AFRICA' THEN 'Converted'
-                    WHEN r_name = 'AMERICA' THEN 'Established'
-                    WHEN 1917 + 4 * n_nationkey < 1992 THEN 'Rehabilitated_old'
-                    ELSE 'Rehabilitated_young' END AS site_type_25y,
-               CASE n_nationkey % 5 WHEN 0 THEN 1000e0 WHEN 1 THEN 50e0
-                    WHEN 2 THEN 10.5e0 WHEN 3 THEN 6.5e0 END AS horizon_cm
-        FROM nation JOIN region ON n_regionkey = r_regionkey""",
+        SELECT *, CAST(site_year_numeric AS VARCHAR)
+                    || CASE site_no % 7 WHEN 3 THEN 'A' WHEN 5 THEN 'D' ELSE '' END AS site_year,
+               CASE WHEN site_type <> 'Rehabilitated' THEN site_type
+                    WHEN site_year_numeric < 1992 THEN 'Rehabilitated_old'
+                    ELSE 'Rehabilitated_young' END AS site_type_25y
+        FROM (SELECT n_nationkey AS site_no,
+                     replace(n_name, '_', '') AS site,
+                     'S' || CAST(n_nationkey AS VARCHAR) AS site_short,
+                     r_name AS region,
+                     CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN 1917 + 4 * n_nationkey
+                          ELSE 1972 + (3 * n_nationkey) // 2 END AS site_year_numeric,
+                     CASE r_name WHEN 'AFRICA' THEN 'Disturbed' WHEN 'AMERICA' THEN 'Remnant'
+                          ELSE 'Rehabilitated' END AS site_old_name,
+                     CASE r_name WHEN 'AFRICA' THEN 'Converted' WHEN 'AMERICA' THEN 'Established'
+                          ELSE 'Rehabilitated' END AS site_type,
+                     CASE n_nationkey % 5 WHEN 0 THEN 1000e0 WHEN 1 THEN 50e0
+                          WHEN 2 THEN 10.5e0 WHEN 3 THEN 6.5e0 END AS horizon_cm
+              FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 23)""",
     "rates": f"""
-        SELECT site, mar, mar_se
-        FROM sites JOIN (VALUES {_RATES}) AS v(slot, mar, mar_se)
-          ON sites.site_no % {len(DATED_RATES)} = v.slot""",
+        SELECT replace(n_name, '_', '') AS site, mar, mar_se
+        FROM nation JOIN (VALUES {_RATES}) AS v(slot, mar, mar_se)
+          ON n_nationkey % {len(DATED_RATES)} = v.slot""",
+    "places": """
+        SELECT n_nationkey AS site_no, replace(n_name, '_', '') AS site, sites.* EXCLUDE (site_no, site)
+        FROM nation LEFT JOIN sites ON n_nationkey = site_no""",
     "cores": """
         SELECT o_orderkey AS core_no, c_nationkey AS site_no
-        FROM orders JOIN customer ON o_custkey = c_custkey""",
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "raw_slices": """
         SELECT l_orderkey AS core_no,
                CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F'
                     THEN 'Saltmarsh_natural' ELSE 'Mangrove' END AS treatment,
-               (l_linenumber - 1) * 10e0 AS depth_from,
-               l_linenumber * 10e0 AS depth_to,
-               CAST((l_linenumber - 1) * 10 AS VARCHAR) || 'to'
-                 || CAST(l_linenumber * 10 AS VARCHAR) AS depth_range,
-               l_discount * 100 AS c_perc,
-               CASE WHEN l_quantity <> 13 THEN l_quantity / 50e0 END AS dry_bulk_density,
+               depth_from, depth_to,
+               CAST(depth_from AS VARCHAR) || 'to' || CAST(depth_to AS VARCHAR) AS depth_range,
+               CASE WHEN l_quantity <> 15 THEN l_discount * 100 END AS c_perc,
+               CASE WHEN l_quantity NOT IN (13, 14) THEN l_quantity / 50e0 END AS dry_bulk_density,
                1 - l_tax AS compaction,
                CASE WHEN l_quantity <> 13 THEN l_extendedprice / 1000e0 END AS section_stock
-        FROM lineitem""",
+        FROM lineitem JOIN (
+          SELECT CAST(k AS INTEGER) AS line, lag(below, 1, 0e0) OVER (ORDER BY k) AS depth_from, below AS depth_to
+          FROM (SELECT k, k * 10e0 + CASE WHEN k = 5 THEN 0.5e0 WHEN k >= 7 THEN 40e0 ELSE 0e0 END AS below
+                FROM range(1, 100) AS r(k))) AS depths ON line = l_linenumber""",
     "slices": "SELECT * FROM raw_slices WHERE treatment <> 'Saltmarsh_natural'",
     "located": """
-        SELECT slices.*, sites.*, site || '_' || CAST(core_no AS VARCHAR) AS site_core
-        FROM slices JOIN cores USING (core_no) JOIN sites USING (site_no)""",
+        SELECT slices.*, places.*, site || '_' || CAST(slices.core_no AS VARCHAR) AS site_core
+        FROM slices LEFT JOIN cores ON slices.core_no = cores.core_no
+             LEFT JOIN places ON cores.site_no = places.site_no""",
     "carbon": """
         SELECT *, density * 100 * slice_length AS carbon_stock, density AS carbon_density
         FROM (SELECT *, bulk_density_corrected * c_percent / 100 AS density,
@@ -67,18 +72,21 @@ VIEWS = {
                              WHEN depth_to > horizon_cm THEN horizon_cm END AS depth_at_horizon
               FROM carbon WHERE horizon_cm >= depth_from)""",
     "plots": """
-        SELECT o_orderkey AS core_no, sites.*,
+        SELECT o_orderkey AS core_no, places.*,
                site || '_' || CAST(o_orderkey AS VARCHAR) AS subplot_name,
                site_old_name AS treatment2,
                CASE WHEN NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
                     THEN o_totalprice / 100e0 END AS biomass_kg
-        FROM orders JOIN customer ON o_custkey = c_custkey
-             JOIN sites ON c_nationkey = site_no""",
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+             LEFT JOIN places ON c_nationkey = site_no""",
     "plants": """
         SELECT *, biomass_kg / 10 AS biomass_mg_ha, 0.464e0 * (biomass_kg / 10) AS plant_c,
                2017 - site_year_numeric AS plant_age,
                0.464e0 * (biomass_kg / 10) / (2017 - site_year_numeric) AS plant_per_year
         FROM plots""",
+    "complete_plants": """
+        SELECT * FROM plants WHERE plant_c IS NOT NULL AND treatment2 IS NOT NULL
+          AND site_type IS NOT NULL AND site_year_numeric IS NOT NULL""",
     # core totals: every depth, to 100 cm, to 50 cm, to the horizon
     "core_all": """
         SELECT site_core, core_no, site, site_short, site_type, site_type_25y, site_year_numeric,

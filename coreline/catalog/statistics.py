@@ -14,31 +14,69 @@ from coreline.plans import plots as P
 _OLS_SQL = """
     SELECT *, sqrt(s2 / sxx) AS se_slope, sqrt(s2 * (1e0 / n + x_mean * x_mean / sxx)) AS se_intercept
     FROM (SELECT *, (syy - slope * sxy) / (n - 2) AS s2, n - 2 AS df
-          FROM (SELECT regr_count(y, x) AS n, regr_slope(y, x) AS slope,
+          FROM (SELECT CAST(regr_count(y, x) AS BIGINT) AS n, regr_slope(y, x) AS slope,
                        regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2,
                        regr_avgx(y, x) AS x_mean, regr_sxx(y, x) AS sxx,
                        regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy,
                        min(x) AS x_min, max(x) AS x_max
                 FROM {table}))"""
 
+# share of a t distribution below |t|, as an integral of cos(u) ** (df - 1) up to
+# atan(|t| / sqrt(df)); beyond 40 standard deviations nothing is left of it
+_CUT = "CASE WHEN df < 1000 THEN pi() / 2 ELSE atan(40 / sqrt(df)) END"
+
+
+def _integral(upper: str) -> str:
+    return f"""({upper}) / 6000 * list_sum(list_transform(range(0, 2001), lambda k:
+        CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+        * power(cos(({upper}) * k / 2000e0), df - 1)))"""
+
+
+# rows of estimate, se and df (and anything else) with t, p and 95% limits
+_P_SQL = f"""
+    SELECT r.*, r.estimate / r.se AS t,
+           greatest(0, 1 - r.inside / q.whole) AS p,
+           estimate - q * se AS ci_lo, estimate + q * se AS ci_hi, q.q
+    FROM (SELECT *, {_integral(f"least(atan(abs(estimate / se) / sqrt(df)), {_CUT})")} AS inside
+          FROM (SELECT * REPLACE (CAST(df AS DOUBLE) AS df) FROM ({{rows}}))) AS r
+    JOIN (WITH RECURSIVE halves AS (
+            SELECT df, 0e0 AS lo, {_CUT} AS hi, {_integral(_CUT)} AS whole, 0 AS i
+            FROM (SELECT DISTINCT CAST(df AS DOUBLE) AS df FROM ({{rows}}))
+            UNION ALL
+            SELECT df, CASE WHEN below < 0.95 THEN mid ELSE lo END,
+                   CASE WHEN below < 0.95 THEN hi ELSE mid END, whole, i + 1
+            FROM (SELECT *, {_integral("mid")} / whole AS below
+                  FROM (SELECT *, (lo + hi) / 2 AS mid FROM halves WHERE i < 50)))
+          SELECT df, whole, tan((lo + hi) / 2) * sqrt(df) AS q FROM halves WHERE i = 50) AS q
+      ON r.df = q.df"""
+
 # biomass of rehabilitated sites against stand age, one point per site
-_SITE_POINTS = """(SELECT 2017 - site_year_numeric AS x, avg(biomass_mg_ha) AS y
-                   FROM plants WHERE treatment2 = 'Rehabilitated' GROUP BY site, site_year_numeric)"""
+_SITE_POINTS = """(SELECT * FROM (
+                     SELECT 2017 - CASE WHEN regexp_full_match(site_year, '[0-9]+')
+                                        THEN CAST(site_year AS DOUBLE) END AS x, avg(biomass_mg_ha) AS y
+                     FROM plants WHERE treatment2 = 'Rehabilitated' GROUP BY site, site_year)
+                   WHERE x BETWEEN 14 AND 40)"""
+# Limits of the age axis; points outside take no part
+AGE_LIMITS = (14.0, 40.0)
 
 
 def site_points(s):
     plots = P.plot_carbon(s.plots()).filter(F.col("treatment2") == REHABILITATED)
     means = plots.groupBy("site").agg(F.avg("biomass_mg_ha").alias("biomass"))
-    placed = join_dim(means, s.sites(), "site", ["site_year_numeric"])
-    return placed.withColumn("age", C.stand_age("site_year_numeric"))
+    placed = join_dim(means, s.sites(), "site", ["site_year"])
+    aged = placed.withColumn("age", C.stand_age("site_year"))
+    return aged.filter(F.col("age").between(*AGE_LIMITS))
+
+
+_SIMPLE_SQL = _OLS_SQL.format(table=_SITE_POINTS)
 
 
 @query(
-    "n:i slope:6 intercept:4 r2:6 se_slope:6 se_intercept:4 df:i",
-    _OLS_SQL.format(table=_SITE_POINTS),
+    "n:i slope:6 intercept:4 r2:6 se_slope:6 se_intercept:4 df:i t:5 p:6",
+    _P_SQL.format(rows=f"SELECT *, slope AS estimate, se_slope AS se FROM ({_SIMPLE_SQL})"),
 )
 def ols_simple(s):
-    """Biomass against stand age over sites."""
+    """Biomass against stand age over sites, inside the age limits."""
     return M.ols_simple(site_points(s), "age", "biomass")
 
 
@@ -46,13 +84,14 @@ def ols_simple(s):
     "step:i x:6 fit:4 lo:4 hi:4",
     f"""SELECT step, x, fit, fit - half AS lo, fit + half AS hi FROM (
           SELECT *, intercept + slope * x AS fit,
-                 1.96e0 * sqrt(s2 * (1e0 / n + power(x - x_mean, 2) / sxx)) AS half
+                 q * sqrt(s2 * (1e0 / n + power(x - x_mean, 2) / sxx)) AS half
           FROM (SELECT *, x_min + step * ((x_max - x_min) / 79e0) AS x
-                FROM ({_OLS_SQL.format(table=_SITE_POINTS)}), range(80) AS r(step)))""",
+                FROM ({_P_SQL.format(rows=f"SELECT *, slope AS estimate, se_slope AS se FROM ({_SIMPLE_SQL})")}),
+                     range(80) AS r(step)))""",
 )
 def ols_band(s):
-    """Fitted line and band at a given t value."""
-    return M.ols_band(site_points(s), "age", "biomass", t_value=1.96)
+    """Fitted line and its 95% band over the ages."""
+    return M.ols_band(site_points(s), "age", "biomass")
 
 
 _ORIGIN_SQL = """
@@ -126,36 +165,20 @@ def ols_factor(s):
     return M.ols_factor(core_totals(s, policy="lenient"), "site", "total")
 
 
-_P_SQL = """
-    SELECT * EXCLUDE (half, whole), CASE WHEN abs(t) > 40 THEN 0
-                ELSE greatest(0, 1 - half / whole) END AS p,
-           estimate - q * se AS ci_lo, estimate + q * se AS ci_hi
-    FROM (SELECT *,
-            (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
-                        * power(1 + power(least(abs(t), 40) * k / 4000e0, 2) / df, -(df + 1) / 2))
-                    * least(abs(t), 40) FROM range(4001) AS r(k)) AS half,
-            (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
-                        * power(1 + power(40 * k / 4000e0, 2) / df, -(df + 1) / 2))
-                    * 40 FROM range(4001) AS r(k)) AS whole,
-            z + (power(z, 3) + z) / (4 * df) + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / (96 * df * df)
-              + (3 * power(z, 7) + 19 * power(z, 5) + 17 * power(z, 3) - 15 * z) / (384 * df * df * df) AS q
-          FROM (SELECT *, CAST(df_int AS DOUBLE) AS df, 1.959963984540054e0 AS z,
-                       estimate / se AS t FROM ({rows})))"""
+_BY_SITE = "(SELECT * FROM complete_plants WHERE treatment2 <> 'Disturbed')"
 _MODEL_ROWS = " UNION ALL ".join(
     [
         f"SELECT '{name}' AS model, '{'stand_age' if name == 'soil_rate' else 'age'}' AS term, "
-        f"slope AS estimate, se_slope AS se, df AS df_int FROM ({_ORIGIN_SQL.format(table=t)})"
+        f"slope AS estimate, se_slope AS se, df FROM ({_ORIGIN_SQL.format(table=t)})"
         for name, t in _ORIGIN_TABLES.items()
     ]
     + [
-        f"SELECT 'plant_by_site', term, estimate, se, df FROM ("
-        + _FACTOR_SQL.format(
-            x="site", y="plant_c", table="(SELECT * FROM plants WHERE treatment2 <> 'Disturbed')"
-        )
-        + ")",
-        f"SELECT 'soil_by_site', term, estimate, se, df FROM ("
-        + _FACTOR_SQL.format(x="site", y="total_lenient", table="core_100")
-        + ")",
+        f"SELECT 'plant_by_site', term, estimate, se, df "
+        f"FROM ({_FACTOR_SQL.format(x='site', y='plant_c', table=_BY_SITE)})",
+        f"SELECT 'soil_by_site', term, estimate, se, df "
+        f"FROM ({_FACTOR_SQL.format(x='site', y='total_lenient', table='core_100')})",
+        f"SELECT 'biomass_by_age', 'age', slope, se_slope, df FROM ({_SIMPLE_SQL})",
+        f"SELECT 'biomass_by_age', '(Intercept)', intercept, se_intercept, df FROM ({_SIMPLE_SQL})",
     ]
 )
 
@@ -167,8 +190,10 @@ _MODEL_ROWS = " UNION ALL ".join(
 def model_table(s):
     """All fixed-effect models: estimates, SE, t, df, p and 95% limits."""
     fits = {name: M.ols_origin_terms(*args) for name, args in origin_inputs(s).items()}
-    plots = P.plot_carbon(s.plots()).filter(F.col("treatment2") != "Disturbed")
+    plots = P.complete_plots(P.plot_carbon(s.plots()), s.sites(), ["treatment2", "plant_c"])
+    plots = plots.filter(F.col("treatment2") != "Disturbed")
     fits["plant_by_site"] = M.ols_factor(plots, "site", "plant_c")
+    fits["biomass_by_age"] = M.ols_simple_terms(site_points(s), "age", "biomass")
     fits["soil_by_site"] = M.ols_factor(core_totals(s, policy="lenient"), "site", "total")
     return M.model_table(fits)
 

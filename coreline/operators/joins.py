@@ -6,14 +6,10 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coreline.functions.nullsafe import n_rows
-
 BROADCAST_ROWS = 100_000
-HOT_ROWS = 5_000_000
-
 
 _CHECKED: WeakKeyDictionary = WeakKeyDictionary()
 _COUNTED_BY: WeakKeyDictionary = WeakKeyDictionary()
@@ -66,88 +62,34 @@ def join_dim(
     return fact.join(broadcast_checked(dim, [on, *columns], max_rows), on, "left")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[f"_hot_{k}"]) for k in keys]
-    )
-
-
-def _hot_side(stats: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    # At most (all rows / hot_rows) groups pass, which bounds the broadcast.
-    return F.broadcast(
-        stats.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], *extra)
-    )
-
-
 def attach_group_total(
-    df: DataFrame,
-    keys: str | Iterable[str],
-    aggregate,
-    value: str,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: str | Iterable[str], aggregate, value: str, out: str
 ) -> DataFrame:
-    """Put a group aggregate on every row of its group.
+    """Put a group aggregate on every row of its group; missing keys are a group.
 
-    Groups of more than ``hot_rows`` rows get theirs from a broadcast of those
-    few totals, without moving their rows; the other groups use a window, whose
-    partitions are therefore at most ``hot_rows`` rows each.
+    Totals are aggregated first (partially before the shuffle) and joined back:
+    a group of any size is one row on that side, and adaptive execution splits
+    its rows on the other.
 
     ``aggregate`` is one of the functions in ``coreline.functions``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    stats = (
-        df.groupBy(*keys)
-        .agg(aggregate(value).alias(out), n_rows().alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-    )
-    hot = _hot_side(stats, keys, [out])
-    hot_keys = _hot_side(stats, keys, [])
-    hot_rows_df = df.join(hot, _same(df, hot, keys), "inner").select(*df.columns, out)
-    cold = df.join(hot_keys, _same(df, hot_keys, keys), "left_anti")
-    window = Window.partitionBy(*keys)
-    return cold.withColumn(out, _over(aggregate, value, window)).unionByName(hot_rows_df)
-
-
-def _over(aggregate, value: str, window) -> Column:
-    x = F.col(value)
-    complete = F.count(x).over(window) == F.count(F.lit(1)).over(window)
-    forms = {
-        "sum_strict": lambda: F.when(complete, F.sum(x).over(window)),
-        "sum_lenient": lambda: F.coalesce(F.sum(x).over(window), F.lit(0.0)),
-        "mean_strict": lambda: F.when(complete, F.avg(x).over(window)),
-        "mean_lenient": lambda: F.avg(x).over(window),
-    }
-    return forms[aggregate.__name__]()
-
-
-def join_many_to_one(
-    many: DataFrame,
-    one: DataFrame,
-    key: str,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+    totals = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(aggregate(value).alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(totals, same).select(*df.columns, out)
+
+
+def join_many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join rows to a side that has each key at most once.
 
     ``how="left"`` keeps every row of ``many``; ``how="right"`` keeps every row
-    of ``one``.  Keys with more than ``hot_rows`` rows in ``many`` are joined by
-    broadcasting just their rows of ``one``; the rest is an ordinary join.
+    of ``one``.  Adaptive execution can split a hot key of ``many`` in either: the
+    rows of ``one`` that find nothing are added by a join with distinct keys.
     """
     if how not in ("left", "right"):
         raise ValueError("how must be 'left' or 'right'")
-    counts = (
-        many.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(n_rows().alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-    )
-    hot_keys = F.broadcast(counts.select(key))
     columns = [key, *[c for c in many.columns if c != key], *[c for c in one.columns if c != key]]
-    hot = many.join(hot_keys, key, "left_semi").join(
-        F.broadcast(one.join(hot_keys, key, "left_semi")), key, "left" if how == "left" else "inner"
-    )
-    cold_many = many.join(hot_keys, key, "left_anti")
-    cold_one = one.join(hot_keys, key, "left_anti") if how == "right" else one
-    cold = cold_many.join(cold_one, key, how)
-    return cold.select(*columns).unionByName(hot.select(*columns))
+    if how == "left":
+        return many.join(one, key, "left").select(*columns)
+    alone = one.join(many.select(key).distinct(), key, "left_anti")
+    return many.join(one, key).select(*columns).unionByName(alone, allowMissingColumns=True).select(*columns)

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coreline.functions.nullsafe import n_rows
+from coreline.functions.nullsafe import n_rows, present
 from coreline.functions.tdist import t_quantile, t_two_sided_p
-from coreline.runtime import cut_lineage
+from coreline.runtime import cut_lineage, drop_checkpoint
 
 COEFFICIENTS = ("term", "estimate", "se", "t", "df")
 
 
 def _complete(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with all of these; NaN counts as missing."""
     return df.dropna("any", subset=list(columns))
 
 
@@ -50,8 +51,9 @@ def _long(row: DataFrame, keys: Sequence[str], terms: dict[str, tuple[str, str]]
 
 
 def ols_simple(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """``y ~ x``: one row per model with slope, intercept, SEs, R2 and spread."""
-    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    """``y ~ x``: one row per model with slope, intercept, SEs, R2, spread, and
+    the slope's t and p."""
+    xc, yc = present(F.col(x).cast("double")), present(F.col(y).cast("double"))
     fit = df.groupBy(*by).agg(
         F.regr_count(yc, xc).alias("n"),
         F.regr_slope(yc, xc).alias("slope"),
@@ -76,6 +78,8 @@ def ols_simple(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
                                + F.try_divide(F.pow("x_mean", F.lit(2.0)), F.col("sxx")))
             ),
         }
+    ).withColumn("t", F.try_divide(F.col("slope"), F.col("se_slope"))).withColumn(
+        "p", t_two_sided_p(F.col("t"), F.col("df").cast("double"))
     )
 
 
@@ -300,12 +304,21 @@ def _best_ratios(sites: DataFrame, largest: dict[str, float]) -> dict[str, tuple
             raise ValueError(f"no residual variance left in {empty}")
         return {k: tuple(v) for k, v in found.items()}
 
-    # 0, and even steps of the exponent from 1e-6 / largest up to 1e8
+    # 0, and even steps of the exponent from 1e-6 / largest up to 1e8; further
+    # up for models whose deviance may still be falling there
     first = {k: -6.0 - math.log10(n) for k, n in largest.items()}
-    rise = {k: (8.0 - e) / _GRID for k, e in first.items()}
-    exponent, pace = _per_model(first), _per_model(rise)
-    powers = F.transform(steps, lambda k: F.pow(F.lit(10.0), exponent + pace * k))
-    best = lowest(F.concat(F.array(F.lit(0.0)), powers))
+    top = dict.fromkeys(largest, 8.0)
+    while True:
+        rise = {k: (top[k] - e) / _GRID for k, e in first.items()}
+        exponent, pace = _per_model(first), _per_model(rise)
+        powers = F.transform(steps, lambda k: F.pow(F.lit(10.0), exponent + pace * k))
+        best = lowest(F.concat(F.array(F.lit(0.0)), powers))
+        open_ended = [k for k, (r, _) in best.items() if r >= 10.0 ** (top[k] - rise[k] / 2)]
+        if not open_ended:
+            break
+        if max(top.values()) >= 40.0:
+            raise ValueError(f"the site variance has no bound in {sorted(open_ended)}")
+        top |= {k: top[k] + 16.0 for k in open_ended}
     lo = {k: r / 10.0 ** rise[k] for k, (r, _) in best.items()}
     hi = {k: r * 10.0 ** rise[k] for k, (r, _) in best.items()}
     while any(hi[k] - lo[k] > 1e-5 * hi[k] for k in best):
@@ -413,13 +426,27 @@ def lmm_fit(models: dict[str, RandomIntercept]) -> DataFrame:
     """REML fits with Satterthwaite df, several models at once.
 
     One row per model and level.  The site statistics stay in Spark; one row
-    per model and round, and one per model and level, reach the driver.
+    per model and round, and one per model and level of the fixed factor, reach
+    the driver.  The files of the statistics go when the fit is done or fails.
     """
     stats = [
         site_statistics(m.data, m.fixed, m.site, m.y).withColumn("model", F.lit(name))
         for name, m in models.items()
     ]
     sites = cut_lineage(reduce(DataFrame.unionByName, stats))
+    try:
+        return _fit_kept(models, sites)
+    finally:
+        drop_checkpoint(sites)
+
+
+def _fit_kept(models: dict[str, RandomIntercept], sites: DataFrame) -> DataFrame:
+    found = {(r["model"], r["level"]) for r in sites.select("model", "level").distinct().collect()}
+    for name, model in models.items():
+        if not any(m == name for m, _ in found):
+            raise ValueError(f"model {name!r} has no complete rows")
+        if (name, model.ref) not in found:
+            raise ValueError(f"model {name!r} has no level {model.ref!r} of {model.fixed!r}")
     whole = sites.groupBy("model").agg(
         F.max("n").alias("largest"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("center")
     ).collect()

@@ -12,6 +12,7 @@ from coreline.functions.nullsafe import (
     mean_lenient,
     mean_strict,
     n_rows,
+    present,
     sd_lenient,
     sd_strict,
     standard_error,
@@ -182,10 +183,10 @@ def bounds(df: DataFrame, mean: str = "av", se: str = "se") -> DataFrame:
 
 
 def value_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Minimum and maximum of each column, one row."""
+    """Minimum and maximum of each column, one row; NaN is missing."""
     return df.agg(
         *[
-            f(c).alias(f"{name}_{c}")
+            f(present(F.col(c))).alias(f"{name}_{c}")
             for c in columns
             for name, f in (("min", F.min), ("max", F.max))
         ]
@@ -194,7 +195,8 @@ def value_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def attach_range(df: DataFrame, value: str) -> DataFrame:
     """Whole-set minimum and maximum of ``value`` on every row."""
-    whole = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    x = present(F.col(value))
+    whole = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     return df.withColumns(
         {
             f"min_{value}": whole.select("lo").scalar(),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coreline.constants import CONVERTED, DEFAULTS, Constants
-from coreline.functions.nullsafe import ifelse_na, mean_strict, sum_strict, try_number
+from coreline.functions.nullsafe import ifelse_na, mean_strict, present, sum_strict, try_number
 from coreline.operators.joins import join_dim
 from coreline.operators.reshape import level_order, split_key
 from coreline.operators.summary import (
@@ -47,7 +47,8 @@ def clip_at_horizon(slices: DataFrame) -> DataFrame:
     """Cut slices at ``horizon_cm``; slices that start below it, and sites
     without a horizon, drop out.  Adds ``depth_at_horizon`` and ``stock_to_horizon``.
     """
-    kept = slices.filter(F.col("horizon_cm") >= F.col("depth_from"))
+    # NaN compares as the largest number; here it is no horizon
+    kept = slices.filter(present(F.col("horizon_cm")) >= F.col("depth_from"))
     end = ifelse_na(
         F.col("depth_to") <= F.col("horizon_cm"), F.col("depth_to"), F.col("horizon_cm")
     )

@@ -14,7 +14,7 @@ from coreline.constants import (
     REHABILITATED_YOUNG,
     Constants,
 )
-from coreline.operators.joins import HOT_ROWS, join_many_to_one
+from coreline.operators.joins import join_dim, join_many_to_one
 from coreline.operators.reshape import mirror, tagged_union, unite_pm
 from coreline.operators.summary import mean_se, multi_measure
 from coreline.plans.cores import stand_age
@@ -36,6 +36,18 @@ def plot_rate(plots: DataFrame, constants: Constants = DEFAULTS) -> DataFrame:
     )
 
 
+def complete_plots(
+    plots: DataFrame, sites: DataFrame, columns: Sequence[str], site_columns: Sequence[str] = ("site_type", "site_year_numeric")
+) -> DataFrame:
+    """Plots of which nothing is missing: neither the given columns nor the site's.
+
+    The columns are chosen and the site joined before incomplete rows drop out,
+    so a gap elsewhere does no harm, and plots of unknown sites go.
+    """
+    wanted = list(dict.fromkeys(["site", *columns]))
+    return join_dim(plots.select(*wanted), sites, "site", list(site_columns)).dropna("any")
+
+
 def age_bucket(constants: Constants = DEFAULTS) -> Column:
     """Rehabilitated sites split by planting year; other types unchanged."""
     rehabilitated = F.col("site_type") == REHABILITATED
@@ -54,7 +66,6 @@ def combine_plots_and_cores(
     cores: DataFrame,
     key: str,
     keep: str,
-    hot_rows: int = HOT_ROWS,
     constants: Constants = DEFAULTS,
 ) -> DataFrame:
     """Yearly plant and soil rates side by side, their sum and its CO2.
@@ -64,7 +75,7 @@ def combine_plots_and_cores(
     and each key once.
     """
     how = {"plots": "left", "cores": "right"}[keep]
-    both = join_many_to_one(plots, cores, key, how, hot_rows)
+    both = join_many_to_one(plots, cores, key, how)
     return both.withColumn(
         "combined", F.col("soil_per_year") + F.col("plant_per_year")
     ).withColumn("co2", F.col("combined") * constants.carbon_to_co2)

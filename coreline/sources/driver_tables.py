@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coreline.constants import CONVERTED, DEFAULTS, ESTABLISHED, REHABILITATED
+from coreline.functions.nullsafe import without_nan
 from coreline.operators.joins import broadcast_checked, counted_by
 from coreline.runtime import configure
 from coreline.sources.rates import DATED_RATES, values_sql
 from coreline.sources.survey import FieldSurvey
 
 
+# This site has cores and plots, but no row in the site dimension.
+UNKNOWN_SITE = 23
+
 # Columns in use; a stated schema saves the pass that infers one.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -67,18 +71,21 @@ class DriverSurvey(FieldSurvey):
             .when(F.col("r_name") == "AMERICA", ESTABLISHED)
             .otherwise(REHABILITATED)
         )
-        year = F.lit(1917) + 4 * number
+        planted = (F.lit(1972) + F.floor(3 * number / 2)).cast("int")
+        year = F.when(kind == REHABILITATED, planted).otherwise(F.lit(1917) + 4 * number)
         young = F.when(year < DEFAULTS.young_stand_from_year, "Rehabilitated_old").otherwise(
             "Rehabilitated_young"
         )
         nation = self.table("nation")
         region = self.table("region").withColumnRenamed("r_regionkey", "n_regionkey")
-        sites = nation.join(region, "n_regionkey").select(
+        sites = nation.filter(number != UNKNOWN_SITE).join(region, "n_regionkey").select(
             number.alias("site_no"),
             F.replace("n_name", F.lit("_"), F.lit("")).alias("site"),
             F.concat(F.lit("S"), number.cast("string")).alias("site_short"),
             F.col("r_name").alias("region"),
-            F.concat(year.cast("string"), F.when(number % 7 == 3, "A").otherwise("")).alias("site_year"),
+            F.concat(
+                year.cast("string"), F.when(number % 7 == 3, "A").when(number % 7 == 5, "D").otherwise("")
+            ).alias("site_year"),
             year.alias("site_year_numeric"),
             F.when(kind == CONVERTED, "Disturbed")
             .when(kind == ESTABLISHED, "Remnant")
@@ -106,12 +113,23 @@ class DriverSurvey(FieldSurvey):
         rates = nation.join(literal, "slot").select("site", "mar", "mar_se")
         return counted_by(rates, nation)
 
+    def _places(self) -> DataFrame:
+        """Every site by number, with the columns of those that the dimension knows."""
+        return self._once("places", self._build_places)
+
+    def _build_places(self) -> DataFrame:
+        nation = self.table("nation")
+        names = nation.select(
+            F.col("n_nationkey").alias("site_no"), F.replace("n_name", F.lit("_"), F.lit("")).alias("site")
+        )
+        return counted_by(names.join(self.sites().drop("site"), "site_no", "left"), nation)
+
     def _owned(self, orders: DataFrame) -> DataFrame:
         """Rows with ``o_custkey`` and the number of their site instead."""
         owner = self.table("customer").select(
             F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("site_no")
         )
-        return orders.join(owner, "o_custkey").drop("o_custkey")
+        return orders.join(owner, "o_custkey", "left").drop("o_custkey")
 
     def cores(self) -> DataFrame:
         """Which site each core belongs to: keys only."""
@@ -127,7 +145,7 @@ class DriverSurvey(FieldSurvey):
 
     def raw_slices(self) -> DataFrame:
         """Slice measurements by core number, all habitats."""
-        return self._as_slices(self.table("lineitem"))
+        return without_nan(self._as_slices(self.table("lineitem")))
 
     def slices(self) -> DataFrame:
         """Slices of the assessed habitats, by core number.
@@ -135,37 +153,41 @@ class DriverSurvey(FieldSurvey):
         The habitat test is put on stored columns, so that the scan applies it.
         """
         assessed = (F.col("l_returnflag") != "R") | (F.col("l_linestatus") != "F")
-        return self._as_slices(self.table("lineitem").filter(assessed))
+        return without_nan(self._as_slices(self.table("lineitem").filter(assessed)))
 
     @staticmethod
     def _as_slices(lineitem: DataFrame) -> DataFrame:
-        below = F.col("l_linenumber")
+        def depth(line):
+            # the fifth slice ends between 50 and 51 cm, the seventh beyond 100 cm
+            return line * 10.0 + F.when(line == 5, 0.5).when(line >= 7, 40.0).otherwise(0.0)
+
+        start, end = depth(F.col("l_linenumber") - 1), depth(F.col("l_linenumber"))
+        nan = F.lit(float("nan"))
+        quantity = F.col("l_quantity")
         measured = F.col("l_quantity") != 13
         saltmarsh = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
         return lineitem.select(
             F.col("l_orderkey").alias("core_no"),
             F.when(saltmarsh, DEFAULTS.excluded_treatment).otherwise("Mangrove").alias("treatment"),
-            ((below - 1) * F.lit(10.0)).alias("depth_from"),
-            (below * F.lit(10.0)).alias("depth_to"),
-            F.concat(
-                ((below - 1) * 10).cast("string"), F.lit("to"), (below * 10).cast("string")
-            ).alias("depth_range"),
-            (F.col("l_discount") * 100).alias("c_perc"),
-            F.when(measured, F.col("l_quantity") / 50).alias("dry_bulk_density"),
+            start.alias("depth_from"),
+            end.alias("depth_to"),
+            F.concat(start.cast("string"), F.lit("to"), end.cast("string")).alias("depth_range"),
+            F.when(quantity == 15, nan).otherwise(F.col("l_discount") * 100).alias("c_perc"),
+            F.when(quantity == 14, nan).when(measured, quantity / 50).alias("dry_bulk_density"),
             (1 - F.col("l_tax")).alias("compaction"),
             F.when(measured, F.col("l_extendedprice") / 1000).alias("section_stock"),
         )
 
     def _at_sites(self, rows: DataFrame, *columns: str) -> DataFrame:
         wanted = list(dict.fromkeys(["site_no", "site", *columns]))
-        sites = broadcast_checked(self.sites(), wanted)
-        return rows.join(sites, "site_no").withColumn(
-            "site_core", F.concat_ws("_", "site", F.col("core_no").cast("string"))
+        places = broadcast_checked(self._places(), wanted)
+        return rows.join(places, "site_no", "left").withColumn(
+            "site_core", F.concat("site", F.lit("_"), F.col("core_no").cast("string"))
         )
 
     def locate(self, by_core: DataFrame, *columns: str) -> DataFrame:
         """Attach site columns (and ``site_core``) to rows keyed by core number."""
-        return self._at_sites(by_core.join(self.cores(), "core_no"), *columns)
+        return self._at_sites(by_core.join(self.cores(), "core_no", "left"), *columns)
 
     def plots(self) -> DataFrame:
         """One vegetation plot per order."""

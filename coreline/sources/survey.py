@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coreline.constants import DEFAULTS
+from coreline.functions.nullsafe import without_nan
 from coreline.operators.joins import join_dim
 from coreline.operators.reshape import split_key
 from coreline.runtime import configure
@@ -41,8 +42,8 @@ class FieldSurvey:
         rates: DataFrame | None = None,
     ):
         self.spark = configure(slices.sparkSession)
-        self._slices, self._plots, self._sites = slices, plots, sites
-        self._rates = rates if rates is not None else dated_rates(self.spark)
+        self._slices, self._plots, self._sites = map(without_nan, (slices, plots, sites))
+        self._rates = without_nan(rates if rates is not None else dated_rates(self.spark))
 
     @classmethod
     def from_csv(cls, spark: SparkSession, slices: str, plots: str, sites: str) -> FieldSurvey:

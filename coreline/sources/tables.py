@@ -6,9 +6,14 @@ missing.  No schema inference pass is made.  Parquet is the format for scale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coreline.functions.nullsafe import present, try_number
+
 # Column name here -> (column name in survey files, type)
 SLICE_FIELDS = {
     "site": ("Site", "string"),
@@ -44,29 +49,59 @@ SITE_FIELDS = {
     "site_type_25y": ("SiteRenamed_25y", "string"),
 }
 
+#: Columns that only some of the reports use.
+OPTIONAL = (
+    "site_short", "treatment2", "depth_range", "section_stock", "site_short_old", "site_year_old", "site_old_name",
+    "site_type", "site_type_25y", "site_year",
+)
+
+
+class MissingColumns(ValueError):
+    """A file lacks columns that it must have."""
+
+
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], fields: dict, optional: Iterable[str] = ()
+) -> DataFrame:
+    """Read the listed columns by header name; unparsable numbers are NULL.
+
+    All files of one path have one header: a file with another one fails the
+    read, it is never taken by position.  Files of several headers are given as
+    a list of paths, each read by its own.  A column that is absent raises,
+    unless it is ``optional``: then it is left out, or NULL beside files that
+    have it.
+    """
+    if not isinstance(path, str):
+        parts = [read_csv(spark, p, fields, optional) for p in path]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    raw = spark.read.csv(path, header=True, nullValue="NA", enforceSchema=False)
+    present_fields = {n: f for n, f in fields.items() if f[0] in raw.columns}
+    absent = sorted(fields[n][0] for n in set(fields) - set(present_fields) - set(optional))
+    if absent:
+        raise MissingColumns(f"{path} has no column {', '.join(absent)}")
+    kinds = {n: _number if kind in ("double", "int") else _text for n, (_, kind) in present_fields.items()}
+    return raw.select(*[kinds[n](F.col(f"`{source}`"), kind).alias(n) for n, (source, kind) in present_fields.items()])
+
+
+def _number(text: Column, kind: str) -> Column:
+    value = present(try_number(text))
+    return value if kind == "double" else F.when(value == F.floor(value), value).try_cast(kind)
+
 
-def read_csv(spark: SparkSession, path: str, fields: dict) -> DataFrame:
-    """Read the listed columns that the file has; unparsable numbers are NULL."""
-    raw = spark.read.csv(path, header=True, nullValue="NA")
-    return raw.select(
-        *[
-            F.col(f"`{source}`").try_cast(kind).alias(name)
-            for name, (source, kind) in fields.items()
-            if source in raw.columns
-        ]
-    )
+def _text(text: Column, kind: str) -> Column:
+    return text.cast(kind)
 
 
 def read_slices(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, SLICE_FIELDS)
+    return read_csv(spark, path, SLICE_FIELDS, OPTIONAL)
 
 
 def read_plots(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, PLOT_FIELDS)
+    return read_csv(spark, path, PLOT_FIELDS, OPTIONAL)
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, SITE_FIELDS)
+    return read_csv(spark, path, SITE_FIELDS, OPTIONAL)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
