@@ -17,6 +17,18 @@ from coreline.runtime import new_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH = "4m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Let batches that go to Python hold about ``BATCH``, unless the session states a size."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, BATCH)
+    return df
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coreline.llm.common import frozen, shares, slices, text_bytes
+from coreline.llm.common import bounded_batches, frozen, shares, slices, text_bytes
 from coreline.llm.components import components
 from coreline.llm.rolling import mixed
 from coreline.llm.shingles import shingle_sets
@@ -374,7 +374,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     else is reached, their component is NULL.  Other columns are ignored, an empty
     table gives no rows.
     """
-    buckets = shares(text_bytes(docs), BUCKET_BYTES)
+    buckets = shares(text_bytes(bounded_batches(docs)), BUCKET_BYTES)
     mapped = frozen(_map_sets(docs, shingle, percent, buckets), "shingle-sets", "lz4")
     sets = mapped.where("bucket IS NULL").select(
         "row", "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "n", "d1", "d2"

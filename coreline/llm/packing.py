@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coreline.llm.common import frozen, running_offsets, slices
+from coreline.llm.common import bounded_batches, frozen, running_offsets, slices
 from coreline.llm.pieces import encoder
 
 BATCH_BYTES = 4 << 20
@@ -53,7 +53,7 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int, zipped: bool = Fa
                     pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(closed)]
                 ).cast(pa.binary())
                 if zipped:
-                    pack = zstandard.ZstdCompressor(level=3).compress
+                    pack = zstandard.ZstdCompressor(level=1).compress
                     ids = pa.array([pack(x.as_buffer()) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -69,7 +69,7 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int, zipped: bool = Fa
                 seq += n
                 start += int(ends[-1])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _STREAM)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, _STREAM)
 
 
 def id_width(end_id: int, tokenizer: str) -> str:

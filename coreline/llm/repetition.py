@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coreline.llm.common import slices, words_of
+from coreline.llm.common import bounded_batches, slices, words_of
 
 BATCH_BYTES = 2 << 20
 SYMBOLS = r"[#*$%&|<>]"
@@ -167,7 +167,7 @@ def quality_measures(
     repeated rows get the same verdict; a NULL doc_id and any further columns stay
     as they are.  An empty table gives no rows.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    whole = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

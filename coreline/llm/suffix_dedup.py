@@ -32,10 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coreline.llm.common import byte_view, frozen, shares, slices, text_bytes
+from coreline.llm.common import bounded_batches, byte_view, frozen, shares, slices, text_bytes
 from coreline.llm.rolling import mixed, prefix_sums, span_hash, window_hash
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 CONTEXT_BYTES = 5
@@ -375,19 +375,20 @@ def _third_digit(opened: DataFrame, length: int, width: int, buckets: int, chunk
 
 def _results(work: DataFrame, length: int, gram: int, width: int, chunks: int, keep: bool) -> DataFrame:
     def chunk_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        lists = {kind: [r["body"] for r in rows if r["kind"] == kind] for kind in (REPEATED, STRING)}
+        lists = {kind: [r["body"] for r in rows if r["kind"] == kind] for kind in (REPEATED, OPEN, STRING)}
         for ids, data, offsets in _bodies([r for r in rows if r["kind"] == TEXT], BATCH_BYTES):
             gone = np.zeros(len(data), bool)
-            if any(lists.values()):
+            if lists[REPEATED] or lists[STRING]:
                 runs = Runs(data, offsets, length, gram, width)
-                hit = _known(_owned(ids[runs.doc], _join(runs.digit, runs.context)), lists[REPEATED])
+                mark = _owned(ids[runs.doc], _join(runs.digit, runs.context))
+                hit = _known(mark, lists[REPEATED])
                 gone = _covered(len(data), runs.start[hit], runs.stop[hit] + length - 1)
-                if lists[STRING] and len(data) >= length:
-                    string = mixed(window_hash(runs.sums, length))
-                    owner = np.repeat(np.arange(len(ids)), np.diff(offsets))[: len(string)]
-                    at = np.arange(len(string))
-                    hit = _known(_owned(ids[owner], string), lists[STRING]) & (at + length <= offsets[owner + 1])
-                    gone |= _covered(len(data), at[hit], at[hit] + length)
+                look = np.flatnonzero(_known(mark, lists[OPEN])) if lists[STRING] else np.zeros(0, np.int64)
+                many = runs.stop[look] - runs.start[look]
+                at = np.repeat(runs.start[look] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                string = mixed(span_hash(runs.sums, at, at + length))
+                at = at[_known(_owned(np.repeat(ids[runs.doc[look]], many), string), lists[STRING])]
+                gone |= _covered(len(data), at, at + length)
             done = _finish(ids, data, offsets, gone, keep)
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             columns = zip(*done, strict=True)
@@ -416,7 +417,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, keep: bool
     Rows that share a doc_id never remove from each other.  Texts shorter than
     ``length`` stay whole.  Other columns are ignored, an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs.select("doc_id", "text"))
     size = text_bytes(docs)
     width, buckets, chunks = digit_bytes(size), shares(size, BUCKET_BYTES), shares(size, CHUNK_BYTES)
     records = _run_records(docs, length, gram, width, buckets)
@@ -424,5 +425,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, keep: bool
     texts = _texts(docs, chunks)
     opened = _open_runs(marks.where(F.col("kind") == OPEN).unionByName(texts), length, gram, width, buckets, chunks)
     strings = _third_digit(opened, length, width, buckets, chunks)
-    work = marks.where(F.col("kind") == REPEATED).unionByName(strings).unionByName(texts)
+    work = marks.unionByName(strings).unionByName(texts)
     return _results(work, length, gram, width, chunks, keep)

@@ -36,28 +36,32 @@ from coreline.runtime import new_path
 PART_BYTES = 32 << 20
 BLOCK_IDS = 1 << 18
 
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit numbers."""
     ranks = ranks.astype("<u4")
-    size = 1 + (ranks >= 1 << 8).astype(np.int64) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    size = np.ones(len(ranks), np.uint8)
+    for bits in (8, 16, 24):
+        size += ranks >= 1 << bits
+    widest = int(size.max(initial=1))
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    wanted = np.arange(4) < size[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[wanted].tobytes()
+    wanted = np.arange(widest, dtype=np.uint8) < size[:, None]
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :widest][wanted].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The first ``n`` numbers behind these control bytes."""
     size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    at = np.cumsum(size) - size
+    at = np.cumsum(size, dtype=np.int64) - size
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
     out = raw[at]
-    for k in (1, 2, 3):
-        out |= np.where(size > k, raw[at + k] << np.uint32(8 * k), np.uint32(0))
+    for k in range(1, int(size.max(initial=1))):
+        longer = np.flatnonzero(size > k)
+        out[longer] |= raw[at[longer] + k] << np.uint32(8 * k)
     return out
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coreline.llm.common import slices, words_of
+from coreline.llm.common import bounded_batches, slices, words_of
 
 BATCH_BYTES = 4 << 20
 #: Labelled rows that are learned from, at most (those with the smallest hash of their id).
@@ -258,7 +258,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOS
     held out.  Where several labels name a document, the highest counts; without
     toxic labels to learn from, every score is low.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     model = spark.sparkContext.broadcast(LetterModel(letter_counts(docs)))
     learned = spark.sparkContext.broadcast(learn(_labelled(docs, labels, most_labelled), model))
 
