@@ -28,12 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreline.llm.common import bounded_batches, frozen, shares, slices, text_bytes
 from coreline.llm.components import components
+from coreline.llm.records import (
+    digit_bytes,
+    from_low_bytes,
+    low_bytes,
+    member_ids,
+    members_of,
+    rows_by_key,
+    split_digits,
+)
 from coreline.llm.rolling import mixed
 from coreline.llm.shingles import shingle_sets
 
@@ -115,23 +123,38 @@ def part_signatures(
     return np.concatenate(out_sig), np.concatenate(out_doc)
 
 
-def _map_sets(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: a document's size and digests, and signatures of one hash range.
+def _map_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """Size and digests of each document's set."""
 
-    A document's ``row`` is its number in this job's output, which is frozen
-    before use.  Signatures of equal sets are sent once by a task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", BATCH_BYTES):
+                n = batch.num_rows
+                values, owner = shingle_sets(batch.column("text"), shingle)
+                columns = (np.bincount(owner, minlength=n), *_digest(values, owner, n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns)], ["doc_id", "n", "d1", "d2"]
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+
+
+def _map_signatures(docs: DataFrame, shingle: int, percent: int, width: int, buckets: int) -> DataFrame:
+    """Signatures of all sets by hash range: ``bucket``, the sets' ``names`` (first
+    digests), and sorted ``sig`` with the ``member`` each belongs to.
+
+    A task sends equal sets once.  Signatures are cut to ``width`` bytes; those that
+    meet by chance cost a comparison and nothing else.
     """
-    names = ["row", "doc_id", "n", "d1", "d2", "bucket", "sig", "member"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 n = batch.num_rows
                 values, owner = shingle_sets(batch.column("text"), shingle)
                 sizes = np.bincount(owner, minlength=n)
-                d1, d2 = _digest(values, owner, n)
+                d1, _ = _digest(values, owner, n)
                 fresh = np.zeros(n, bool)
                 for i in np.flatnonzero(sizes):
                     if int(d1[i]) not in seen:
@@ -141,26 +164,23 @@ def _map_sets(docs: DataFrame, shingle: int, percent: int, buckets: int) -> Data
                     seen.clear()
                 mine = fresh[owner]
                 sig, doc = part_signatures(values[mine], owner[mine], np.where(fresh, sizes, 0), percent)
+                sig = sig >> np.uint64(64 - 8 * width)
                 order = np.argsort(sig)
-                sig, doc = sig[order], doc[order].astype("<u4")
-                step = (1 << 64) // buckets
-                cuts = np.searchsorted(sig, np.array([k * step for k in range(1, buckets)], np.uint64))
-                ids = [pa.array(np.arange(row, row + n)), batch.column("doc_id").cast(pa.int64()), *map(pa.array, (sizes, d1, d2))]
-                blank = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-                yield pa.RecordBatch.from_arrays(ids + blank, names)
-                parts = zip(np.split(sig, cuts), np.split(doc, cuts), strict=True)
-                full = [(k, a.tobytes(), b.tobytes()) for k, (a, b) in enumerate(parts) if len(a)]
-                if full:
-                    key, a, b = zip(*full, strict=True)
-                    none = pa.nulls(len(key), pa.int64())
-                    base = pa.array(np.full(len(key), row))
-                    own = [pa.array(key, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([base, none, none, none, none, *own], names)
-                row += n
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "row long, doc_id long, n long, d1 long, d2 long, bucket int, sig binary, member binary"
-    )
+                sig, doc = sig[order], doc[order]
+                cuts = split_digits(sig, width, buckets)
+                rows = []
+                for k in range(buckets):
+                    part = slice(cuts[k], cuts[k + 1])
+                    if cuts[k] < cuts[k + 1]:
+                        rows.append((k, *members_of(doc[part], d1), low_bytes(sig[part], width)))
+                if rows:
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(next(columns), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
+                        ["bucket", "names", "member", "sig"],
+                    )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, names binary, member binary, sig binary")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,42 +200,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _stars(signatures: DataFrame, buckets: int) -> DataFrame:
+def _stars(signatures: DataFrame, width: int, buckets: int) -> DataFrame:
     """Edges ``a, b`` that connect the members of each signature.
 
     Each hash range sends a spanning forest: no more edges than it has members.
     """
 
-    def edges(parts: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch | None:
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for _, x, _ in parts])
-        row = np.concatenate([np.frombuffer(y, "<u4").astype(np.int64) + base for base, _, y in parts])
-        order = np.lexsort((row, sig))
-        sig, row = sig[order], row[order]
+    def edges(rows: list[dict]) -> pa.RecordBatch | None:
+        sig = np.concatenate([from_low_bytes(r["sig"], width) for r in rows])
+        name = np.concatenate([member_ids(r["names"], r["member"]) for r in rows])
+        order = np.lexsort((name, sig))
+        sig, name = sig[order], name[order]
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
-        center = row[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        apart = center != row
+        center = name[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        apart = center != name
         if not apart.any():
             return None
-        a, b = _forest(center[apart], row[apart])
+        a, b = _forest(center[apart], name[apart])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            for bucket, base, sig, member in zip(*(batch.column(c).to_pylist() for c in ("bucket", "row", "sig", "member")), strict=True):
-                if bucket != now and parts:
-                    found = edges(parts)
-                    parts = []
-                    if found:
-                        yield found
-                now = bucket
-                parts.append((base, sig, member))
-        if parts and (found := edges(parts)):
-            yield found
+        for _, rows in rows_by_key(batches, "bucket"):
+            if found := edges(rows):
+                yield found
 
-    rows = signatures.select("bucket", "row", "sig", "member")
-    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = signatures.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -374,22 +384,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     else is reached, their component is NULL.  Other columns are ignored, an empty
     table gives no rows.
     """
-    buckets = shares(text_bytes(bounded_batches(docs)), BUCKET_BYTES)
-    mapped = frozen(_map_sets(docs, shingle, percent, buckets), "shingle-sets", "lz4")
-    sets = mapped.where("bucket IS NULL").select(
-        "row", "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "n", "d1", "d2"
+    size = text_bytes(bounded_batches(docs))
+    buckets, width = shares(size, BUCKET_BYTES), digit_bytes(size)
+    sets = frozen(_map_sets(docs, shingle), "shingle-sets").select(
+        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "n", "d1", "d2"
     )
-    clusters = components(_stars(mapped.where("bucket IS NOT NULL"), buckets))
+    clusters = components(_stars(_map_signatures(docs, shingle, percent, width, buckets), width, buckets))
     full = sets.where("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.first("n").alias("n"))
     # every class that shares a signature with another, and its cluster
-    placed = full.join(
-        clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")).unionByName(
-            clusters.select(F.col("component").alias("row"), F.col("component").alias("cluster")).distinct()
-        ),
-        "row",
-    )
-    placed = placed.groupBy("d1", "d2").agg(F.min("cluster").alias("cluster")).join(classes, ["d1", "d2"])
+    named = clusters.select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
+    centers = clusters.select(F.col("component").alias("d1"), F.col("component").alias("cluster")).distinct()
+    placed = classes.join(named.unionByName(centers), "d1")
     weights = placed.groupBy("cluster").agg(F.sum("n").alias("weight"), F.count("*").alias("many")).where("many > 1")
     blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES)
     block = F.pmod(F.xxhash64("d1"), F.col("blocks"))

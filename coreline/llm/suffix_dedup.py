@@ -23,7 +23,6 @@ third one counts 64 bits together with the first.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreline.llm.common import bounded_batches, byte_view, frozen, shares, slices, text_bytes
+from coreline.llm.records import (
+    digit_bytes,
+    from_low_bytes,
+    low_bytes,
+    member_ids,
+    members_of,
+    rows_by_key,
+    split_digits,
+)
 from coreline.llm.rolling import mixed, prefix_sums, span_hash, window_hash
 
 BATCH_BYTES = 1 << 20
@@ -99,46 +107,10 @@ def _chunk(ids: np.ndarray, chunks: int) -> np.ndarray:
     return (mixed(ids.astype(np.uint64)) % np.uint64(chunks)).astype(np.int32)
 
 
-def _bytes(x: np.ndarray, width: int) -> bytes:
-    """Lowest ``width`` bytes of each number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _numbers(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").reshape(-1)
-
-
-def digit_bytes(size: int) -> int:
-    """Bytes of a first digit for a table of ``size`` bytes: few records share one by chance."""
-    return min(8, max(5, math.ceil((math.log2(max(size, 2)) + 10) / 8)))
-
-
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
 
-def _split(digit: np.ndarray, width: int, buckets: int) -> list[int]:
-    """Edges of ``buckets`` equal ranges in sorted digits."""
-    step = (1 << 8 * width) // buckets
-    return [0, *np.searchsorted(digit, np.array([k * step for k in range(1, buckets)], np.uint64)), len(digit)]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of each key together, from batches sorted by it."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row[key] != now and rows:
-                yield now, rows
-                rows = []
-            now = row[key]
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
 def _run_records(docs: DataFrame, length: int, gram: int, width: int, buckets: int) -> DataFrame:
     """First and second digits of all runs: arrays of one batch and digit range."""
 
@@ -156,12 +128,12 @@ def _run_records(docs: DataFrame, length: int, gram: int, width: int, buckets: i
                 order = np.argsort(digit)
                 digit, context, doc = digit[order], context[order], doc[order]
                 rows = []
-                cuts = _split(digit, width, buckets)
+                cuts = split_digits(digit, width, buckets)
                 for k in range(buckets):
                     part = slice(cuts[k], cuts[k + 1])
                     if cuts[k] < cuts[k + 1]:
-                        own = _members(doc[part], ids)
-                        rows.append((k, *own, _bytes(digit[part], width), _bytes(context[part], CONTEXT_BYTES)))
+                        own = members_of(doc[part], ids)
+                        rows.append((k, *own, low_bytes(digit[part], width), low_bytes(context[part], CONTEXT_BYTES)))
                 if rows:
                     columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -172,17 +144,6 @@ def _run_records(docs: DataFrame, length: int, gram: int, width: int, buckets: i
     return docs.mapInArrow(run, "bucket int, ids binary, place binary, digit binary, context binary")
 
 
-def _members(doc: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
-    """Ids that occur, and the number of each record's id among them."""
-    used, place = np.unique(doc, return_inverse=True)
-    return ids[used].tobytes(), place.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()
-
-
-def _member_ids(row: dict) -> np.ndarray:
-    kind = "<u2" if len(row["ids"]) <= 8 << 16 else "<u4"
-    return np.frombuffer(row["ids"], np.int64)[np.frombuffer(row["place"], kind)]
-
-
 def _to_chunks(ids: np.ndarray, key: np.ndarray, kind: int, chunks: int) -> pa.RecordBatch:
     """Rows ``chunk, kind, doc_id, body``: sorted marks of documents of one chunk."""
     mark, chunk = _owned(ids, key), _chunk(ids, chunks)
@@ -208,9 +169,9 @@ def _first_two_digits(records: DataFrame, width: int, buckets: int, chunks: int)
     """Marks of runs that an earlier document has (REPEATED), and of those to look into (OPEN)."""
 
     def decide(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        digit = np.concatenate([_numbers(r["digit"], width) for r in rows])
-        context = np.concatenate([_numbers(r["context"], CONTEXT_BYTES) for r in rows])
-        ids = np.concatenate([_member_ids(r) for r in rows])
+        digit = np.concatenate([from_low_bytes(r["digit"], width) for r in rows])
+        context = np.concatenate([from_low_bytes(r["context"], CONTEXT_BYTES) for r in rows])
+        ids = np.concatenate([member_ids(r["ids"], r["place"]) for r in rows])
         order = np.argsort(digit, kind="stable")
         same = digit[order][1:] == digit[order][:-1]
         several = np.zeros(len(order), bool)
@@ -236,7 +197,7 @@ def _first_two_digits(records: DataFrame, width: int, buckets: int, chunks: int)
                 yield _to_chunks(ids[some], key[some], kind, chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "bucket"):
+        for _, rows in rows_by_key(batches, "bucket"):
             yield from decide(rows)
 
     return records.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _WORK)
@@ -322,15 +283,15 @@ def _open_runs(work: DataFrame, length: int, gram: int, width: int, buckets: int
             _, once = np.unique(mark[look], return_index=True)
             look = look[once]
             look = look[np.argsort(runs.digit[look])]
-            cuts = _split(runs.digit[look], width, buckets)
+            cuts = split_digits(runs.digit[look], width, buckets)
             out = []
             for k in range(buckets):
                 part = look[cuts[k] : cuts[k + 1]]
                 if len(part):
                     size = runs.stop[part] - runs.start[part] + length - 1
                     body = zipped(_gather(data, runs.start[part], size).tobytes())
-                    own = _members(runs.doc[part], ids)
-                    out.append((k, *own, _bytes(runs.digit[part], width), size.astype("<u4").tobytes(), body))
+                    own = members_of(runs.doc[part], ids)
+                    out.append((k, *own, low_bytes(runs.digit[part], width), size.astype("<u4").tobytes(), body))
             if out:
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -339,7 +300,7 @@ def _open_runs(work: DataFrame, length: int, gram: int, width: int, buckets: int
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "chunk"):
+        for _, rows in rows_by_key(batches, "chunk"):
             yield from chunk_rows(rows)
 
     return work.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, _OPEN)
@@ -356,8 +317,8 @@ def _third_digit(opened: DataFrame, length: int, width: int, buckets: int, chunk
         start = np.cumsum(size) - size
         at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         string = mixed(window_hash(prefix_sums(data), length)[at])
-        digit = np.repeat(np.concatenate([_numbers(r["digit"], width) for r in rows]), many)
-        ids = np.repeat(np.concatenate([_member_ids(r) for r in rows]), many)
+        digit = np.repeat(np.concatenate([from_low_bytes(r["digit"], width) for r in rows]), many)
+        ids = np.repeat(np.concatenate([member_ids(r["ids"], r["place"]) for r in rows]), many)
         order = np.lexsort((ids, string, digit))
         digit, string, ids = digit[order], string[order], ids[order]
         new = np.ones(len(ids), bool)
@@ -367,7 +328,7 @@ def _third_digit(opened: DataFrame, length: int, width: int, buckets: int, chunk
             yield _to_chunks(ids[late], string[late], STRING, chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "bucket"):
+        for _, rows in rows_by_key(batches, "bucket"):
             yield from decide(rows)
 
     return opened.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _WORK)
@@ -395,7 +356,7 @@ def _results(work: DataFrame, length: int, gram: int, width: int, chunks: int, k
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "chunk"):
+        for _, rows in rows_by_key(batches, "chunk"):
             yield from chunk_rows(rows)
 
     dealt = work.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
