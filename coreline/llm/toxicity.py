@@ -8,7 +8,8 @@ counted over the words of all documents.
 
 Restored words and their beginnings are the features of a text.  Those that mark
 toxic texts are chosen by a likelihood ratio on labelled rows, weighted by a
-logistic regression, and summed over a whole text.
+logistic regression, and summed over a whole text; one feature that nearly always
+marks a toxic text is enough for a high score.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from coreline.llm.common import bounded_batches, slices, words_of
 
 BATCH_BYTES = 4 << 20
 #: Labelled rows that are learned from, at most (those with the smallest hash of their id).
-MOST_LABELLED = 20_000
+MOST_LABELLED = 8_000
 MOST_FEATURES = 4096
+LEAST_SHARE, LEAST_RATIO, SURE = 0.01, 12.0, 0.95
 BUCKETS = 1 << 20
 
 #: Symbols of the letter model: 0 a word's edge, 1-26 a-z, 27-62 other letters, 63 the rest.
@@ -191,8 +193,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
 
 
-def learn(labelled: DataFrame, model) -> tuple[np.ndarray, np.ndarray, float]:
-    """Chosen feature numbers in rising order, their weights, and the base."""
+def learn(labelled: DataFrame, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Chosen feature numbers in rising order, their weights, their floors, and the base.
+
+    Chosen is what occurs in at least ``LEAST_SHARE`` of the toxic texts (two at
+    least) and passes the likelihood ratio; a logistic regression weighs it.  The
+    floor of a frequent feature that nearly always marks a toxic text is the share
+    in which it does; others have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -210,39 +218,37 @@ def learn(labelled: DataFrame, model) -> tuple[np.ndarray, np.ndarray, float]:
                 )
 
     rows = labelled.mapInArrow(run, "features binary, toxic long").toArrow()
-    sets = [np.frombuffer(x.as_py(), "<u4") for x in rows["features"]]
+    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["features"]]
     toxic = np.array([t.as_py() > 0 for t in rows["toxic"]], bool)
     if not toxic.any() or toxic.all():
-        return np.zeros(0, np.int64), np.zeros(0), -6.0 if not toxic.any() else 6.0
-    flat = np.concatenate(sets).astype(np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    # repeated texts are one observation
-    _, kept = np.unique([zlib.crc32(x.tobytes()) for x in sets], return_index=True)
-    once = np.isin(row, kept)
-    flat, row = flat[once], row[once]
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 6.0 if toxic.any() else -6.0
+    # texts of the same words are one observation
+    _, once = np.unique([zlib.crc32(x.tobytes()) for x in sets], return_index=True)
+    sets, toxic = [sets[i] for i in once], toxic[once]
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     bad = np.bincount(flat[toxic[row]], minlength=BUCKETS).astype(float)
     good = np.bincount(flat[~toxic[row]], minlength=BUCKETS).astype(float)
-    n_bad, n_good = float(toxic[kept].sum()), float((~toxic[kept]).sum())
+    n_bad, n_good = float(toxic.sum()), float((~toxic).sum())
     rate = (bad + good) / (n_bad + n_good)
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = bad * np.log(bad / (n_bad * rate)) + np.where(good > 0, good * np.log(good / (n_good * rate)), 0)
-    telling = (bad >= 2) & (bad / n_bad > good / n_good) & (2 * np.nan_to_num(ratio) > 12)
+        ratio = np.nan_to_num(bad * np.log(bad / (n_bad * rate)) + np.where(good > 0, good * np.log(good / (n_good * rate)), 0))
+    share = (bad + n_bad / (n_bad + n_good)) / (bad + good + 1)
+    telling = (bad >= max(2.0, LEAST_SHARE * n_bad)) & (bad / n_bad > good / n_good) & (2 * ratio > LEAST_RATIO)
     chosen = np.flatnonzero(telling)
     chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:MOST_FEATURES]])
     inside = np.isin(flat, chosen)
     x, r = np.searchsorted(chosen, flat[inside]), row[inside]
-    y = toxic.astype(float)
-    use = np.isin(np.arange(len(y)), kept)
+    many = np.maximum(1, np.bincount(x, minlength=len(chosen)))
     weights, base = np.zeros(len(chosen)), math.log(n_bad / n_good)
-    step, penalty = 0.5, 2e-3
-    scale = 1 / max(1.0, np.bincount(r, minlength=1).max(initial=1))
     for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(base + np.bincount(r, weights[x], len(y)), -30, 30)))
-        error = np.where(use, y - p, 0)
-        gain = np.bincount(x, error[r], len(chosen)) / np.maximum(1, np.bincount(x, minlength=len(chosen)))
-        weights = np.maximum(weights + step * (gain - penalty * weights) * max(scale, 0.5), 0)
-        base += step * error.sum() / use.sum()
-    return chosen, weights, base
+        p = 1 / (1 + np.exp(-np.clip(base + np.bincount(r, weights[x], len(toxic)), -30, 30)))
+        error = toxic - p
+        gain = np.bincount(x, error[r], len(chosen)) / many - 2e-3 * weights
+        weights = np.maximum(weights + 0.25 * gain, 0)
+        base += 0.5 * float(error.mean())
+    sure = (share >= SURE) & (bad >= max(8.0, 2 * LEAST_SHARE * n_bad))
+    return chosen, weights, np.where(sure, share, 0)[chosen], base
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, limit: float = 0.7) -> DataFrame:
@@ -263,7 +269,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOS
     learned = spark.sparkContext.broadcast(learn(_labelled(docs, labels, most_labelled), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, weights, base = learned.value
+        chosen, weights, floors, base = learned.value
         known: dict[str, list[int]] = {}
         number = {int(f): i for i, f in enumerate(chosen)}
         for whole in batches:
@@ -282,10 +288,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOS
                 codes = coded.indices.to_numpy(zero_copy_only=False)
                 telling = np.flatnonzero(size[codes]) if len(codes) else codes
                 pairs = {(int(owner[t]), f) for t in telling for f in lists[codes[t]]}
-                total = np.full(batch.num_rows, base)
+                total, least = np.full(batch.num_rows, base), np.zeros(batch.num_rows)
                 for i, f in sorted(pairs):
                     total[i] += weights[f]
-                score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+                    least[i] = max(least[i], floors[f])
+                score = np.maximum(1 / (1 + np.exp(-np.clip(total, -30, 30))), least)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
