@@ -58,13 +58,13 @@ def sink_roundtrip(s):
 )
 def scan_csv_files(s):
     """Slices from CSV files of two column orders, each read by its own header."""
-    slices = s.raw_slices().withColumn("core_no", F.col("core_no").cast("string"))
+    slices = s.raw_slices().withColumn("core_no", F.col(s.key).cast("string"))
     fields = {"core_no": ("Core", "string")} | {
         k: tables.SLICE_FIELDS[k] for k in ("depth_from", "depth_to", "c_perc", "treatment")
     }
     paths = []
     for part, order in enumerate((list(fields), list(reversed(fields)))):
-        some = slices.filter(F.pmod(F.col("core_no").cast("long"), F.lit(2)) == part)
+        some = slices.filter(F.pmod(F.xxhash64("core_no"), F.lit(2)) == part)
         named = some.select(*[F.col(k).alias(fields[k][0]) for k in order])
         paths.append(tables.write_csv(named, new_path(s.spark, "slices-csv")))
     return tables.read_csv(s.spark, paths, fields)

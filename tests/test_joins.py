@@ -51,7 +51,6 @@ def skewed(spark, seed=3, n=900):
     return spark.createDataFrame(data, "k int, x double, i int"), pd.DataFrame(data, columns=["k", "x", "i"])
 
 
-@pytest.mark.parametrize("hot_rows", [5, 100, 10_000])
 @pytest.mark.parametrize(
     "aggregate, brute",
     [
@@ -61,23 +60,22 @@ def skewed(spark, seed=3, n=900):
         (mean_lenient, lambda v: v.mean()),
     ],
 )
-def test_group_total_on_every_row(spark, hot_rows, aggregate, brute):
+def test_group_total_on_every_row(spark, aggregate, brute):
     df, frame = skewed(spark)
     want = frame.assign(g=frame["k"].fillna(-1)).groupby("g")["x"].transform(brute)
-    got = rows(J.attach_group_total(df, "k", aggregate, "x", "t", hot_rows), "i")
+    got = rows(J.attach_group_total(df, "k", aggregate, "x", "t"), "i")
     assert len(got) == len(frame)
     np.testing.assert_allclose(
         [np.nan if r["t"] is None else r["t"] for r in got], want.astype(float), rtol=1e-9
     )
 
 
-@pytest.mark.parametrize("hot_rows", [5, 100, 10_000])
 @pytest.mark.parametrize("how", ["left", "right"])
-def test_many_to_one_equals_plain_join(spark, how, hot_rows):
+def test_many_to_one_equals_plain_join(spark, how):
     many, _ = skewed(spark)
     one = spark.createDataFrame([(k, f"v{k}") for k in range(0, 90, 2)], "k int, v string")
     want = rows(many.join(one, "k", how), "i", "k")
-    got = rows(J.join_many_to_one(many, one, "k", how, hot_rows), "i", "k")
+    got = rows(J.join_many_to_one(many, one, "k", how), "i", "k")
     assert [(r["k"], r["x"], r["i"], r["v"]) for r in got] == [
         (r["k"], r["x"], r["i"], r["v"]) for r in want
     ]

@@ -232,3 +232,27 @@ def test_no_residual_variance_is_refused(spark):
     df = spark.createDataFrame([("a", "s1", 1.0), ("b", "s2", 2.0)], "type string, site string, y double")
     with pytest.raises(ValueError, match="no residual variance"):
         M.lmm_random_intercept(df, "type", "site", "y", "a")
+
+
+def test_absent_reference_level_is_named(spark):
+    df = spark.createDataFrame([("b", "s1", 1.0), ("b", "s1", 2.0), ("c", "s2", 3.0)], "f string, s string, y double")
+    with pytest.raises(ValueError, match="no level 'a'"):
+        M.lmm_random_intercept(df, "f", "s", "y", "a")
+    with pytest.raises(ValueError, match="no complete rows"):
+        M.lmm_random_intercept(df.filter("y > 9"), "f", "s", "y", "b")
+
+
+def test_age_fit_on_the_recorded_sites(spark):
+    """Dirty years and ages outside the axis take no part: five of six sites stay."""
+    from pyspark.sql import functions as F
+
+    import survey_data as D
+    from coreline.catalog.statistics import AGE_LIMITS
+    from coreline.plans.cores import stand_age
+
+    means = spark.createDataFrame([(s, float(m)) for s, m, *_ in D.PLANT], "site string, biomass double")
+    placed = means.join(D.sites(spark), "site").filter("site_type = 'Rehabilitated'")
+    aged = placed.withColumn("age", stand_age("site_year")).filter(F.col("age").between(*AGE_LIMITS))
+    fit = M.ols_simple(aged, "age", "biomass").first()
+    assert fit.n == 5 and fit.df == 3 and 0 < fit.p < 1
+    assert fit.t == pytest.approx(fit.slope / fit.se_slope)

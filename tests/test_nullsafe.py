@@ -136,3 +136,40 @@ def test_t_probabilities(spark):
     df = spark.createDataFrame([(2.0, 5.0), (None, 5.0), (1.0, -1.0)], "t double, df double")
     got = [r.p for r in df.select(tdist.t_two_sided_p("t", "df").alias("p")).collect()]
     assert abs(got[0] - 0.10193947) < 1e-7 and got[1:] == [None, None]
+
+
+def test_t_law_has_no_step_in_df():
+    import numpy as np
+
+    df = np.geomspace(1e2, 1e12, 400)
+    for values in (tdist.two_sided_p(2.0, df), tdist.quantile(0.975, df)):
+        assert (np.diff(values) <= 1e-12).all()
+    # a normal law is reached, never switched to: the gap is (z**3 + z) / (4 df)
+    z = 1.959963984540054
+    large = np.geomspace(1e3, 1e8, 60)
+    np.testing.assert_allclose((tdist.quantile(0.975, large) - z) * large, (z**3 + z) / 4, rtol=0.01)
+    # Exact quantiles for few degrees of freedom
+    np.testing.assert_allclose(tdist.quantile(0.975, [1.0, 2.0, 3.0]), [12.706204736432095, 4.302652729911275, 3.182446305284263])
+
+
+def test_nan_counts_as_missing(spark):
+    from coreline.functions.nullsafe import mean_lenient, sd_lenient, sum_lenient, sum_strict, weighted_mean, without_nan
+    from coreline.operators.summary import value_range
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "x double")
+    got = df.agg(
+        sum_lenient("x").alias("a"), mean_lenient("x").alias("b"), sd_lenient("x").alias("c"),
+        sum_strict("x").alias("d"), weighted_mean("x").alias("e"),
+    ).first()
+    assert (got.a, got.b, round(got.c, 9), got.d, got.e) == (4.0, 2.0, 1.414213562, None, 2.0)
+    assert tuple(value_range(df, ["x"]).first()) == (1.0, 3.0)
+    assert [r.x for r in without_nan(df).collect()] == [1.0, None, 3.0]
+
+
+def test_number_text(spark):
+    from coreline.functions.nullsafe import try_number
+
+    texts = ["1980", "1980A", "1980D", "1980f", " 12.5 ", "-3e2", ".5", "NaN", "Infinity", "", None, "0x1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(try_number("t")).collect()]
+    assert got == [1980.0, None, None, None, 12.5, -300.0, 0.5, None, None, None, None, None]

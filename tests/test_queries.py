@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from coreline.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return check.database(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert check.compare(spark, con, name, FOLDER) is None
 
@@ -23,5 +24,6 @@ def test_entry(spark):
     assert df.columns == ["site_type", "av", "sd", "n", "se"] and df.count() == 3
 
 
-def test_only_the_iterative_model_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"lmm_random_intercept"}
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -93,3 +93,41 @@ def test_bucketed_slices_are_grouped_by_core_without_a_shuffle(spark):
     assert [r["site_core"] for r in got] == [r["site_core"] for r in want]
     for a, b in zip(got, want):
         assert a["total"] == b["total"] or abs(a["total"] - b["total"]) < 1e-9
+
+
+def test_files_of_two_headers_are_read_by_name(spark, tmp_path):
+    import pytest
+
+    fields = {"low": ("Depth_from", "double"), "high": ("Depth_to", "double")}
+    for name, text in (("a", "Depth_from,Depth_to\n0,5\n"), ("b", "Depth_to,Depth_from\n10,5\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(text)
+    both = tables.read_csv(spark, [str(tmp_path / "a"), str(tmp_path / "b")], fields)
+    assert rows(both, "low") == [{"low": 0.0, "high": 5.0}, {"low": 5.0, "high": 10.0}]
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    for name in ("a", "b"):
+        (mixed / f"{name}.csv").write_text((tmp_path / name / "x.csv").read_text())
+    with pytest.raises(Exception, match="CSV_HEADER|header"):
+        tables.read_csv(spark, str(mixed), fields).collect()
+
+
+def test_absent_columns_raise(spark, tmp_path):
+    import pytest
+
+    path = tmp_path / "x.csv"
+    path.write_text("Depth_from\n0\n")
+    fields = {"low": ("Depth_from", "double"), "high": ("Depth_to", "double")}
+    with pytest.raises(tables.MissingColumns, match="Depth_to"):
+        tables.read_csv(spark, str(path), fields)
+    assert tables.read_csv(spark, str(path), fields, optional=["high"]).columns == ["low"]
+
+
+def test_checkpoint_files_can_go(spark):
+    from coreline.runtime import _CHECKPOINTS, drop_checkpoint
+
+    kept = cut_lineage(spark.range(3))
+    place = Path(_CHECKPOINTS[kept].removeprefix("file:"))
+    assert place.exists()
+    drop_checkpoint(kept)
+    assert not place.exists()
