@@ -2,7 +2,8 @@
 
 A column list such as ``"site av:4 n:i"`` is applied to the Spark result and to
 the SQL twin alike: ``:4`` rounds to four digits, ``:i`` is a 64-bit integer, a
-bare name passes through.
+bare name passes through.  ``:6~`` goes by way of ten exact decimals, so that a
+tie is a tie in either engine, whatever the order of its sum.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ def _report(df: DataFrame, spec: str) -> DataFrame:
         if kind == "i":
             out.append(F.col(name).cast("bigint").alias(name))
         elif kind:
-            out.append(F.round(F.col(name).cast("double"), int(kind)).alias(name))
+            value = F.col(name).cast("decimal(38,10)" if kind.endswith("~") else "double")
+            out.append(F.round(value, int(kind.rstrip("~"))).cast("double").alias(name))
         else:
             out.append(F.col(name))
     return df.select(*out)
@@ -41,7 +43,8 @@ def _report_sql(sql: str, spec: str) -> str:
         if kind == "i":
             out.append(f"CAST({name} AS BIGINT) AS {name}")
         elif kind:
-            out.append(f"round(CAST({name} AS DOUBLE), {kind}) AS {name}")
+            exact = "DECIMAL(38, 10)" if kind.endswith("~") else "DOUBLE"
+            out.append(f"CAST(round(CAST({name} AS {exact}), {kind.rstrip('~')}) AS DOUBLE) AS {name}")
         else:
             out.append(name)
     return with_views(f"SELECT {', '.join(out)} FROM ({sql}) AS result")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from coreline.catalog.carbon import horizon_accretion, located_plots
 from coreline.catalog.registry import query
+from coreline.catalog.sql_views import VIEWS
 from coreline.catalog.summaries import core_totals
 from coreline.constants import CONVERTED, ESTABLISHED, REHABILITATED
 from coreline.operators import models as M
@@ -233,10 +234,114 @@ def lmm_profile(s):
     return M.lmm_profile_terms(sites, RATIOS, REHABILITATED)
 
 
-@query("model term estimate:4 se:4 t:4 df:4 p:6 ci_lo:4 ci_hi:4")
+# --- random intercepts in SQL: the same grid search and closed forms -----------
+
+_LMM_ROWS = " UNION ALL ".join(
+    f"SELECT '{model}' AS model, '{ref}' AS ref, site_type AS level, site, {y} AS y FROM {table}"
+    for model, ref, y, table in (
+        ("plant", REHABILITATED, "plant_c", _BY_SITE),
+        ("plant_rate", ESTABLISHED, "plant_per_year", _BY_SITE),
+        ("soil", CONVERTED, "total_lenient", f"(SELECT * FROM core_100 WHERE site_type <> '{REHABILITATED}')"),
+        ("soil_rate", CONVERTED, "per_year", "core_horizon"),
+    )
+)
+
+
+def _lowest(grid: str) -> str:
+    """Per model the ratio of lowest deviance on a grid of ``model, ratio`` rows."""
+    return f"""
+        SELECT model, arg_min(ratio, rise) AS best, arg_min(sigma2, rise) AS sigma2 FROM (
+          SELECT model, ratio, (sum(ss) + sum(between_ss)) / (sum(n) - count(*)) AS sigma2,
+                 (sum(n) - count(*)) * ln(1 + sum(between_ss) / sum(ss)) + sum(logs) + sum(ln(w)) AS rise
+          FROM (SELECT model, ratio, level, sum(w) AS w, sum(ss) AS ss, sum(n) AS n,
+                       sum(w * m * m) - sum(w * m) * sum(w * m) / sum(w) AS between_ss,
+                       sum(ln(1 + ratio * n)) AS logs
+                FROM (SELECT *, n / (1 + ratio * n) AS w FROM lmm_sites JOIN ({grid}) USING (model))
+                GROUP BY model, ratio, level)
+          GROUP BY model, ratio)
+        GROUP BY model"""
+
+
+def _zoomed(best: str, low: str, high: str) -> str:
+    return _lowest(
+        f"""SELECT model, {low} + k * (({high}) - ({low})) / 512e0 AS ratio
+            FROM {best} JOIN lmm_reach USING (model), range(513) AS r(k)"""
+    )
+
+
+_WEIGHTS = {
+    "u": "n / d", "us": "-n / (d * d)", "ut": "-n * n / (d * d)", "uss": "2 * n / (d * d * d)",
+    "ust": "2 * n * n / (d * d * d)", "utt": "2 * n * n * n / (d * d * d)",
+}
+_SUMS = ", ".join(
+    f"sum({w} * {f}) AS {k}{p}" for k, w in _WEIGHTS.items() for p, f in enumerate(("1", "m", "m * m"))
+)
+
+
+def _pair(a: str, b: str, ab: str, logs: str) -> str:
+    return f"""sum({ab}2 - 2 * ({b}1 * {a}1 + u1 * {ab}1) / u0 + 2 * u1 * ({a}1 * {b}0 + {b}1 * {a}0) / power(u0, 2)
+          + power(u1, 2) * {ab}0 / power(u0, 2) - 2 * power(u1, 2) * {a}0 * {b}0 / power(u0, 3)
+          + {ab}0 / u0 - {a}0 * {b}0 / power(u0, 2) + {logs})"""
+
+
+VIEWS |= {
+    "lmm_sites": f"""
+        SELECT * REPLACE (m - sum(n * m) OVER (PARTITION BY model) / sum(n) OVER (PARTITION BY model) AS m),
+               sum(n * m) OVER (PARTITION BY model) / sum(n) OVER (PARTITION BY model) AS center
+        FROM (SELECT model, ref, level, site, CAST(count(*) AS DOUBLE) AS n, avg(y) AS m,
+                     var_pop(y) * count(*) AS ss
+              FROM ({_LMM_ROWS}) WHERE level IS NOT NULL AND site IS NOT NULL AND y IS NOT NULL
+              GROUP BY ALL)""",
+    "lmm_reach": """
+        SELECT model, e, (8 - e) / 512e0 AS rise
+        FROM (SELECT model, -6 - log10(max(n)) AS e FROM lmm_sites GROUP BY model)""",
+    "lmm_first": _lowest(
+        """SELECT model, CASE WHEN k < 0 THEN 0e0 ELSE power(10e0, e + rise * k) END AS ratio
+           FROM lmm_reach, range(-1, 513) AS r(k)"""
+    ),
+    "lmm_second": _zoomed("lmm_first", "best / power(10e0, rise)", "best * power(10e0, rise)"),
+    "lmm_third": _zoomed(
+        "lmm_second", "best * (1 - power(10e0, rise) / 100)", "best * (1 + power(10e0, rise) / 100)"
+    ),
+    "lmm_best": _zoomed("lmm_third", "best * (1 - 1e-5)", "best * (1 + 1e-5)"),
+    "lmm_sums": f"""
+        SELECT model, ref, level, s, tau, center, {_SUMS}, sum(n) AS n, sum(ss) AS ss, count(*) AS sites,
+               sum(-1 / (d * d)) AS lss, sum(-n / (d * d)) AS lst, sum(-n * n / (d * d)) AS ltt
+        FROM (SELECT *, sigma2 AS s, best * sigma2 AS tau, sigma2 + best * sigma2 * n AS d
+              FROM lmm_sites JOIN lmm_best USING (model))
+        GROUP BY model, ref, level, s, tau, center""",
+    "lmm_curves": f"""
+        SELECT *, h_ss * h_tt - h_st * h_st AS det
+        FROM (SELECT model, sum(n) - count(*) AS rest,
+                     {_pair("us", "us", "uss", "lss")} - sum(n - sites) / power(any_value(s), 2)
+                       + 2 * sum(ss) / power(any_value(s), 3) AS h_ss,
+                     {_pair("us", "ut", "ust", "lst")} AS h_st,
+                     {_pair("ut", "ut", "utt", "ltt")} AS h_tt
+              FROM lmm_sums GROUP BY model)""",
+    "lmm_terms": """
+        SELECT model, term, estimate, sqrt(variance) AS se,
+               CASE WHEN tau <= 0 OR det <= 0 THEN rest
+                    ELSE 2 * variance * variance * det
+                         / (2 * (gs * gs * h_tt - 2 * gs * gt * h_st + gt * gt * h_ss)) END AS df
+        FROM (SELECT x.model, x.tau, c.*,
+                     CASE WHEN x.level = x.ref THEN '(Intercept)' ELSE 'site_type' || x.level END AS term,
+                     CASE WHEN x.level = x.ref THEN x.center + x.u1 / x.u0
+                          ELSE x.u1 / x.u0 - r.u1 / r.u0 END AS estimate,
+                     1 / x.u0 + CASE WHEN x.level = x.ref THEN 0 ELSE 1 / r.u0 END AS variance,
+                     -x.us0 / power(x.u0, 2) - CASE WHEN x.level = x.ref THEN 0 ELSE r.us0 / power(r.u0, 2) END AS gs,
+                     -x.ut0 / power(x.u0, 2) - CASE WHEN x.level = x.ref THEN 0 ELSE r.ut0 / power(r.u0, 2) END AS gt
+              FROM lmm_sums x JOIN lmm_sums r ON r.model = x.model AND r.level = x.ref
+                   JOIN lmm_curves c ON c.model = x.model)""",
+}
+
+
+@query(
+    "model term estimate:3 se:3 t:3 df:2 p:3 ci_lo:2 ci_hi:2",
+    _P_SQL.format(rows="SELECT model, term, estimate, se, df FROM lmm_terms"),
+)
 def lmm_random_intercept(s):
     """Type effects with a random site intercept: plant, soil and rates."""
-    plots = located_plots(s, "site_type", "site_year_numeric").filter(
+    plots = P.complete_plots(P.plot_carbon(s.plots()), s.sites(), ["treatment2", "biomass_kg", "plant_c"]).filter(
         F.col("treatment2") != "Disturbed"
     )
     soil = core_totals(s, "site_type", policy="lenient").filter(
