@@ -2,7 +2,11 @@
 
 1.  Every text becomes its set of word shingles.  Texts with equal sets are one
     class, found by a digest of the set; classes need no pairs.
-2.  Candidate search loses no pair.  If two sets of at most u shingles have
+2.  A set that links with another one has at least ``percent`` % of its shingles in
+    it.  A third of all shingles, chosen by hash, are counted over the table; a set
+    goes on only if enough of its counted shingles occur in another set, were all
+    it may lack among them.  Texts that merely share a passage stop here.
+3.  Candidate search loses no pair.  If two sets of at most u shingles have
     Jaccard similarity of at least j, they differ in at most
     d = 2u (1 - j) / (1 + j) shingles.  Shingles are dealt by hash to more than
     d parts, so at least one part is the same in both sets.  Sets meet where
@@ -10,16 +14,16 @@
     enters the next range if a partner may stand there.  Agreeing sets are linked
     to the smallest digest of their part, and connected components of those
     edges are the candidate clusters.
-3.  In a cluster, a signature tree holds the OR of its members' shingle bitmaps
+4.  In a cluster, a signature tree holds the OR of its members' shingle bitmaps
     and their size range in every node.  Two trees (or one with itself) are
     traversed together; a pair of nodes whose largest possible overlap is too
     small is dropped with everything below it.  Pairs of sets that remain are
     intersected exactly, unless links found before connect them already.
-4.  Connected components of the links and classes name each document's group.
+5.  Connected components of the links and classes name each document's group.
 
 A cluster of more than ``BLOCK_SHINGLES`` shingles is cut into blocks, and each
 pair of blocks is a task of its own, so no task holds a whole large cluster.
-Records of step 2 travel as sorted arrays, one for each task and hash range.
+Records of steps 2 and 3 travel as sorted arrays, one for each task and hash range.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +52,10 @@ from coreline.llm.shingles import shingle_sets
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
-BLOCK_SHINGLES = 1 << 20
+COUNT_BYTES = 64 << 20
+#: One shingle in so many is counted.
+COUNTED = 3
+BLOCK_SHINGLES = 1 << 18
 FANOUT = 8
 #: A NULL doc_id counts as the largest id.
 NO_ID = (1 << 63) - 1
@@ -131,56 +139,112 @@ def _map_sets(docs: DataFrame, shingle: int) -> DataFrame:
             for batch in slices(whole, "text", BATCH_BYTES):
                 n = batch.num_rows
                 values, owner = shingle_sets(batch.column("text"), shingle)
-                columns = (np.bincount(owner, minlength=n), *_digest(values, owner, n))
+                counted = np.bincount(owner[values % COUNTED == 0], minlength=n)
+                columns = (np.bincount(owner, minlength=n), counted, *_digest(values, owner, n))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns)], ["doc_id", "n", "d1", "d2"]
+                    [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns)], ["doc_id", "n", "counted", "d1", "d2"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, counted long, d1 long, d2 long")
+
+
+def _packed(key: np.ndarray, doc: np.ndarray, d1: np.ndarray, width: int, buckets: int) -> pa.RecordBatch | None:
+    """Records of one batch by hash range: the sets' names, and sorted keys with their members."""
+    key = key >> np.uint64(64 - 8 * width)
+    order = np.argsort(key)
+    key, doc = key[order], doc[order]
+    cuts = split_digits(key, width, buckets)
+    rows = []
+    for k in range(buckets):
+        part = slice(cuts[k], cuts[k + 1])
+        if cuts[k] < cuts[k + 1]:
+            rows.append((k, *members_of(doc[part], d1), low_bytes(key[part], width)))
+    if not rows:
+        return None
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(next(columns), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
+        ["bucket", "names", "member", "sig"],
+    )
 
 
-def _map_signatures(docs: DataFrame, shingle: int, percent: int, width: int, buckets: int) -> DataFrame:
-    """Signatures of all sets by hash range: ``bucket``, the sets' ``names`` (first
-    digests), and sorted ``sig`` with the ``member`` each belongs to.
+_PACKED = "bucket int, names binary, member binary, sig binary"
 
-    A task sends equal sets once.  Signatures are cut to ``width`` bytes; those that
-    meet by chance cost a comparison and nothing else.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+def _unpacked(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and names in rising order, and where a new key starts."""
+    key = np.concatenate([from_low_bytes(r["sig"], width) for r in rows])
+    name = np.concatenate([member_ids(r["names"], r["member"]) for r in rows])
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return key, name, new
+
+
+def _shared_counts(docs: DataFrame, shingle: int, width: int, buckets: int) -> DataFrame:
+    """``d1, shared``: how many counted shingles of a set occur in another set."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                n = batch.num_rows
                 values, owner = shingle_sets(batch.column("text"), shingle)
-                sizes = np.bincount(owner, minlength=n)
-                d1, _ = _digest(values, owner, n)
-                fresh = np.zeros(n, bool)
-                for i in np.flatnonzero(sizes):
-                    if int(d1[i]) not in seen:
-                        seen.add(int(d1[i]))
-                        fresh[i] = True
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                mine = fresh[owner]
-                sig, doc = part_signatures(values[mine], owner[mine], np.where(fresh, sizes, 0), percent)
-                sig = sig >> np.uint64(64 - 8 * width)
-                order = np.argsort(sig)
-                sig, doc = sig[order], doc[order]
-                cuts = split_digits(sig, width, buckets)
-                rows = []
-                for k in range(buckets):
-                    part = slice(cuts[k], cuts[k + 1])
-                    if cuts[k] < cuts[k + 1]:
-                        rows.append((k, *members_of(doc[part], d1), low_bytes(sig[part], width)))
-                if rows:
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(next(columns), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
-                        ["bucket", "names", "member", "sig"],
-                    )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, names binary, member binary, sig binary")
+                d1, _ = _digest(values, owner, batch.num_rows)
+                some = values % COUNTED == 0
+                if found := _packed(values[some], owner[some], d1, width, buckets):
+                    yield found
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in rows_by_key(batches, "bucket"):
+            key, name, new = _unpacked(rows, width)
+            fresh = new.copy()
+            fresh[1:] |= name[1:] != name[:-1]
+            group = np.cumsum(new) - 1
+            sets = np.bincount(group[fresh])
+            names, shared = np.unique(name[fresh & (sets[group] > 1)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(shared.astype(np.int64))], ["d1", "shared"])
+
+    sent = docs.select("text").mapInArrow(send, _PACKED)
+    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "d1 long, shared long").groupBy("d1").agg(F.sum("shared").alias("shared"))
+
+
+def _zipped(docs: DataFrame) -> DataFrame:
+    """``node, body``: ids and compressed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            body = [pack(x.as_buffer()) for x in batch.column("text").fill_null("").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(body, pa.binary())], ["node", "body"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text")
+    return rows.mapInArrow(run, "node long, body binary")
+
+
+def _unzipped(bodies) -> pa.Array:
+    unzip = zstandard.ZstdDecompressor().decompress
+    return pa.array([unzip(x).decode() for x in bodies], pa.large_string())
+
+
+def _map_signatures(near: DataFrame, shingle: int, percent: int, width: int, buckets: int) -> DataFrame:
+    """Signatures of all sets by hash range.
+
+    Signatures are cut to ``width`` bytes; those that meet by chance cost a
+    comparison and nothing else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "body", BATCH_BYTES // 4):
+                values, owner = shingle_sets(_unzipped(batch.column("body").to_pylist()), shingle)
+                sizes = np.bincount(owner, minlength=batch.num_rows)
+                d1, _ = _digest(values, owner, batch.num_rows)
+                sig, doc = part_signatures(values, owner, sizes, percent)
+                if found := _packed(sig, doc, d1, width, buckets):
+                    yield found
+
+    return near.select("body").mapInArrow(run, _PACKED)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,13 +271,8 @@ def _stars(signatures: DataFrame, width: int, buckets: int) -> DataFrame:
     """
 
     def edges(rows: list[dict]) -> pa.RecordBatch | None:
-        sig = np.concatenate([from_low_bytes(r["sig"], width) for r in rows])
-        name = np.concatenate([member_ids(r["names"], r["member"]) for r in rows])
-        order = np.lexsort((name, sig))
-        sig, name = sig[order], name[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        center = name[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        _, name, new = _unpacked(rows, width)
+        center = name[np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))]
         apart = center != name
         if not apart.any():
             return None
@@ -330,11 +389,10 @@ def linked(sets_x: list[np.ndarray], sets_y: list[np.ndarray] | None, percent: i
 
 
 def _verified(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between nodes, from rows of ``cluster, bi, bj, block, node, d1, text``."""
+    """Links ``a, b`` between nodes, from rows of ``cluster, bi, bj, block, node, d1, body``."""
 
     def links(group: list[tuple]) -> pa.RecordBatch | None:
-        texts = pa.array([g[-1] for g in group], pa.string())
-        values, owner = shingle_sets(texts, shingle)
+        values, owner = shingle_sets(_unzipped(g[-1] for g in group), shingle)
         edges = np.searchsorted(owner, np.arange(len(group) + 1))
         d1, _ = _digest(values, owner, len(group))
         sides: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -367,7 +425,7 @@ def _verified(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             yield found
 
     key = ["cluster", "bi", "bj"]
-    rows = rows.select(*key, "block", "node", "d1", "text")
+    rows = rows.select(*key, "block", "node", "d1", "body")
     return rows.repartition(*key).sortWithinPartitions(*key, "block").mapInArrow(run, "a long, b long")
 
 
@@ -387,24 +445,32 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     size = text_bytes(bounded_batches(docs))
     buckets, width = shares(size, BUCKET_BYTES), digit_bytes(size)
     sets = frozen(_map_sets(docs, shingle), "shingle-sets").select(
-        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "n", "d1", "d2"
+        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "n", "counted", "d1", "d2"
     )
-    clusters = components(_stars(_map_signatures(docs, shingle, percent, width, buckets), width, buckets))
     full = sets.where("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.first("n").alias("n"))
-    # every class that shares a signature with another, and its cluster
+    classes = full.groupBy("d1", "d2").agg(
+        F.min("node").alias("rep"), F.first("n").alias("n"), F.first("counted").alias("counted")
+    )
+    shared = _shared_counts(docs, shingle, width, shares(size, COUNT_BYTES))
+    lack = F.floor(F.col("n") * (100 - percent) / 100)
+    least = int(_ranges(percent, 1)[0])
+    near = classes.where(F.col("n") >= least).join(shared, "d1", "left")
+    near = near.where(F.coalesce("shared", F.lit(0)) >= F.col("counted") - lack)
+    near = near.join(_zipped(docs), F.col("rep") == F.col("node")).select("d1", "n", "node", "body")
+    near = frozen(near, "near-sets", "none")
+    clusters = components(_stars(_map_signatures(near, shingle, percent, width, buckets), width, buckets))
+    # every set that shares a signature with another, and its cluster
     named = clusters.select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
     centers = clusters.select(F.col("component").alias("d1"), F.col("component").alias("cluster")).distinct()
-    placed = classes.join(named.unionByName(centers), "d1")
+    placed = near.select("d1", "n").join(named.unionByName(centers), "d1")
     weights = placed.groupBy("cluster").agg(F.sum("n").alias("weight"), F.count("*").alias("many")).where("many > 1")
     blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES)
     block = F.pmod(F.xxhash64("d1"), F.col("blocks"))
     work = placed.join(weights, "cluster").withColumn("blocks", blocks).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    text = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
-    work = work.select("cluster", "blocks", "block", F.col("rep").alias("node"), "d1").join(text, "node")
+    work = work.select("cluster", "blocks", "block", "d1").join(near.select("d1", "node", "body"), "d1")
     work = work.withColumn("other", other).select(
-        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "d1", "text"
+        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "d1", "body"
     )
     links = _verified(work, shingle, percent)
     members = full.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("node <> rep")

@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from coreline.llm.common import byte_view
+from coreline.llm.common import byte_view, slices
 from coreline.llm.rolling import mixed, prefix_sums, span_hash
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+STEP_BYTES = 1 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -36,6 +37,17 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     A text of fewer words than ``size`` has its whole word sequence as its only
     shingle; one without words has none.
     """
+    at, found = 0, []
+    for some in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", STEP_BYTES):
+        values, owner = _sets(some.column(0), size)
+        found.append((values, owner + at))
+        at += some.num_rows
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     words, counts = word_hashes(texts)
     owner = np.repeat(np.arange(len(counts)), counts)
     last = np.cumsum(counts)[owner] if len(counts) else np.zeros(0, np.int64)

@@ -311,12 +311,15 @@ def _third_digit(opened: DataFrame, length: int, width: int, buckets: int, chunk
 
     def decide(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        data = np.frombuffer(b"".join(unzip(r["body"]) for r in rows), np.uint8)
-        size = np.concatenate([np.frombuffer(r["size"], "<u4") for r in rows]).astype(np.int64)
-        many = size - length + 1
-        start = np.cumsum(size) - size
-        at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        string = mixed(window_hash(prefix_sums(data), length)[at])
+        strings, counts = [], []
+        for row in rows:
+            size = np.frombuffer(row["size"], "<u4").astype(np.int64)
+            counts.append(size - length + 1)
+            sums = prefix_sums(np.frombuffer(unzip(row["body"]), np.uint8))
+            inner = np.cumsum(counts[-1]) - counts[-1]
+            at = np.repeat(np.cumsum(size) - size - inner, counts[-1]) + np.arange(int(counts[-1].sum()))
+            strings.append(mixed(span_hash(sums, at, at + length)))
+        string, many = np.concatenate(strings), np.concatenate(counts)
         digit = np.repeat(np.concatenate([from_low_bytes(r["digit"], width) for r in rows]), many)
         ids = np.repeat(np.concatenate([member_ids(r["ids"], r["place"]) for r in rows]), many)
         order = np.lexsort((ids, string, digit))
