@@ -184,6 +184,19 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch, small):
     assert sum(r[2] for r in have) > 1000
 
 
+def test_runs_around_one_phrase_are_told_apart(spark):
+    # all have one first digit; the runs of each two neighbours agree in the first 40 bits of their hash
+    texts = [
+        "smnyjykatfkuelhahoqvtpiadnmktodikdxhqumvmprxpvzxhg",
+        "tqoreskkskhsewpahoqvtpiadnmktodikdxaxlnmeibbjiwamg",
+        "dqribpoamgtcdoqahoqvtpiadnmktodikdxysjenejuonizejg",
+        "xhrzlkygsuggpjcahoqvtpiadnmktodikdxjyyhzefwogbosfj",
+    ]
+    rows = list(enumerate(texts)) + [(9, texts[3])]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 50}
+
+
 def test_repeated_bytes_of_edges(spark):
     got = remove_repeats(edge_docs(spark), keep=False).collect()
     assert len(got) == len(edge_rows()) and all(r.kept is None for r in got)
