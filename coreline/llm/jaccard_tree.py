@@ -132,7 +132,7 @@ def part_signatures(
 
 
 def _map_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """Size and digests of each document's set."""
+    """Text hash, size and digests of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -142,10 +142,12 @@ def _map_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 counted = np.bincount(owner[values % COUNTED == 0], minlength=n)
                 columns = (np.bincount(owner, minlength=n), counted, *_digest(values, owner, n))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns)], ["doc_id", "n", "counted", "d1", "d2"]
+                    [batch.column("doc_id").cast(pa.int64()), batch.column("hash"), *map(pa.array, columns)],
+                    ["doc_id", "hash", "n", "counted", "d1", "d2"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, counted long, d1 long, d2 long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, hash long, n long, counted long, d1 long, d2 long")
 
 
 def _packed(key: np.ndarray, doc: np.ndarray, d1: np.ndarray, width: int, buckets: int) -> pa.RecordBatch | None:
@@ -210,16 +212,24 @@ def _shared_counts(docs: DataFrame, shingle: int, width: int, buckets: int) -> D
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
-    """``node, body``: ids and compressed texts."""
+    """``node, hash, body``: ids, text hashes and compressed texts; each task sends one row of an id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch.column("node").to_pylist(), batch.column("hash").to_pylist(), strict=True)):
+                if key not in sent:
+                    sent.add(key)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             body = [pack(x.as_buffer()) for x in batch.column("text").fill_null("").cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(body, pa.binary())], ["node", "body"])
+            columns = [batch.column("node"), batch.column("hash"), pa.array(body, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "hash", "body"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text")
-    return rows.mapInArrow(run, "node long, body binary")
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node")
+    return docs.select(node, F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "node long, hash long, body binary")
 
 
 def _unzipped(bodies) -> pa.Array:
@@ -445,18 +455,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     size = text_bytes(bounded_batches(docs))
     buckets, width = shares(size, BUCKET_BYTES), digit_bytes(size)
     sets = frozen(_map_sets(docs, shingle), "shingle-sets").select(
-        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "n", "counted", "d1", "d2"
+        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "hash", "n", "counted", "d1", "d2"
     )
     full = sets.where("n > 0")
     classes = full.groupBy("d1", "d2").agg(
-        F.min("node").alias("rep"), F.first("n").alias("n"), F.first("counted").alias("counted")
+        F.min(F.struct("node", "hash")).alias("least"), F.first("n").alias("n"), F.first("counted").alias("counted")
     )
+    classes = classes.select("d1", "d2", F.col("least.node").alias("rep"), F.col("least.hash").alias("hash"), "n", "counted")
     shared = _shared_counts(docs, shingle, width, shares(size, COUNT_BYTES))
     lack = F.floor(F.col("n") * (100 - percent) / 100)
     least = int(_ranges(percent, 1)[0])
     near = classes.where(F.col("n") >= least).join(shared, "d1", "left")
     near = near.where(F.coalesce("shared", F.lit(0)) >= F.col("counted") - lack)
-    near = near.join(_zipped(docs), F.col("rep") == F.col("node")).select("d1", "n", "node", "body")
+    near = near.withColumnRenamed("rep", "node").join(_zipped(docs), ["node", "hash"])
+    # one body for each set, however many rows have its id and text
+    near = near.dropDuplicates(["node", "hash"]).select("d1", "n", "node", "body")
     near = frozen(near, "near-sets", "none")
     clusters = components(_stars(_map_signatures(near, shingle, percent, width, buckets), width, buckets))
     # every set that shares a signature with another, and its cluster

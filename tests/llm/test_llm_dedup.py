@@ -139,6 +139,26 @@ def test_one_of_each_group(spark):
     assert len(kept) - len(full) == sum(not s for s in sets)
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    from coreline.llm import jaccard_tree
+
+    seen, verified = [], jaccard_tree._verified
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return verified(rows, *rest)
+
+    monkeypatch.setattr(jaccard_tree, "_verified", counted)
+    text = " ".join(f"t{i}" for i in range(200))
+    rows = [(i, text) for i in range(40)] + [(50, text + " end"), (51, "another text that has seven words")]
+    got = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 51]
+    rows = [(7, text) for _ in range(40)] + [(7, "another text that has seven words"), (50, text + " end")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(7, 7), (50, 7)}
+    assert seen == [2, 2]
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 90)]
