@@ -2,7 +2,7 @@
 
 The channel hides letters: digits and signs for letters (leetspeak), signs or
 single spaces between letters, letters repeated.  For every token that shows a
-trace of it, a lattice holds the readings of each character, and Viterbi decoding
+trace of it (a doubled letter is one; such a word also counts as it is), a lattice holds the readings of each character, and Viterbi decoding
 finds the likeliest letters under a character trigram model.  That model is
 counted over the words of all documents.
 
@@ -46,6 +46,7 @@ LEET = {
 SPACING = "._-*~'`^:/\\ ,·•"
 _SIGN, _SKIP, _REPEAT, _LITERAL = math.log(0.2), math.log(0.3), math.log(0.3), math.log(0.02)
 _THRICE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
 
 
 def symbol(letter: str) -> int:
@@ -66,8 +67,11 @@ class LetterModel:
         self.log = np.log(triples)
         self.seen: dict[str, str] = {}
 
-    def restore(self, token: str) -> str:
-        """The likeliest letters behind a lower-case token; "" if there are none."""
+    def restore(self, token: str, cut: bool = False) -> str:
+        """The likeliest letters behind a lower-case token; "" if there are none.
+
+        With ``cut`` they may be several words, with a space between them.
+        """
         best: dict[tuple[int, int], tuple[float, str | None, tuple | None]] = {(0, 0): (0.0, None, None)}
         log = self.log
         for char in token:
@@ -91,6 +95,11 @@ class LetterModel:
                     new = score + _SKIP
                     if (a, b) not in after or after[a, b][0] < new:
                         after[a, b] = (new, last, path)
+            if cut:
+                for (a, b), (score, last, path) in list(after.items()):
+                    new = score + log[a, b, 0]
+                    if path is not None and last != " " and ((0, 0) not in after or after[0, 0][0] < new):
+                        after[0, 0] = (new, " ", (" ", path))
             best = after
         path = max(((score + log[a, b, 0], path) for (a, b), (score, _, path) in best.items()), key=lambda x: x[0])[1]
         out = []
@@ -110,6 +119,32 @@ class LetterModel:
             self.seen[core] = self.restore(core)
         return self.seen[core]
 
+    def readings(self, token: str) -> list[str]:
+        """Words that a token of :func:`_tokens` may stand for.
+
+        A word with a doubled letter is read as it is and as decoded, a row of single
+        characters as the words it can be cut into, and whole without an "a" or "i"
+        at its ends.
+        """
+        if " " in token:
+            if token not in self.seen:
+                if len(self.seen) > 200_000:
+                    self.seen.clear()
+                self.seen[token] = self.restore(token.replace(" ", ""), cut=True)
+            run = token.replace(" ", "")
+            ends = {run[i : len(run) - j] for i in (0, run[0] in "ai") for j in (0, run[-1] in "ai")} - {run}
+            words = [*self.seen[token].split(), *(w for x in sorted(ends) for w in self.readings(x))]
+        else:
+            words = [self.word(token)]
+            if words[0].isalpha() and _TWICE.search(words[0]):
+                key = f"{words[0]} "
+                if key not in self.seen:
+                    if len(self.seen) > 200_000:
+                        self.seen.clear()
+                    self.seen[key] = self.restore(words[0])
+                words.append(self.seen[key])
+        return list(dict.fromkeys(words))
+
 
 def features(word: str) -> list[int]:
     """Numbers of a word and of its beginnings of four to six letters."""
@@ -120,11 +155,14 @@ def features(word: str) -> list[int]:
 def _tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Distinct lower-case tokens of some texts, as codes with each code's text.
 
-    Three or more tokens of one character in a row also count as one token.
+    Three or more tokens of one character in a row, punctuation at their edges
+    aside, also count as one token, and once more with spaces between them.
     """
     words, counts = words_of(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     owner = np.repeat(np.arange(len(texts)), counts)
-    single = pc.equal(pc.utf8_length(words), 1).to_numpy(zero_copy_only=False)
+    core = pc.utf8_trim(words, _EDGES)
+    core = pc.if_else(pc.equal(pc.utf8_length(core), 0), words, core)
+    single = pc.equal(pc.utf8_length(core), 1).to_numpy(zero_copy_only=False)
     start = single.copy()
     start[1:] &= ~(single[:-1] & (owner[1:] == owner[:-1]))
     run = np.cumsum(start) - 1
@@ -133,12 +171,12 @@ def _tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     if len(where):
         sizes = np.bincount(run[where])
         long = sizes[run[where]] >= 3
-        letters = words.take(pa.array(where[long])).to_pylist()
+        letters = core.take(pa.array(where[long])).to_pylist()
         at = 0
         for r in np.unique(run[where[long]]):
-            joined.append("".join(letters[at : at + sizes[r]]))
+            joined += ["".join(letters[at : at + sizes[r]]), " ".join(letters[at : at + sizes[r]])]
             at += sizes[r]
-        of = owner[np.flatnonzero(start)[np.unique(run[where[long]])]]
+        of = np.repeat(owner[np.flatnonzero(start)[np.unique(run[where[long]])]], 2)
     if joined:
         words = pa.concat_arrays([words, pa.array(joined, pa.large_string())])
         owner = np.concatenate([owner, of])
@@ -206,7 +244,7 @@ def learn(labelled: DataFrame, model) -> tuple[np.ndarray, np.ndarray, np.ndarra
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 coded, owner = _tokens(batch.column("text"))
-                lists = [features(model.value.word(x)) for x in coded.dictionary.to_pylist()]
+                lists = [[f for w in model.value.readings(x) for f in features(w)] for x in coded.dictionary.to_pylist()]
                 codes = coded.indices.to_numpy(zero_copy_only=False)
                 order = np.argsort(owner, kind="stable")
                 cuts = np.searchsorted(owner[order], np.arange(1, batch.num_rows))
@@ -281,7 +319,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOS
                 for token in coded.dictionary.to_pylist():
                     found = known.get(token)
                     if found is None:
-                        found = [number[f] for f in features(model.value.word(token)) if f in number]
+                        found = [number[f] for w in model.value.readings(token) for f in features(w) if f in number]
                         known[token] = found
                     lists.append(found)
                 size = np.array([len(x) for x in lists], np.int64)

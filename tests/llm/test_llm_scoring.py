@@ -247,6 +247,21 @@ def test_single_characters_in_a_row_are_one_token():
     assert tokens[0, "aloserb"] == 1 and tokens[3, "abc"] == 1 and tokens[0, "xy"] == 0
 
 
+def test_doubled_letters_and_spaced_words_are_read():
+    model = letter_model()
+    for token, word in (("stuupid", "stupid"), ("mooron", "moron"), ("lloser", "loser")):
+        assert model.readings(token) == [token, word]
+    assert model.readings("stupid") == ["stupid"]
+
+    def read(text):
+        coded, _ = toxicity._tokens(pa.array([text]))
+        return {w for x in coded.dictionary.to_pylist() for w in model.readings(x)}
+
+    assert "moron" in read("you are a m o r o n")
+    assert "loser" in read("those: l o s e r.")
+    assert {"stupid", "moron"} <= read("s t u p i d m o r o n!")
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op2_toxicity"](spark, folder).collect()}
