@@ -12,7 +12,9 @@ groups equal after the last one are exactly the repeated strings.
     same run, all its strings are repeated, with nothing more to compare.
 *   Third digit: the string itself, only in runs that share their first digit
     with a different run of another document, and only once for each such run.
-    Their bytes are sent as they are, and cut into strings where they meet.
+    Their bytes are sent as they are, and cut into strings where they meet.  Under
+    a digit of more than ``HOT_RUNS`` such runs, the strings' hashes are sent
+    instead, in ranges of their own, so that its strings need not meet in one task.
 
 Records travel as sorted arrays, one for each batch and range of the digit, so
 no digit's group is a row each.  A first digit has as many bytes as tell the
@@ -48,6 +50,8 @@ BUCKET_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 #: A match of two contexts removes bytes and is not compared again: all 64 bits count.
 CONTEXT_BYTES = 8
+#: A first digit with more runs to look into than this is split by its strings' hashes.
+HOT_RUNS = 4096
 #: A NULL doc_id counts as the largest id.
 NO_ID = (1 << 63) - 1
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -91,7 +95,8 @@ class Runs:
         self.start = first
         last = ends[self.doc] - length + 1
         self.stop = np.minimum(np.append(first[1:], n), last)
-        self.digit = least[first] >> np.uint64(64 - 8 * width)
+        # minima crowd at the low end; mixed again they fill all ranges alike
+        self.digit = mixed(least[first]) >> np.uint64(64 - 8 * width)
         span = (self.stop - self.start).astype(np.uint64)
         self.context = mixed(span_hash(self.sums, self.start, self.stop + length - 1) + span * _C1)
 
@@ -163,11 +168,11 @@ def _to_chunks(ids: np.ndarray, key: np.ndarray, kind: int, chunks: int) -> pa.R
 
 
 _WORK = "chunk int, kind int, doc_id long, body binary"
-REPEATED, OPEN, STRING, TEXT = 0, 1, 2, 3
+REPEATED, OPEN, STRING, TEXT, HOT = 0, 1, 2, 3, 4
 
 
 def _first_two_digits(records: DataFrame, width: int, buckets: int, chunks: int) -> DataFrame:
-    """Marks of runs that an earlier document has (REPEATED), and of those to look into (OPEN)."""
+    """Marks of runs that an earlier document has (REPEATED), and of those to look into (OPEN, or HOT under a hot digit)."""
 
     def decide(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         digit = np.concatenate([from_low_bytes(r["digit"], width) for r in rows])
@@ -193,7 +198,9 @@ def _first_two_digits(records: DataFrame, width: int, buckets: int, chunks: int)
         group = np.cumsum(new_digit) - 1
         late = ids > earliest
         key = _join(digit, context)
-        for kind, some in ((REPEATED, late), (OPEN, ~late & mixed_up[group])):
+        look = ~late & mixed_up[group]
+        hot = (np.bincount(group[look], minlength=len(at)) > HOT_RUNS)[group]
+        for kind, some in ((REPEATED, late), (OPEN, look & ~hot), (HOT, look & hot)):
             if some.any():
                 yield _to_chunks(ids[some], key[some], kind, chunks)
 
@@ -270,11 +277,37 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _open_runs(work: DataFrame, length: int, gram: int, width: int, buckets: int, chunks: int) -> DataFrame:
-    """The bytes of OPEN runs: arrays of one chunk and range of the first digit."""
+    """The bytes of OPEN runs: arrays of one chunk and range of the first digit.
 
-    def chunk_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    Of HOT runs, the strings' hashes by ranges of their own (buckets from
+    ``buckets`` on), each with its smallest id; the marks of other ids are known
+    here and only pass through (buckets from ``2 * buckets`` on, one for each chunk).
+    """
+
+    def hot_rows(chunk: int, runs: Runs, ids: np.ndarray, look: np.ndarray) -> list[tuple]:
+        many = runs.stop[look] - runs.start[look]
+        at = np.repeat(runs.start[look] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        string, doc = mixed(span_hash(runs.sums, at, at + length)), np.repeat(runs.doc[look], many)
+        order = np.lexsort((ids[doc], string))
+        string, doc = string[order], doc[order]
+        new = np.ones(len(string), bool)
+        new[1:] = string[1:] != string[:-1]
+        late = ids[doc] > ids[doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]]
+        out = []
+        if late.any():
+            out.append((2 * buckets + chunk, b"", b"", b"", b"", np.unique(_owned(ids[doc[late]], string[late])).tobytes()))
+        string, doc = string[new], doc[new]
+        cuts = split_digits(string, 8, buckets)
+        for k in range(buckets):
+            part = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                out.append((buckets + k, *members_of(doc[part], ids), b"", b"", string[part].tobytes()))
+        return out
+
+    def chunk_rows(chunk: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         lists = [r["body"] for r in rows if r["kind"] == OPEN]
-        if not lists:
+        hot = [r["body"] for r in rows if r["kind"] == HOT]
+        if not lists and not hot:
             return
         zipped = zstandard.ZstdCompressor(level=3).compress
         for ids, data, offsets in _bodies([r for r in rows if r["kind"] == TEXT], BATCH_BYTES):
@@ -285,7 +318,8 @@ def _open_runs(work: DataFrame, length: int, gram: int, width: int, buckets: int
             look = look[once]
             look = look[np.argsort(runs.digit[look])]
             cuts = split_digits(runs.digit[look], width, buckets)
-            out = []
+            some = np.flatnonzero(_known(mark, hot))
+            out = hot_rows(chunk, runs, ids, some) if len(some) else []
             for k in range(buckets):
                 part = look[cuts[k] : cuts[k + 1]]
                 if len(part):
@@ -301,8 +335,8 @@ def _open_runs(work: DataFrame, length: int, gram: int, width: int, buckets: int
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in rows_by_key(batches, "chunk"):
-            yield from chunk_rows(rows)
+        for chunk, rows in rows_by_key(batches, "chunk"):
+            yield from chunk_rows(chunk, rows)
 
     return work.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, _OPEN)
 
@@ -310,6 +344,23 @@ def _open_runs(work: DataFrame, length: int, gram: int, width: int, buckets: int
 def _third_digit(opened: DataFrame, length: int, width: int, buckets: int, chunks: int) -> DataFrame:
     """Marks of strings that an earlier document has."""
 
+    def decide_hot(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        string = np.concatenate([np.frombuffer(r["body"], np.uint64) for r in rows])
+        ids = np.concatenate([member_ids(r["ids"], r["place"]) for r in rows])
+        order = np.lexsort((ids, string))
+        string, ids = string[order], ids[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = string[1:] != string[:-1]
+        late = ids > ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
+        if late.any():
+            yield _to_chunks(ids[late], string[late], STRING, chunks)
+
+    def passed(chunk: int, rows: list[dict]) -> pa.RecordBatch:
+        n = len(rows)
+        kinds = (pa.array([chunk] * n, pa.int32()), pa.array([STRING] * n, pa.int32()), pa.nulls(n, pa.int64()))
+        bodies = pa.array([r["body"] for r in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([*kinds, bodies], ["chunk", "kind", "doc_id", "body"])
+
     def decide(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
         strings, counts = [], []
@@ -332,15 +383,18 @@ def _third_digit(opened: DataFrame, length: int, width: int, buckets: int, chunk
             yield _to_chunks(ids[late], string[late], STRING, chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in rows_by_key(batches, "bucket"):
-            yield from decide(rows)
+        for bucket, rows in rows_by_key(batches, "bucket"):
+            if bucket >= 2 * buckets:
+                yield passed(bucket - 2 * buckets, rows)
+            else:
+                yield from (decide if bucket < buckets else decide_hot)(rows)
 
     return opened.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _WORK)
 
 
 def _results(work: DataFrame, length: int, gram: int, width: int, chunks: int, keep: bool) -> DataFrame:
     def chunk_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        lists = {kind: [r["body"] for r in rows if r["kind"] == kind] for kind in (REPEATED, OPEN, STRING)}
+        lists = {kind: [r["body"] for r in rows if r["kind"] == kind] for kind in (REPEATED, OPEN, STRING, HOT)}
         for ids, data, offsets in _bodies([r for r in rows if r["kind"] == TEXT], BATCH_BYTES):
             gone = np.zeros(len(data), bool)
             if lists[REPEATED] or lists[STRING]:
@@ -348,7 +402,7 @@ def _results(work: DataFrame, length: int, gram: int, width: int, chunks: int, k
                 mark = _owned(ids[runs.doc], _join(runs.digit, runs.context))
                 hit = _known(mark, lists[REPEATED])
                 gone = _covered(len(data), runs.start[hit], runs.stop[hit] + length - 1)
-                look = np.flatnonzero(_known(mark, lists[OPEN])) if lists[STRING] else np.zeros(0, np.int64)
+                look = np.flatnonzero(_known(mark, lists[OPEN] + lists[HOT])) if lists[STRING] else np.zeros(0, np.int64)
                 many = runs.stop[look] - runs.start[look]
                 at = np.repeat(runs.start[look] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
                 string = mixed(span_hash(runs.sums, at, at + length))
@@ -388,7 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, keep: bool
     records = _run_records(docs, length, gram, width, buckets)
     marks = frozen(_first_two_digits(records, width, buckets, chunks), "suffix-marks", "lz4")
     texts = _texts(docs, chunks)
-    opened = _open_runs(marks.where(F.col("kind") == OPEN).unionByName(texts), length, gram, width, buckets, chunks)
+    opened = _open_runs(marks.where(F.col("kind").isin(OPEN, HOT)).unionByName(texts), length, gram, width, buckets, chunks)
     strings = _third_digit(opened, length, width, buckets, chunks)
     work = marks.unionByName(strings).unionByName(texts)
     return _results(work, length, gram, width, chunks, keep)

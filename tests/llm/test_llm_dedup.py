@@ -217,6 +217,27 @@ def test_runs_around_one_phrase_are_told_apart(spark):
     assert {r.doc_id: r.n_removed for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 50}
 
 
+def test_hot_digit_is_split(spark, monkeypatch):
+    for name, value in (("BUCKET_BYTES", 2000), ("CHUNK_BYTES", 2000), ("HOT_RUNS", 20)):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    buckets, third = [], suffix_dedup._third_digit
+
+    def watched(opened, *rest):
+        n = rest[2]  # ranges of strings follow those of digits
+        buckets.append(opened.where(f"bucket >= {n} and bucket < {2 * n}").select("bucket").distinct().count())
+        return third(opened, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_third_digit", watched)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    ends = [some(30) for _ in range(6)]
+    # a phrase of a very small hash; every third text shares what follows it with others
+    rows = [(i, some(40) + "ahoqvtpiadnmktodikdx" + (ends[i % 6] if i % 3 == 0 else some(30)) + some(10)) for i in range(90)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((*r[:5], bytes(r[5])) for r in got.collect()) == sorted(cut(rows))
+    assert buckets[0] > 1
+
+
 def test_repeated_bytes_of_edges(spark):
     got = remove_repeats(edge_docs(spark), keep=False).collect()
     assert len(got) == len(edge_rows()) and all(r.kept is None for r in got)
