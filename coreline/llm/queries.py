@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coreline.llm import line_dedup, mixing
+from coreline.llm import hard_negatives, line_dedup, mixing
 from coreline.llm.common import documents
 
 QUERIES = {}
@@ -121,6 +122,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(documents(spark, sf_dir), *paths)
 
 
+@query(sql=hard_negatives.ORACLE)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of all anchors, near their positives in score."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, label=label)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed sequences of the filtered, deduplicated and mixed documents."""
