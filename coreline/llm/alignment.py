@@ -27,8 +27,10 @@ gives no rows.  A chunk holds one text at least, whatever its length.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from coreline.llm.common import bounded_batches, byte_view, frozen, slices
 
 LANE = 1024
 CHUNK_BYTES = 8 << 20
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 _SPACE_MARK = "▁"
 
 
@@ -76,7 +78,7 @@ class ByteLevel:
     def __init__(self, path: str):
         from coreline.llm.pieces import PieceEncoder
 
-        self.pieces = PieceEncoder(path)
+        self.pieces = PieceEncoder(path, most_chars=2_000_000)
         self.pieces.tokenizer.encode_special_tokens = True
         letters = byte_letters()
         entries = [b""] * self.pieces.tokenizer.get_vocab_size()
@@ -110,7 +112,7 @@ class Pieces:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = self.processor.encode(texts.to_pylist(), num_threads=1)
         counts = np.array([len(ids) for ids in found], np.int64)
-        flat = np.fromiter((i for ids in found for i in ids), np.int64, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
         return flat, counts
 
 
@@ -164,6 +166,7 @@ def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray, total: int, lane: int = L
     return at_a[order], at_b[order]
 
 
+@functools.cache
 def _digits(width: int) -> tuple[np.ndarray, np.ndarray]:
     """Decimal digits of 0 .. 10**width - 1, left-aligned, and how many each has."""
     n = np.arange(10**width)
@@ -171,7 +174,7 @@ def _digits(width: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, width):
         size += n >= 10**k
     shift = 10 ** np.maximum(size[:, None] - 1 - np.arange(width), 0)
-    return (n[:, None] // shift % 10 + ord("0")).astype(np.uint8), size
+    return (n[:, None] // shift % 10 + ord("0")).astype(np.uint8), size.astype(np.uint8)
 
 
 def _group_texts(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +183,7 @@ def _group_texts(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.nd
     ``last_a`` and ``last_b`` are the places of the last token of each group.
     """
     width = len(str(int(max(a.max(initial=0), b.max(initial=0)))))
-    digits, size = _digits(width)
+    digits, length = _digits(width)
     n = len(a) + len(b)
     group_a = np.searchsorted(last_a, np.arange(len(a)))
     group_b = np.searchsorted(last_b, np.arange(len(b)))
@@ -191,11 +194,12 @@ def _group_texts(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.nd
     ids, mark = np.zeros(n, np.int64), np.full(n, ord(","), np.uint8)
     ids[place_a], ids[place_b] = a, b
     mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
+    size = length[ids]
     out = np.empty((n, width + 1), np.uint8)
     out[:, :width] = digits[ids]
-    out[np.arange(n), size[ids]] = mark
-    used = np.arange(width + 1) <= size[ids][:, None]
-    ends = np.cumsum(size[ids] + 1)
+    out[np.arange(n), size] = mark
+    used = np.arange(width + 1, dtype=np.uint8) <= size[:, None]
+    ends = np.cumsum(size + 1, dtype=np.int64)
     return out[used], ends[place_b[last_b]]
 
 
