@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coreline.llm import hard_negatives, line_dedup, mixing
+from coreline.llm import chat_tree, hard_negatives, line_dedup, mixing
 from coreline.llm.common import documents
 
 QUERIES = {}
@@ -130,6 +130,20 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, label=label)
 
 
+@query(sql=chat_tree.ORACLE)
+def op13_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, written as prefix trees and read back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hostile = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string"
+    )
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_tree.read_chat_tree(spark, chat_tree.write_chat_tree(rows.unionByName(more), path), path)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed sequences of the filtered, deduplicated and mixed documents."""
