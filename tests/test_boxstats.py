@@ -65,11 +65,44 @@ def test_outlier_rows(spark):
     assert sorted(r.i for r in B.box_outliers(df, ["g"], "x").collect()) == [5, 6]
 
 
-def test_what_is_ranked_is_a_small_share(spark):
-    df = spark.range(200_000).selectExpr("0 AS g", "CAST(hash(id) AS DOUBLE) AS x")
-    rows_ = df.select("g", df.x.alias("_v"))
-    first = B._first_brackets(rows_, ["g"], B.QUARTILES, 200)
-    second = B._second_brackets(B._join_groups(rows_, first, ["g"]), ["g"], 3, 200).collect()[0]
-    for i in range(3):
-        ranked = rows_.filter(rows_._v.between(second[f"_from{i}"], second[f"_to{i}"])).count()
-        assert 2 <= ranked < 200_000 * 0.005
+@pytest.mark.parametrize("kind", ["even", "heavy tails", "two values and little between", "few values", "sorted"])
+def test_one_group_of_all_rows_is_never_ranked_whole(spark, kind):
+    rng = np.random.default_rng(3)
+    values = {
+        "even": rng.random(30_000),
+        "heavy tails": np.exp(rng.normal(0, 90, 30_000)) * rng.choice([-1, 1], 30_000),
+        "two values and little between": np.r_[np.zeros(9_000), np.ones(11_000), rng.random(400)],
+        "few values": rng.integers(0, 3, 30_000).astype(float),
+        "sorted": np.arange(30_000.0),
+    }[kind]
+    df = spark.createDataFrame([(float(x),) for x in values], "x double").repartition(4)
+    most = 300
+    rows_ = df.select(df.x.alias("_v"))
+    state = B._brackets(rows_, [], B.QUARTILES, 100, most).first()["_state"]
+    # what the last step's window sees: no more rows than stated, and the wanted ranks are among them
+    ordered = np.sort(values)
+    for p, s in zip(B.QUARTILES, state, strict=True):
+        rank = int(np.floor((len(values) - 1) * p))
+        if s.x is None:
+            assert s.n <= most and s.n == ((values >= s.lo) & (values <= s.hi)).sum()
+            assert s.below == (values < s.lo).sum() <= rank and s.lo <= ordered[rank] <= ordered[rank + 1] <= s.hi
+        else:
+            assert s.x == ordered[rank] and (s.y == ordered[rank + 1] or s.h == rank)
+    got = B.quantiles(df, [], "x", accuracy=100, most_ranked=most).first()
+    np.testing.assert_allclose(list(got), np.quantile(values, B.QUARTILES), rtol=1e-12)
+
+
+def test_groups_narrow_at_their_own_pace(spark):
+    rng = np.random.default_rng(5)
+    groups = {"hot": rng.normal(0, 1, 20_000), "ties": rng.integers(0, 2, 5_000), "few": rng.random(9), None: rng.random(700)}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, x double").repartition(5)
+    got = {r.g: r[1:] for r in B.quantiles(df, ["g"], "x", accuracy=50, most_ranked=100).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        np.testing.assert_allclose(got[g], np.quantile(v, B.QUARTILES), rtol=1e-12)
+
+
+def test_no_values(spark):
+    df = spark.createDataFrame([("a", None), ("a", float("nan"))], "g string, x double")
+    assert B.quantiles(df, ["g"], "x").collect() == []
+    assert tuple(B.quantiles(df, [], "x").first()) == (None, None, None)
