@@ -234,7 +234,7 @@ def lmm_profile(s):
     return M.lmm_profile_terms(sites, RATIOS, REHABILITATED)
 
 
-# --- random intercepts in SQL: the same grid search and closed forms -----------
+# --- random intercepts in SQL: the same optimum by zooming in on the derivative's sign ---
 
 _LMM_ROWS = " UNION ALL ".join(
     f"SELECT '{model}' AS model, '{ref}' AS ref, site_type AS level, site, {y} AS y FROM {table}"
@@ -263,10 +263,24 @@ def _lowest(grid: str) -> str:
 
 
 def _zoomed(best: str, low: str, high: str) -> str:
-    return _lowest(
-        f"""SELECT model, {low} + k * (({high}) - ({low})) / 512e0 AS ratio
-            FROM {best} JOIN lmm_reach USING (model), range(513) AS r(k)"""
-    )
+    """Per model the last ratio on an even grid where the deviance still falls (the first, if it never does)."""
+    return f"""
+        SELECT model, coalesce(max(ratio) FILTER (WHERE g < 0), min(ratio)) AS best,
+               arg_min(sigma2, ratio) AS sigma2, any_value(width) AS width
+        FROM (
+          SELECT model, ratio, any_value(width) AS width, (sum(ss) + sum(b)) / (sum(n) - count(*)) AS sigma2,
+                 (sum(n) - count(*)) * sum(b1) / (sum(ss) + sum(b)) + sum(w) + sum(w1 / w) AS g
+          FROM (SELECT model, ratio, level, any_value(width) AS width, sum(w) AS w, sum(-w * w) AS w1, sum(ss) AS ss,
+                       sum(n) AS n, sum(w * m * m) - sum(w * m) * sum(w * m) / sum(w) AS b,
+                       sum(-w * w * m * m) - 2 * sum(w * m) * sum(-w * w * m) / sum(w)
+                         + power(sum(w * m), 2) * sum(-w * w) / power(sum(w), 2) AS b1
+                FROM (SELECT *, n / (1 + ratio * n) AS w FROM lmm_sites JOIN
+                      (SELECT model, ({low}) + k * (({high}) - ({low})) / 512e0 AS ratio,
+                              (({high}) - ({low})) / 512e0 AS width
+                       FROM {best} JOIN lmm_reach USING (model), range(513) AS r(k)) USING (model))
+                GROUP BY model, ratio, level)
+          GROUP BY model, ratio)
+        GROUP BY model"""
 
 
 _WEIGHTS = {
@@ -299,11 +313,15 @@ VIEWS |= {
         """SELECT model, CASE WHEN k < 0 THEN 0e0 ELSE power(10e0, e + rise * k) END AS ratio
            FROM lmm_reach, range(-1, 513) AS r(k)"""
     ),
-    "lmm_second": _zoomed("lmm_first", "best / power(10e0, rise)", "best * power(10e0, rise)"),
-    "lmm_third": _zoomed(
-        "lmm_second", "best * (1 - power(10e0, rise) / 100)", "best * (1 + power(10e0, rise) / 100)"
+    "lmm_second": _zoomed(
+        "lmm_first",
+        "CASE WHEN best <= power(10e0, e) * 1.001e0 THEN 0e0 ELSE best / power(10e0, rise) END",
+        "CASE WHEN best > 0 THEN best * power(10e0, rise) ELSE power(10e0, e) END",
     ),
-    "lmm_best": _zoomed("lmm_third", "best * (1 - 1e-5)", "best * (1 + 1e-5)"),
+    # a zoom keeps the cell behind its last falling ratio; a deviance that rises from 0 on stays at 0
+    "lmm_third": _zoomed("lmm_second", "best", "best + width"),
+    "lmm_fourth": _zoomed("lmm_third", "best", "best + width"),
+    "lmm_best": _zoomed("lmm_fourth", "best", "best + width"),
     "lmm_sums": f"""
         SELECT model, ref, level, s, tau, center, {_SUMS}, sum(n) AS n, sum(ss) AS ss, count(*) AS sites,
                sum(-1 / (d * d)) AS lss, sum(-n / (d * d)) AS lst, sum(-n * n / (d * d)) AS ltt

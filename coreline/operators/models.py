@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,25 +284,17 @@ def _per_model(values: dict[str, float]) -> Column:
     return F.create_map(*pairs)[F.col("model")]
 
 
-def _best_ratios(sites: DataFrame, largest: dict[str, float]) -> dict[str, tuple[float, float]]:
-    """Ratio and residual variance at the lowest profiled deviance, per model.
+def _per_model_text(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("model")]
+
 
-    Each round evaluates one grid per model in one Spark job and zooms in on
-    the lowest point; one row per model comes back.  ``largest`` is each
+def _lowest_on_grid(sites: DataFrame, largest: dict[str, float]) -> dict[str, tuple[float, float, float]]:
+    """The ratio of lowest profiled deviance on a coarse grid, and its two neighbours, per model.
+
+    One Spark job for all models; one row per model comes back.  ``largest`` is each
     model's largest site: ratios far below its inverse equal no site variance.
     """
     steps = F.sequence(F.lit(0), F.lit(_GRID))
-
-    def lowest(grid: Column) -> dict[str, tuple[float, float]]:
-        best = lmm_profile(sites, grid, ["model"]).groupBy("model").agg(
-            F.min_by(F.struct("ratio", "sigma2"), "rise").alias("best")
-        )
-        found = {r["model"]: r["best"] for r in best.collect()}
-        empty = sorted(k for k, v in found.items() if v is None)
-        if empty:
-            raise ValueError(f"no residual variance left in {empty}")
-        return {k: tuple(v) for k, v in found.items()}
-
     # 0, and even steps of the exponent from 1e-6 / largest up to 1e8; further
     # up for models whose deviance may still be falling there
     first = {k: -6.0 - math.log10(n) for k, n in largest.items()}
@@ -312,25 +303,99 @@ def _best_ratios(sites: DataFrame, largest: dict[str, float]) -> dict[str, tuple
         rise = {k: (top[k] - e) / _GRID for k, e in first.items()}
         exponent, pace = _per_model(first), _per_model(rise)
         powers = F.transform(steps, lambda k: F.pow(F.lit(10.0), exponent + pace * k))
-        best = lowest(F.concat(F.array(F.lit(0.0)), powers))
-        open_ended = [k for k, (r, _) in best.items() if r >= 10.0 ** (top[k] - rise[k] / 2)]
+        lowest = lmm_profile(sites, F.concat(F.array(F.lit(0.0)), powers), ["model"]).groupBy("model")
+        best = {r["model"]: r["best"] for r in lowest.agg(F.min_by("ratio", "rise").alias("best")).collect()}
+        empty = sorted(k for k, v in best.items() if v is None)
+        if empty:
+            raise ValueError(f"no residual variance left in {empty}")
+        open_ended = [k for k, r in best.items() if r >= 10.0 ** (top[k] - rise[k] / 2)]
         if not open_ended:
             break
         if max(top.values()) >= 40.0:
             raise ValueError(f"the site variance has no bound in {sorted(open_ended)}")
         top |= {k: top[k] + 16.0 for k in open_ended}
-    lo = {k: r / 10.0 ** rise[k] for k, (r, _) in best.items()}
-    hi = {k: r * 10.0 ** rise[k] for k, (r, _) in best.items()}
-    while any(hi[k] - lo[k] > 1e-5 * hi[k] for k in best):
-        width = {k: (hi[k] - lo[k]) / _GRID for k in best}
-        start, stride = _per_model(lo), _per_model(width)
-        best = lowest(F.transform(steps, lambda k: start + stride * k))
-        lo = {k: max(best[k][0] - width[k], 0.0) for k in best}
-        hi = {k: best[k][0] + width[k] for k in best}
-    return best
-
-
-def _variance_sums(sites: DataFrame, s: Column, tau: Column) -> list:
+    out = {}
+    for k, r in best.items():
+        least, step = 10.0 ** first[k], 10.0 ** rise[k]
+        out[k] = (0.0 if r <= least * 1.001 else r / step, r, r * step if r > 0.0 else least)
+    return out
+
+
+def _slopes(sites: DataFrame, ratio: Column) -> dict[str, tuple[float, float, float]]:
+    """First and second derivative of the profiled deviance in the ratio, and the
+    residual variance, per model at its ratio; one row per model comes back."""
+    w, m = F.col("n") / (1 + ratio * F.col("n")), F.col("m")
+    weights = {"w": w, "u": -w * w, "v": 2 * w * w * w}  # the weight and its derivatives
+    sums = [F.sum(x * m**k if k else x).alias(f"{name}{k}") for name, x in weights.items() for k in range(3)]
+    levels = sites.groupBy("model", "level").agg(*sums, F.sum("n").alias("n"), F.sum("ss").alias("ss"))
+    rows = levels.selectExpr(
+        "model", "n", "ss", "w0", "u0", "u0 / w0 AS log1", "v0 / w0 - u0 * u0 / (w0 * w0) AS log2",
+        "w2 - w1 * w1 / w0 AS b",
+        "u2 - 2 * w1 * u1 / w0 + w1 * w1 * u0 / (w0 * w0) AS b1",
+        """v2 - 2 * (u1 * u1 + w1 * v1) / w0 + (4 * w1 * u1 * u0 + w1 * w1 * v0) / (w0 * w0)
+           - 2 * w1 * w1 * u0 * u0 / (w0 * w0 * w0) AS b2""",
+    )
+    found = (
+        rows.groupBy("model")
+        .agg(
+            F.expr("sum(n) - count(*)").alias("free"), F.expr("sum(ss) + sum(b)").alias("rss"),
+            *[F.sum(c).alias(c) for c in ("b1", "b2", "w0", "u0", "log1", "log2")],
+        )
+        .selectExpr(
+            "model", "free * b1 / rss + w0 + log1 AS g",
+            "free * (b2 / rss - b1 * b1 / (rss * rss)) + u0 + log2 AS h", "rss / free AS sigma2",
+        )
+    )
+    return {r["model"]: (r["g"], r["h"], r["sigma2"]) for r in found.collect()}
+
+
+def _best_ratios(sites: DataFrame, largest: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Ratio and residual variance where the profiled deviance is lowest, per model.
+
+    Newton steps on the logarithm of the ratio, kept between the neighbours of the
+    lowest grid point and replaced by halving where they leave it; each round is one
+    Spark job for all models.  A deviance that rises from 0 on has its optimum there.
+    """
+    bracket = _lowest_on_grid(sites, largest)
+    at = {k: r for k, (_, r, _) in bracket.items()}
+    low = {k: a for k, (a, _, _) in bracket.items()}
+    high = {k: b for k, (_, _, b) in bracket.items()}
+    done: dict[str, tuple[float, float]] = {}
+    for _ in range(200):
+        now = {k: r for k, r in at.items() if k not in done}
+        if not now:
+            return done
+        running = sites.filter(F.col("model").isin(list(now)))
+        for k, (g, h, sigma2) in _slopes(running, _per_model(now)).items():
+            r = at[k]
+            if (r == 0.0 and g >= 0.0) or g == 0.0 or high[k] - low[k] <= 1e-14 * high[k]:
+                done[k] = (r, sigma2)
+                continue
+            low[k], high[k] = (r, high[k]) if g < 0.0 else (low[k], r)
+            middle = math.sqrt(low[k] * high[k]) if low[k] > 0.0 else high[k] / 2.0
+            if r == 0.0:
+                step = -g / h if h > 0.0 else middle
+            else:
+                slope = g + r * h
+                step = r * math.exp(max(-50.0, min(50.0, -g / slope))) if slope > 0.0 else middle
+            if abs(step - r) <= 1e-11 * r:
+                done[k] = (r, sigma2)
+            at[k] = step if low[k] < step < high[k] else middle
+    raise ArithmeticError(f"no optimum found for {sorted(set(at) - set(done))}")
+
+
+@dataclass(frozen=True)
+class RandomIntercept:
+    """``y ~ fixed + (1 | site)``; ``ref`` is the reference level of ``fixed``."""
+
+    data: DataFrame
+    fixed: str
+    site: str
+    y: str
+    ref: str
+
+
+def _variance_sums(sites: DataFrame, s: Column, tau: Column) -> DataFrame:
     """Per model and level, sums over sites of the weight and its derivatives.
 
     ``d = s + tau n`` is the spread of a site; ``u = n / d`` its weight.
@@ -354,80 +419,76 @@ def _variance_sums(sites: DataFrame, s: Column, tau: Column) -> list:
         F.sum(-n / (d * d)).alias("lst"),
         F.sum(-n * n / (d * d)).alias("ltt"),
     ]
-    return (
-        sites.groupBy("model", "level")
-        .agg(*sums, *logs, F.sum("n").alias("n"), F.sum("ss").alias("ss"), n_rows().alias("sites"))
-        .collect()
+    return sites.groupBy("model", "level").agg(
+        *sums, *logs, F.sum("n").alias("n"), F.sum("ss").alias("ss"), n_rows().alias("sites")
     )
 
 
-def _curvature(rows: list, s: float) -> tuple[float, float, float]:
-    """Second derivatives of -2 log REML in (residual, site) variance."""
-    def pair(r, a, b, ab):
-        u, us = r["u0"], r["u1"]
-        ua, ub, uab = r[a + "0"], r[b + "0"], r[ab + "0"]
-        ma, mb, mab = r[a + "1"], r[b + "1"], r[ab + "1"]
-        curve = (
-            r[ab + "2"]
-            - 2 * (mb * ma + us * mab) / u
-            + 2 * us * (ma * ub + mb * ua) / u**2
-            + us**2 * uab / u**2
-            - 2 * us**2 * ua * ub / u**3
-        )
-        return curve + uab / u - ua * ub / u**2
-
-    free = sum(r["n"] - r["sites"] for r in rows)
-    ss = sum(r["ss"] for r in rows)
-    h_ss = sum(pair(r, "us", "us", "uss") + r["lss"] for r in rows)
-    h_st = sum(pair(r, "us", "ut", "ust") + r["lst"] for r in rows)
-    h_tt = sum(pair(r, "ut", "ut", "utt") + r["ltt"] for r in rows)
-    return h_ss - free / s**2 + 2 * ss / s**3, h_st, h_tt
+def _curvature(sums: DataFrame, s: Column) -> DataFrame:
+    """Second derivatives of -2 log REML in (residual, site) variance, per model."""
 
+    def pair(a: str, b: str, ab: str, logs: str) -> Column:
+        return F.expr(
+            f"""sum({ab}2 - 2 * ({b}1 * {a}1 + u1 * {ab}1) / u0
+                + (2 * u1 * ({a}1 * {b}0 + {b}1 * {a}0) + u1 * u1 * {ab}0 - {a}0 * {b}0) / (u0 * u0)
+                - 2 * u1 * u1 * {a}0 * {b}0 / (u0 * u0 * u0) + {ab}0 / u0 + {logs})"""
+        )
 
-@dataclass(frozen=True)
-class RandomIntercept:
-    """``y ~ fixed + (1 | site)``; ``ref`` is the reference level of ``fixed``."""
-
-    data: DataFrame
-    fixed: str
-    site: str
-    y: str
-    ref: str
+    found = sums.groupBy("model").agg(
+        pair("us", "us", "uss", "lss").alias("h_ss"),
+        pair("us", "ut", "ust", "lst").alias("h_st"),
+        pair("ut", "ut", "utt", "ltt").alias("h_tt"),
+        F.expr("sum(n - sites)").alias("free"),
+        F.sum("ss").alias("rss"),
+        F.expr("CAST(sum(n) - count(*) AS DOUBLE)").alias("rest"),
+    )
+    full = F.col("h_ss") - F.col("free") / (s * s) + 2 * F.col("rss") / (s * s * s)
+    return found.select(
+        "model", "rest", full.alias("h_ss"), "h_st", "h_tt", (full * F.col("h_tt") - F.col("h_st") ** 2).alias("det")
+    )
 
 
-def _terms(
-    model: RandomIntercept, rows: dict, s: float, tau: float, center: float
-) -> list[tuple]:
-    """Coefficients, SEs and Satterthwaite df from the sums per level."""
-    h_ss, h_st, h_tt = _curvature(list(rows.values()), s)
-    det = h_ss * h_tt - h_st * h_st
-    out = []
-    for level in [model.ref] + sorted(k for k in rows if k != model.ref):
-        is_ref = level == model.ref
-        parts = [rows[level]] if is_ref else [rows[level], rows[model.ref]]
-        means = [r["u1"] / r["u0"] for r in parts]
-        estimate = center + means[0] if is_ref else means[0] - means[1]
-        variance = sum(1.0 / r["u0"] for r in parts)
-        if tau <= 0.0 or det <= 0.0:
-            freedom = sum(r["n"] for r in rows.values()) - len(rows)
-        else:
-            gs = sum(-r["us0"] / r["u0"] ** 2 for r in parts)
-            gt = sum(-r["ut0"] / r["u0"] ** 2 for r in parts)
-            # covariance of the variances: twice the inverse curvature
-            spread = 2.0 * (gs * gs * h_tt - 2 * gs * gt * h_st + gt * gt * h_ss) / det
-            freedom = 2.0 * variance**2 / spread
-        term = "(Intercept)" if is_ref else f"{model.fixed}{level}"
-        se = math.sqrt(variance)
-        out.append((term, estimate, se, estimate / se, float(freedom), s, tau))
-    return out
+def _terms(sums: DataFrame, curves: DataFrame, ref: Column, named: Column, center: Column, s: Column, tau: Column):
+    """Coefficients, SEs and Satterthwaite df: a row per model and level, all in Spark."""
+    fields = ("u0", "u1", "us0", "ut0")
+    base = sums.filter(F.col("level") == ref).select("model", F.struct(*fields).alias("r"))
+    is_ref = F.col("level") == ref
+    rows = (
+        # a row for each model on these two sides
+        sums.join(F.broadcast(base), "model")
+        .join(F.broadcast(curves), "model")
+        .select(
+            "model",
+            is_ref.alias("is_ref"),
+            F.when(is_ref, "(Intercept)").otherwise(F.concat(named, F.col("level"))).alias("term"),
+            F.when(is_ref, center + F.col("u1") / F.col("u0"))
+            .otherwise(F.col("u1") / F.col("u0") - F.col("r.u1") / F.col("r.u0"))
+            .alias("estimate"),
+            (1 / F.col("u0") + F.when(is_ref, 0.0).otherwise(1 / F.col("r.u0"))).alias("variance"),
+            *[
+                (-F.col(c) / F.col("u0") ** 2 - F.when(is_ref, 0.0).otherwise(F.col(f"r.{c}") / F.col("r.u0") ** 2)).alias(g)
+                for c, g in (("us0", "gs"), ("ut0", "gt"))
+            ],
+            "rest", "h_ss", "h_st", "h_tt", "det", s.alias("sigma2"), tau.alias("site_variance"),
+        )
+    )
+    # covariance of the variances: twice the inverse curvature
+    freedom = F.expr("variance * variance * det / (gs * gs * h_tt - 2 * gs * gt * h_st + gt * gt * h_ss)")
+    known = (F.col("site_variance") > 0.0) & (F.col("det") > 0.0)
+    se = F.sqrt("variance")
+    return rows.orderBy("model", F.desc("is_ref"), "term").select(
+        "model", "term", "estimate", se.alias("se"), (F.col("estimate") / se).alias("t"),
+        F.when(known, freedom).otherwise(F.col("rest")).alias("df"), "sigma2", "site_variance",
+    )
 
 
 def lmm_fit(models: dict[str, RandomIntercept]) -> DataFrame:
     """REML fits with Satterthwaite df, several models at once.
 
-    One row per model and level.  The site statistics stay in Spark; one row
-    per model and round, and one per model and level of the fixed factor, reach
-    the driver.  The files of the statistics go when the fit is done or fails.
+    One row per model and level.  Site statistics, sums per level and coefficients
+    stay in Spark; one row per model and round reaches the driver, however many
+    levels and sites there are.  The result is a small written table; the files of
+    the statistics go when the fit is done or fails.
     """
     stats = [
         site_statistics(m.data, m.fixed, m.site, m.y).withColumn("model", F.lit(name))
@@ -435,40 +496,37 @@ def lmm_fit(models: dict[str, RandomIntercept]) -> DataFrame:
     ]
     sites = cut_lineage(reduce(DataFrame.unionByName, stats))
     try:
-        return _fit_kept(models, sites)
+        return cut_lineage(_fit_kept(models, sites))
     finally:
         drop_checkpoint(sites)
 
 
 def _fit_kept(models: dict[str, RandomIntercept], sites: DataFrame) -> DataFrame:
-    found = {(r["model"], r["level"]) for r in sites.select("model", "level").distinct().collect()}
+    ref = _per_model_text({k: m.ref for k, m in models.items()})
+    whole = {
+        r["model"]: r
+        for r in sites.groupBy("model")
+        .agg(
+            F.max("n").alias("largest"),
+            (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("center"),
+            F.bool_or(F.col("level") == ref).alias("has_ref"),
+        )
+        .collect()
+    }
     for name, model in models.items():
-        if not any(m == name for m, _ in found):
+        if name not in whole:
             raise ValueError(f"model {name!r} has no complete rows")
-        if (name, model.ref) not in found:
+        if not whole[name]["has_ref"]:
             raise ValueError(f"model {name!r} has no level {model.ref!r} of {model.fixed!r}")
-    whole = sites.groupBy("model").agg(
-        F.max("n").alias("largest"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("center")
-    ).collect()
-    largest = {r["model"]: r["largest"] for r in whole}
-    center = {r["model"]: r["center"] for r in whole}
+    center = _per_model({k: r["center"] for k, r in whole.items()})
     # centred site means keep the sums of squares free of cancellation
-    sites = sites.withColumn("m", F.col("m") - _per_model(center))
-    best = _best_ratios(sites, largest)
-    s = {k: sigma2 for k, (_, sigma2) in best.items()}
-    tau = {k: ratio * sigma2 for k, (ratio, sigma2) in best.items()}
-    rows: dict[str, dict] = {k: {} for k in best}
-    for r in _variance_sums(sites, _per_model(s), _per_model(tau)):
-        rows[r["model"]][r["level"]] = r
-    terms = [
-        (name, *term)
-        for name, model in models.items()
-        for term in _terms(model, rows[name], s[name], tau[name], center[name])
-    ]
-    names = ("model", *COEFFICIENTS, "sigma2", "site_variance")
-    return sites.sparkSession.createDataFrame(
-        pa.table({n: list(column) for n, column in zip(names, zip(*terms))})
-    )
+    sites = sites.withColumn("m", F.col("m") - center)
+    best = _best_ratios(sites, {k: r["largest"] for k, r in whole.items()})
+    s = _per_model({k: sigma2 for k, (_, sigma2) in best.items()})
+    tau = _per_model({k: ratio * sigma2 for k, (ratio, sigma2) in best.items()})
+    named = _per_model_text({k: m.fixed for k, m in models.items()})
+    sums = _variance_sums(sites, s, tau)
+    return _terms(sums, _curvature(sums, s), ref, named, center, s, tau)
 
 
 def lmm_random_intercept(df: DataFrame, fixed: str, site: str, y: str, ref: str) -> DataFrame:
