@@ -148,17 +148,19 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     A document that a run of blocks cuts gives the words inside the run, with the
     white space between and behind them; ``n_chars``, where there is one, follows.
     """
-    sized = docs.withColumn("__size", n_words(F.col("text")))
+    # the input travels as one struct, so that no name of its own can clash
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("__size"), F.struct("*").alias("__doc"))
+    own = F.col("__doc")
     whole = F.when(F.col("__size") > 0, F.struct(F.lit(0).cast("long").alias("from"), F.col("__size").alias("to")))
     ranges = F.concat(F.array_repeat(whole, F.col("__times").cast("int")), F.col("__cuts"))
     rows = mix(sized, **settings).where("__taken > 0").withColumn("__range", F.explode(ranges))
     low, high = F.col("__range.from"), F.col("__range.to")
-    pieces = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    pieces = F.split(F.regexp_replace(own["text"], r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     some = F.concat_ws("", F.slice(pieces, (low + 1).cast("int"), (high - low).cast("int")))
-    text = F.when(high - low == F.col("__size"), F.col("text")).otherwise(some)
+    text = F.when(high - low == F.col("__size"), own["text"]).otherwise(some)
     rows = rows.withColumn("__text", text)
     new = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[new[c].alias(c) if c in new else own[c].alias(c) for c in docs.columns])
 
 
 def _draw_sql(seed: str, *parts: str) -> str:

@@ -207,10 +207,10 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch, small):
 def test_runs_around_one_phrase_are_told_apart(spark):
     # all have one first digit; the runs of each two neighbours agree in the first 40 bits of their hash
     texts = [
-        "smnyjykatfkuelhahoqvtpiadnmktodikdxhqumvmprxpvzxhg",
-        "tqoreskkskhsewpahoqvtpiadnmktodikdxaxlnmeibbjiwamg",
-        "dqribpoamgtcdoqahoqvtpiadnmktodikdxysjenejuonizejg",
-        "xhrzlkygsuggpjcahoqvtpiadnmktodikdxjyyhzefwogbosfj",
+        "smnyjykatfkuelhvtpiwooixqesvjibfwrdhqumvmprxpvzxhg",
+        "tqoreskkskhsewpvtpiwooixqesvjibfwrdaxlnmeibbjiwamg",
+        "dqribpoamgtcdoqvtpiwooixqesvjibfwrdysjenejuonizejg",
+        "xhrzlkygsuggpjcvtpiwooixqesvjibfwrdjyyhzefwogbosfj",
     ]
     rows = list(enumerate(texts)) + [(9, texts[3])]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -232,7 +232,7 @@ def test_hot_digit_is_split(spark, monkeypatch):
     some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     ends = [some(30) for _ in range(6)]
     # a phrase of a very small hash; every third text shares what follows it with others
-    rows = [(i, some(40) + "ahoqvtpiadnmktodikdx" + (ends[i % 6] if i % 3 == 0 else some(30)) + some(10)) for i in range(90)]
+    rows = [(i, some(40) + "vtpiwooixqesvjibfwrd" + (ends[i % 6] if i % 3 == 0 else some(30)) + some(10)) for i in range(90)]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted((*r[:5], bytes(r[5])) for r in got.collect()) == sorted(cut(rows))
     assert buckets[0] > 1
@@ -287,3 +287,88 @@ def test_line_dedup_is_native(spark):
     plan = dedup_lines(edge_docs(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert SCHEMA.split()[0] in plan
+
+
+def thue_morse(n, one="a", other="b"):
+    return "".join((one, other)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1 << 10, 1 << 11, 1 << 12])
+def test_words_in_thue_morse_order_are_no_link(spark, n):
+    """Such words collide under every polynomial hash modulo a power of two."""
+    rows = [(1, "one two three " + thue_morse(n)), (2, "one two three " + thue_morse(n, "b", "a"))]
+    rows += [(3, rows[0][1]), (4, rows[1][1].upper())]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 2}
+    kept = one_of_each_group(spark.createDataFrame([(i, "x " * 9 + t) for i, t in rows[:2]], "doc_id long, text string"))
+    assert kept.count() == 2
+
+
+@pytest.mark.parametrize("blocks", [1 << 10, 1 << 11, 1 << 12])
+def test_runs_in_thue_morse_order_keep_their_bytes(spark, blocks):
+    """Documents without a common 50-byte string, though made of one phrase."""
+    order = thue_morse(blocks)
+
+    def text(letters):
+        return "".join(f"twenty letters phrase{i:04d}{c}" for i, c in enumerate(letters))
+
+    rows = [(1, text(order)), (2, text(order.translate(str.maketrans("ab", "ba"))))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == brute_removed(rows)
+
+
+def brute_removed(rows, length=50):
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        raw = text.encode()
+        strings = [raw[i : i + length] for i in range(len(raw) - length + 1)]
+        gone = np.zeros(len(raw), bool)
+        for i, x in enumerate(strings):
+            if x in seen:
+                gone[i : i + length] = True
+        seen |= set(strings)
+        out[doc_id] = int(gone.sum())
+    return out
+
+
+def test_span_hashes_agree_for_equal_spans_only():
+    from coreline.llm.rolling import PRIME, prefix_sums, span_hash, window_hash
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 70_000).astype(np.uint8)
+    sums = prefix_sums(data)
+    start = rng.integers(0, 60_000, 4000)
+    for size in (1, 5, 12, 20):
+        h = span_hash(sums, start, start + size)
+        spans = [data[a : a + size].tobytes() for a in start]
+        assert len(set(h.tolist())) == len(set(spans)) == len(set(zip(h.tolist(), spans)))
+        assert (window_hash(sums, size)[start] == h).all()
+    assert (span_hash(sums, start, start) == 0).all() and PRIME == 2**31 - 1
+    half = data[:1000].copy()
+    both = np.concatenate([half, half])
+    h = span_hash(prefix_sums(both), np.array([0, 1000]), np.array([1000, 2000]))
+    assert h[0] == h[1]
+
+
+def test_names_that_clash_with_the_operators_own(spark):
+    names = ("name", "name2", "doc", "id", "__id", "__text", "__words", "first", "component_id", "node", "hash")
+    rows = [(i, t, *range(len(names))) for i, t in random_docs(3, 40)]
+    docs = spark.createDataFrame(rows, ("doc_id", "text", *names))
+    got = one_of_each_group(docs)
+    plain = one_of_each_group(docs.select("doc_id", "text"))
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in plain.collect())
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in got.collect())
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    from coreline.llm.mixing import mixed_documents
+
+    names = ("__words", "__size", "__doc", "__taken", "__range", "__text", "__source", "__shard", "first", "size")
+    rows = [(i, t, "ab"[i % 2], len(t), *range(len(names))) for i, t in random_docs(3, 40)]
+    docs = spark.createDataFrame(rows, ("doc_id", "text", "source", "n_chars", *names))
+    got = mixed_documents(docs)
+    assert got.columns == docs.columns
+    plain = mixed_documents(docs.select("doc_id", "text", "source", "n_chars")).collect()
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(map(tuple, plain)) != []
+    assert all(tuple(r)[4:] == tuple(range(len(names))) for r in got.collect())
