@@ -53,6 +53,7 @@ from coreline.llm.shingles import shingle_sets
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 COUNT_BYTES = 64 << 20
+SHARD_BYTES = 256 << 20
 #: One shingle in so many is counted.
 COUNTED = 3
 BLOCK_SHINGLES = 1 << 18
@@ -184,8 +185,12 @@ def _unpacked(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return key, name, new
 
 
-def _shared_counts(docs: DataFrame, shingle: int, width: int, buckets: int) -> DataFrame:
-    """``d1, shared``: how many counted shingles of a set occur in another set."""
+def _shared_counts(docs: DataFrame, shingle: int, width: int, buckets: int, shards: int) -> DataFrame:
+    """``d1, shared``: how many counted shingles of a set occur in another set.
+
+    A hash range answers in one packed row for each of ``shards`` groups of sets, so
+    that what comes back are rows of ranges and groups, and then a row for each set.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,11 +209,29 @@ def _shared_counts(docs: DataFrame, shingle: int, width: int, buckets: int) -> D
             group = np.cumsum(new) - 1
             sets = np.bincount(group[fresh])
             names, shared = np.unique(name[fresh & (sets[group] > 1)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(shared.astype(np.int64))], ["d1", "shared"])
+            if not len(names):
+                continue
+            shard = mixed(names.view(np.uint64)) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            names, shared = names[order], shared[order].astype("<u4")
+            found, at = np.unique(shard[order], return_index=True)
+            columns = [[x.tobytes() for x in np.split(c, at[1:])] for c in (names, shared)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)],
+                ["shard", "names", "shared"],
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in rows_by_key(batches, "shard"):
+            names, place = np.unique(np.concatenate([np.frombuffer(r["names"], np.int64) for r in rows]), return_inverse=True)
+            shared = np.concatenate([np.frombuffer(r["shared"], "<u4") for r in rows])
+            total = np.bincount(place, shared).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["d1", "shared"])
 
     sent = docs.select("text").mapInArrow(send, _PACKED)
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "d1 long, shared long").groupBy("d1").agg(F.sum("shared").alias("shared"))
+    counts = dealt.mapInArrow(count, "shard int, names binary, shared binary")
+    return counts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(add, "d1 long, shared long")
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
@@ -462,7 +485,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
         F.min(F.struct("node", "hash")).alias("least"), F.first("n").alias("n"), F.first("counted").alias("counted")
     )
     classes = classes.select("d1", "d2", F.col("least.node").alias("rep"), F.col("least.hash").alias("hash"), "n", "counted")
-    shared = _shared_counts(docs, shingle, width, shares(size, COUNT_BYTES))
+    shared = _shared_counts(docs, shingle, width, shares(size, COUNT_BYTES), shares(size, SHARD_BYTES))
     lack = F.floor(F.col("n") * (100 - percent) / 100)
     least = int(_ranges(percent, 1)[0])
     near = classes.where(F.col("n") >= least).join(shared, "d1", "left")
@@ -505,14 +528,19 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     their text are compared like any others, rows of one text are one.  Texts
     without words link with nothing and all stay.
     """
-    text = F.xxhash64("text").bitwiseAND(F.lit(NO_ID))
     wordy = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    rows = docs.where(wordy).withColumn("__text", text)
-    groups = jaccard_components(rows.select(F.col("__text").alias("doc_id"), "text"), shingle, percent)
-    groups = groups.select(F.col("doc_id").alias("__text"), "component_id").distinct()
-    ids = rows.select("__text", "doc_id").distinct().join(groups, "__text")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("first")
-    stays = ids.groupBy("component_id").agg(first).select("first.__text", F.col("first.doc_id").alias("__id"))
-    kept = rows.join(stays, "__text").where(F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__text"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*names).unionByName(docs.where(~wordy).select(*names))
+    # the input travels as one struct, so that no name of its own can clash
+    rows = docs.where(wordy).select(
+        F.xxhash64("text").bitwiseAND(F.lit(NO_ID)).alias("name"),
+        F.xxhash64(F.lit(1), F.reverse("text")).alias("name2"),
+        F.struct("*").alias("doc"),
+    )
+    groups = jaccard_components(rows.select(F.col("name").alias("doc_id"), "doc.text"), shingle, percent)
+    groups = groups.select(F.col("doc_id").alias("name"), "component_id").distinct()
+    # texts are told apart by two hashes
+    ids = rows.select("name", "name2", F.col("doc.doc_id").alias("id")).distinct().join(groups, "name")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name", "name2")).alias("first")
+    stays = ids.groupBy("component_id").agg(first).select("first.name", "first.name2", F.col("first.id").alias("id"))
+    met = rows.join(stays, ["name", "name2"]).where(F.col("doc.doc_id").eqNullSafe(F.col("id")))
+    kept = met.dropDuplicates(["name", "name2"]).select("doc.*")
+    return kept.unionByName(docs.where(~wordy))
