@@ -79,17 +79,60 @@ def attach_group_total(
     return df.join(totals, same).select(*df.columns, out)
 
 
-def join_many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
+#: a key is hot with more than a 10,000th of all rows (and a million): at most so many keys are hot
+HOT_KEYS = 10_000
+LEAST_HOT = 1_000_000
+
+
+def hot_keys(many: DataFrame, key: str, least: int | None = None) -> DataFrame | None:
+    """``_hot_key, _salts`` of the keys with the most rows; None where no key is hot.
+
+    One pass over the key column, aggregated before it is shuffled.  As a hot key has
+    more than a ``HOT_KEYS``-th of all rows, at most ``HOT_KEYS`` rows reach the
+    driver, and each salt of a key gets about a ``HOT_KEYS``-th of all rows at most.
+    """
+    least = LEAST_HOT if least is None else least
+    counts = many.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).agg(F.count("*").alias("_rows"))
+    total = many.count()
+    if total <= least:
+        return None
+    each = max(least, total // HOT_KEYS)
+    salts = F.ceil(F.col("_rows") / each).cast("int").alias("_salts")
+    found = counts.where(F.col("_rows") > each).select("_hot_key", salts)
+    schema, rows = found.schema, found.collect()
+    return many.sparkSession.createDataFrame(rows, schema) if rows else None
+
+
+def join_many_to_one(
+    many: DataFrame, one: DataFrame, key: str, how: str = "left", least_hot: int | None = None
+) -> DataFrame:
     """Join rows to a side that has each key at most once.
 
-    ``how="left"`` keeps every row of ``many``; ``how="right"`` keeps every row
-    of ``one``.  Adaptive execution can split a hot key of ``many`` in either: the
-    rows of ``one`` that find nothing are added by a join with distinct keys.
+    ``how="left"`` keeps every row of ``many``; adaptive execution can split a hot
+    key there.  ``how="right"`` keeps every row of ``one``, where Spark can't split
+    ``many``: keys are counted first (when this is called), the rows of a hot key are
+    dealt to salts by a hash of the row, and its row of ``one`` is repeated for each
+    salt, so that either way ``many`` is shuffled once.  A hot key has rows, so its
+    repeats that find none are dropped; a missing key of ``many`` finds nothing.
     """
     if how not in ("left", "right"):
         raise ValueError("how must be 'left' or 'right'")
     columns = [key, *[c for c in many.columns if c != key], *[c for c in one.columns if c != key]]
     if how == "left":
         return many.join(one, key, "left").select(*columns)
-    alone = one.join(many.select(key).distinct(), key, "left_anti")
-    return many.join(one, key).select(*columns).unionByName(alone, allowMissingColumns=True).select(*columns)
+    hot = hot_keys(many, key, least_hot)
+    if hot is None:
+        return many.join(one, key, "right").select(*columns)
+    # bounded by HOT_KEYS
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = many.join(hot, F.col(key) == F.col("_hot_key"), "left").select(
+        *many.columns, F.pmod(F.xxhash64(*many.columns), salts).alias("_salt"), F.lit(True).alias("_found")
+    )
+    repeated = one.join(hot, F.col(key) == F.col("_hot_key"), "left").select(
+        *one.columns,
+        F.col("_salts").isNotNull().alias("_is_hot"),
+        F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))).alias("_salt"),
+    )
+    met = dealt.join(repeated, [key, "_salt"], "right")
+    return met.where(F.col("_found").isNotNull() | ~F.col("_is_hot")).select(*columns)

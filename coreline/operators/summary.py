@@ -20,6 +20,7 @@ from coreline.functions.nullsafe import (
     sum_strict,
     weighted_mean,
 )
+from coreline.operators.joins import attach_group_total
 
 # policy -> (mean, standard deviation); N always counts all rows
 _POLICIES = {
@@ -136,10 +137,13 @@ def group_moments(df: DataFrame, keys, value: Column | str | None = None, **aggr
     ``value`` defaults to 1.
     """
     value = F.lit(1.0) if value is None else as_column(value)
+    # whole parts sum exactly, so a large mean keeps the digits of its fraction
+    whole = F.rint(value)
+    mean = F.try_divide(F.sum(whole), F.count(value)) + F.try_divide(F.sum(value - whole), F.count(value))
     return df.groupBy(*_keys(keys)).agg(
         n_rows().alias("m_rows"),
         F.count(value).alias("m_present"),
-        F.avg(value).alias("m_mean"),
+        mean.alias("m_mean"),
         F.var_pop(value).alias("m_var"),
         *[a.alias(name) for name, a in aggregates.items()],
     )
@@ -151,29 +155,33 @@ def merge_moments(moments: DataFrame, keys, scale: Column | str) -> DataFrame:
     Each row of ``moments`` is one inner group; ``scale`` is its constant.
     """
     scale = as_column(scale)
-    parts = moments.select(
-        *_keys(keys),
-        "m_rows",
-        F.when(scale.isNotNull(), F.col("m_present")).otherwise(0).alias("_k"),
-        (scale * F.col("m_mean")).alias("_m"),
-        (F.col("m_present") * scale * scale * F.col("m_var")).alias("_within"),
+    keys = _keys(keys)
+    k = F.when(scale.isNotNull(), F.col("m_present")).otherwise(0)
+    part = F.struct(
+        k.cast("double").alias("k"),
+        (scale * F.col("m_mean")).alias("m"),
+        (k * scale * scale * F.col("m_var")).alias("s"),
     )
-    k, m = F.col("_k"), F.col("_m")
-    merged = parts.groupBy(*_keys(keys)).agg(
-        F.try_divide(F.sum(k * m), F.sum(k)).alias("av"),
-        F.sum("_within").alias("_within"),
-        F.sum(k * m * m).alias("_square"),
+    parts = moments.select(*keys, "m_rows", F.when((k > 0) & F.col("m_mean").isNotNull(), part).alias("_part"))
+    # Deviations are taken from the plain mean of the inner groups, so that they are
+    # small beside the spread and no large squares cancel.
+    centred = attach_group_total(parts.withColumn("_m", F.col("_part.m")), keys, F.avg, "_m", "_centre")
+    centred = centred.withColumn("_d", F.col("_m") - F.col("_centre"))
+    k, d = F.col("_part.k"), F.col("_d")
+    merged = centred.groupBy(*keys).agg(
+        F.max("_centre").alias("_centre"),
         F.sum(k).alias("_k"),
+        F.sum(k * d).alias("_shift"),
+        (F.sum("_part.s") + F.sum(k * d * d)).alias("_square"),
         F.sum("m_rows").alias("n"),
     )
-    spread = F.col("_within") + F.col("_square") - F.col("_k") * F.col("av") * F.col("av")
+    shift = F.try_divide(F.col("_shift"), F.col("_k"))
+    spread = F.col("_square") - F.col("_shift") * shift
     return (
-        merged.withColumn(
-            "sd",
-            F.when(F.col("_k") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("_k") - 1))),
-        )
+        merged.withColumn("av", F.col("_centre") + shift)
+        .withColumn("sd", F.when(F.col("_k") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("_k") - 1))))
         .withColumn("se", standard_error("sd", "n"))
-        .select(*_keys(keys), "av", "sd", "n", "se")
+        .select(*keys, "av", "sd", "n", "se")
     )
 
 

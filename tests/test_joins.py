@@ -81,6 +81,39 @@ def test_many_to_one_equals_plain_join(spark, how):
     ]
 
 
+@pytest.mark.parametrize("least", [1, 20, 1000])
+def test_salted_right_join_equals_plain_join(spark, least, monkeypatch):
+    many, frame = skewed(spark)
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(0, 90, 2)] + [(None, "none")], "k int, v string")
+    monkeypatch.setattr(J, "HOT_KEYS", 10)
+    hot = J.hot_keys(many, "k", least)
+    assert hot is None or hot.count() <= 10
+    assert (hot is None) == (least == 1000)
+    want = rows(many.join(one, "k", "right").select("k", "x", "i", "v"), "i", "k")
+    got = rows(J.join_many_to_one(many, one, "k", "right", least_hot=least), "i", "k")
+    assert [(r["k"], r["x"], r["i"], r["v"]) for r in got] == [(r["k"], r["x"], r["i"], r["v"]) for r in want]
+
+
+def test_right_join_shuffles_the_many_side_once_and_splits_a_hot_key(spark):
+    many = spark.range(0, 60_000, 1, 8).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id AS x")
+    one = spark.range(0, 70_000, 1, 4).selectExpr("id AS k", "id % 5 AS v")
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for least in (1_000, 100_000):
+            out = J.join_many_to_one(many, one, "k", "right", least_hot=least)
+            text = plan(out)
+            assert text.count("Exchange hashpartitioning(k") == 2 and "SortMergeJoin" in text
+            assert ("_salt" in text) == (least == 1_000)
+            # 40,000 rows of own keys, 20,000 of key 7 beside its own, and keys without rows
+            assert out.count() == 60_000 + 70_000 - 40_000 - (7 % 3 == 0)
+            assert out.where("x IS NULL").count() == 70_000 - 40_000
+        dealt = J.hot_keys(many, "k", 1_000).first()
+        assert (dealt["_hot_key"], dealt["_salts"]) == (7, 21)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+
+
 def test_many_to_one_refuses_other_joins(spark):
     with pytest.raises(ValueError):
         J.join_many_to_one(spark.range(1), spark.range(1), "id", "full")

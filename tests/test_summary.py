@@ -82,6 +82,18 @@ def test_moments_equal_attaching_to_every_row(spark, seed):
     np.testing.assert_allclose([r["sd"] for r in got], want["std"], rtol=1e-8)
 
 
+@pytest.mark.parametrize("mean", [0.0, 1e6, 1e8, 1e9])
+def test_moments_keep_the_spread_beside_a_large_mean(spark, mean):
+    df = spark.range(100_000).selectExpr("id % 3 AS site", "id % 300 AS core", f"{mean!r}D + rand(5) AS p", "1.0D AS one")
+    moments = S.group_moments(df, ["site", "core"], "p", one=F.max("one"))
+    got = rows(S.merge_moments(moments, "site", "one"), "site")
+    frame = df.select("site", (F.col("p") - F.lit(mean)).alias("d")).toPandas()  # exact differences
+    want = frame.groupby("site")["d"].agg(["mean", "std"])
+    # beside 1e9 a double holds the fraction to 1e-7 only
+    np.testing.assert_allclose([r["sd"] for r in got], want["std"], rtol=2e-8 if mean > 1e8 else 1e-9)
+    np.testing.assert_allclose([r["av"] for r in got], mean + want["mean"], rtol=1e-12)
+
+
 def test_moments_with_nothing_present(spark):
     df = spark.createDataFrame([("s", "c", None, 1.0), ("s", "c", 2.0, None)],
                                "site string, core string, x double, p double")
