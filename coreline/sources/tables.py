@@ -60,25 +60,49 @@ class MissingColumns(ValueError):
     """A file lacks columns that it must have."""
 
 
+def header_groups(spark: SparkSession, path: str) -> list[list[str]]:
+    """The data files under ``path`` (a file, folder or pattern), grouped by their header line.
+
+    Only file names and the first line of each file are read, a small job a file; one
+    file needs none.
+    """
+    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    names = sorted(r["path"] for r in listed.collect())
+    if len(names) < 2:
+        return [[path]]
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        groups.setdefault(spark.read.text(name).first()["value"], []).append(name)
+    return list(groups.values()) if len(groups) > 1 else [[path]]
+
+
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], fields: dict, optional: Iterable[str] = ()
 ) -> DataFrame:
     """Read the listed columns by header name; unparsable numbers are NULL.
 
-    All files of one path have one header: a file with another one fails the
-    read, it is never taken by position.  Files of several headers are given as
-    a list of paths, each read by its own.  A column that is absent raises,
-    unless it is ``optional``: then it is left out, or NULL beside files that
-    have it.
+    Files of one folder may have different headers (other columns, another order):
+    they are grouped by header line, and each group is read by its own names in
+    one scan, never by position.  A list of paths is read path by path.  A column
+    that is absent from a file raises, unless it is ``optional``: then it is left out,
+    or NULL beside files that have it.
     """
     if not isinstance(path, str):
         parts = [read_csv(spark, p, fields, optional) for p in path]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    raw = spark.read.csv(path, header=True, nullValue="NA", enforceSchema=False)
+    groups = header_groups(spark, path)
+    parts = [_read_alike(spark, files, fields, optional) for files in groups]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return out.select(*[n for n in fields if n in out.columns])
+
+
+def _read_alike(spark: SparkSession, files: list[str], fields: dict, optional: Iterable[str]) -> DataFrame:
+    """Files with one header."""
+    raw = spark.read.csv(files, header=True, nullValue="NA", enforceSchema=False)
     present_fields = {n: f for n, f in fields.items() if f[0] in raw.columns}
     absent = sorted(fields[n][0] for n in set(fields) - set(present_fields) - set(optional))
     if absent:
-        raise MissingColumns(f"{path} has no column {', '.join(absent)}")
+        raise MissingColumns(f"{', '.join(files)} has no column {', '.join(absent)}")
     kinds = {n: _number if kind in ("double", "int") else _text for n, (_, kind) in present_fields.items()}
     return raw.select(*[kinds[n](F.col(f"`{source}`"), kind).alias(n) for n, (source, kind) in present_fields.items()])
 

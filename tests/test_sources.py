@@ -95,7 +95,7 @@ def test_bucketed_slices_are_grouped_by_core_without_a_shuffle(spark):
         assert a["total"] == b["total"] or abs(a["total"] - b["total"]) < 1e-9
 
 
-def test_files_of_two_headers_are_read_by_name(spark, tmp_path):
+def test_files_of_several_headers_are_read_by_name(spark, tmp_path):
     import pytest
 
     fields = {"low": ("Depth_from", "double"), "high": ("Depth_to", "double")}
@@ -108,8 +108,27 @@ def test_files_of_two_headers_are_read_by_name(spark, tmp_path):
     mixed.mkdir()
     for name in ("a", "b"):
         (mixed / f"{name}.csv").write_text((tmp_path / name / "x.csv").read_text())
-    with pytest.raises(Exception, match="CSV_HEADER|header"):
-        tables.read_csv(spark, str(mixed), fields).collect()
+    (mixed / "c.csv").write_text("Depth_to,Note,Depth_from\n15,x,10\nNA,y,15\n")
+    (mixed / "empty.csv").write_text("")
+    got = tables.read_csv(spark, str(mixed), fields)
+    assert rows(got, "low") == [
+        {"low": 0.0, "high": 5.0}, {"low": 5.0, "high": 10.0}, {"low": 10.0, "high": 15.0}, {"low": 15.0, "high": None},
+    ]
+    assert len(tables.header_groups(spark, str(mixed))) == 3
+    # a required column that one of the files lacks
+    (mixed / "d.csv").write_text("Depth_from\n99\n")
+    with pytest.raises(tables.MissingColumns, match="Depth_to"):
+        tables.read_csv(spark, str(mixed), fields)
+    kept = tables.read_csv(spark, str(mixed), fields, optional=["high"])
+    assert kept.columns == ["low", "high"] and kept.where("low = 99 AND high IS NULL").count() == 1
+
+
+def test_a_folder_of_one_header_is_one_scan(spark, tmp_path):
+    fields = {"low": ("Depth_from", "double")}
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"Depth_from\n{k}\n")
+    df = tables.read_csv(spark, str(tmp_path), fields)
+    assert plan(df).count("FileScan csv") == 1 and [r["low"] for r in rows(df, "low")] == [0.0, 1.0, 2.0]
 
 
 def test_absent_columns_raise(spark, tmp_path):
