@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from coreline.catalog.registry import query
 from coreline.catalog.sql_views import mean_se_sql, number_sql
 from coreline.constants import ESTABLISHED, REHABILITATED
-from coreline.functions.nullsafe import ifelse_na
+from coreline.functions.nullsafe import ifelse_na, sum_strict
 from coreline.operators import reshape
 from coreline.operators.joins import join_dim, join_many_to_one
 from coreline.operators.summary import mean_se
@@ -272,6 +272,29 @@ def join_core_plot(s):
     return join_many_to_one(plots, totals, s.key, "right")
 
 
+@query(
+    "core_no plant_c:8 slices:i deepest:2 total:8",
+    """SELECT p.core_no, any_value(plant_c) AS plant_c, count(r.core_no) AS slices,
+              max(depth_to) AS deepest, CASE WHEN count(*) = count(section_stock) THEN sum(section_stock) END AS total
+       FROM plants p LEFT JOIN raw_slices r ON p.core_no = r.core_no GROUP BY p.core_no""",
+)
+def join_saved_by_core(s):
+    """Every plot with the slices of its core, from tables saved by core: neither side is shuffled."""
+    plots = P.plot_carbon(s.plots()).select(s.key, "plant_c")
+    at = new_path(s.spark, "by-core")
+    slices, plots = tables.save_together(
+        s.raw_slices().select(s.key, "depth_to", "section_stock"), plots, s.key,
+        int(s.spark.conf.get("spark.sql.shuffle.partitions")), at.rsplit("/", 1)[1].replace("-", "_"), at,
+    )
+    met = plots.join(slices.withColumn("is_slice", F.lit(1)), s.key, "left")
+    return met.groupBy(s.key).agg(
+        F.first("plant_c").alias("plant_c"),
+        F.count("is_slice").alias("slices"),
+        F.max("depth_to").alias("deepest"),
+        sum_strict("section_stock").alias("total"),
+    )
+
+
 @query(
     "site site_type site_year horizon_cm:2 mar:4 mar_se:4 cores:i",
     """SELECT site, site_type, site_year, horizon_cm, mar, mar_se, count(core_no) AS cores

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coreline.functions.nullsafe import present, try_number
+from coreline.operators.joins import hot_keys
 
 # Column name here -> (column name in survey files, type)
 SLICE_FIELDS = {
@@ -146,11 +147,37 @@ def materialise(
     return df.sparkSession.read.parquet(path)
 
 
-def save_by_core(df: DataFrame, table: str, key: str, buckets: int, mode: str = "error") -> DataFrame:
-    """Save slices bucketed by core, so that grouping by core needs no shuffle.
+def save_by_core(
+    df: DataFrame, table: str, key: str, buckets: int, mode: str = "error", path: str | None = None
+) -> DataFrame:
+    """Save rows bucketed by core, so that grouping or joining by core needs no shuffle.
 
-    Each core lies in one bucket file.  Choose ``buckets`` so that a bucket is
-    a few hundred MB; keep a table with one dominating core unbucketed.
+    Rows are dealt to their buckets once, so that each bucket is one sorted file.
+    Tables of one ``key`` type and number of ``buckets`` meet without a shuffle.  Choose
+    ``buckets`` so that a bucket is a few hundred MB; keep a table with one dominating
+    core unbucketed (see :func:`save_together`).  ``path`` keeps the files outside the
+    warehouse.  Rows without a key lie in one bucket.
     """
-    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    writer = df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)
+
+
+def save_together(
+    many: DataFrame, one: DataFrame, key: str, buckets: int, name: str, path: str, least_hot: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Save rows and the side they are often joined with, so that joins by ``key`` shuffle neither.
+
+    A bucket is read by one task and can't be split.  So keys are counted first; where one
+    has more than a ten-thousandth of all rows of ``many`` (and ``least_hot``), both tables
+    are saved plain, and joins shuffle and split them adaptively.  The tables are called
+    ``{name}_many`` and ``{name}_one``, their files lie in folders of ``path``.
+    """
+    sides = {"many": many, "one": one}
+    if hot_keys(many, key, least_hot) is None:
+        return tuple(
+            save_by_core(df, f"{name}_{side}", key, buckets, path=f"{path}/{side}") for side, df in sides.items()
+        )
+    for side, df in sides.items():
+        df.write.option("path", f"{path}/{side}").saveAsTable(f"{name}_{side}")
+    return tuple(df.sparkSession.table(f"{name}_{side}") for side, df in sides.items())

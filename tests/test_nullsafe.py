@@ -125,31 +125,64 @@ def test_percent_of_zero_reference_is_missing(spark):
     assert percent_of(values(spark, 1.0), "x", ref).collect()[0].percent is None
 
 
+def two_sided_p(spark, *pairs):
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(pairs)], "i int, t double, df double")
+    return [r.p for r in df.select("i", tdist.t_two_sided_p("t", "df").alias("p")).orderBy("i").collect()]
+
+
+def quantile(spark, *pairs):
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(pairs)], "i int, p double, df double")
+    return [r.q for r in df.select("i", tdist.t_quantile("p", "df").alias("q")).orderBy("i").collect()]
+
+
 def test_t_probabilities(spark):
     # T, df and p of a published fit
-    assert abs(tdist.two_sided_p(2.973, 7.048) - 0.0206) < 5e-5
-    assert abs(tdist.two_sided_p(3.356, 7.002) - 0.0121) < 5e-5
-    assert abs(tdist.quantile(0.975, 10) - 2.228138851964939) < 1e-9
-    assert abs(tdist.quantile(0.975, 1e9) - 1.959963984540054) < 1e-6
-    assert abs(tdist.quantile(0.025, 10) + 2.228138851964939) < 1e-9
-    assert tdist.two_sided_p(0.0, 3.0) == 1.0
-    df = spark.createDataFrame([(2.0, 5.0), (None, 5.0), (1.0, -1.0)], "t double, df double")
-    got = [r.p for r in df.select(tdist.t_two_sided_p("t", "df").alias("p")).collect()]
-    assert abs(got[0] - 0.10193947) < 1e-7 and got[1:] == [None, None]
-
-
-def test_t_law_has_no_step_in_df():
+    got = two_sided_p(spark, (2.973, 7.048), (3.356, 7.002), (0.0, 3.0), (2.0, 5.0), (-2.0, 5.0))
+    assert abs(got[0] - 0.0206) < 5e-5 and abs(got[1] - 0.0121) < 5e-5
+    assert got[2] == 1.0 and abs(got[3] - 0.10193947) < 1e-7 and got[4] == got[3]
+    got = quantile(spark, (0.975, 10), (0.975, 1e9), (0.025, 10), (0.5, 3))
+    assert abs(got[0] - 2.228138851964939) < 1e-9
+    assert abs(got[1] - 1.959963984540054) < 1e-6
+    assert abs(got[2] + 2.228138851964939) < 1e-9
+    assert got[3] == 0.0
+
+
+def test_t_probabilities_of_odd_arguments(spark):
+    df = spark.createDataFrame([(None, 5.0), (1.0, -1.0), (1.0, 0.0), (1.0, None)], "t double, df double")
+    odd = [r.p for r in df.select(tdist.t_two_sided_p("t", "df").alias("p")).collect()]
+    assert odd == [None] * 4
+    nan = float("nan")
+    assert two_sided_p(spark, (nan, 5), (1, nan), (float("inf"), 2), (1e300, 3)) == [None, None, 0.0, 0.0]
+    assert quantile(spark, (0, 3), (1, 3), (nan, 3), (0.9, nan), (0.9, 0)) == [None] * 5
+    # far tails, and a law whose quantile no number holds
+    far = quantile(spark, (1e-300, 1e9), (1 - 1e-9, 1), (1 - 2**-53, 0.1))
+    assert abs(far[0] + 37.0471) < 1e-3 and abs(far[1] / 318309886.18 - 1) < 1e-6 and far[2] == float("inf")
+
+
+def test_t_law_of_few_degrees_matches_its_closed_forms(spark):
+    import math
+
+    ts = [1e-6, 0.1, 1.0, 7.5, 300.0, 1e6]
+    got = two_sided_p(spark, *[(t, 1) for t in ts], *[(t, 2) for t in ts])
+    cauchy = [2 / math.pi * math.atan2(1.0, t) for t in ts]
+    two = [2.0 / (math.sqrt(2.0 + t * t) * (math.sqrt(2.0 + t * t) + t)) for t in ts]
+    assert all(abs(a / b - 1) < 1e-12 for a, b in zip(got, cauchy + two, strict=True))
+
+
+def test_t_law_has_no_step_in_df(spark):
     import numpy as np
 
     df = np.geomspace(1e2, 1e12, 400)
-    for values in (tdist.two_sided_p(2.0, df), tdist.quantile(0.975, df)):
+    for values in (two_sided_p(spark, *[(2.0, x) for x in df]), quantile(spark, *[(0.975, x) for x in df])):
         assert (np.diff(values) <= 1e-12).all()
     # a normal law is reached, never switched to: the gap is (z**3 + z) / (4 df)
     z = 1.959963984540054
     large = np.geomspace(1e3, 1e8, 60)
-    np.testing.assert_allclose((tdist.quantile(0.975, large) - z) * large, (z**3 + z) / 4, rtol=0.01)
+    gap = np.array(quantile(spark, *[(0.975, x) for x in large])) - z
+    np.testing.assert_allclose(gap * large, (z**3 + z) / 4, rtol=0.01)
     # Exact quantiles for few degrees of freedom
-    np.testing.assert_allclose(tdist.quantile(0.975, [1.0, 2.0, 3.0]), [12.706204736432095, 4.302652729911275, 3.182446305284263])
+    exact = [12.706204736432095, 4.302652729911275, 3.182446305284263]
+    np.testing.assert_allclose(quantile(spark, (0.975, 1), (0.975, 2), (0.975, 3)), exact)
 
 
 def test_nan_counts_as_missing(spark):

@@ -7,7 +7,6 @@ import pytest
 from coreline.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-PROBABILITIES = {"model_table", "lmm_random_intercept", "ols_simple", "ols_band"}  # t distribution on result rows
 
 
 def plan(df):
@@ -23,7 +22,7 @@ def plans(spark):
         yield {
             name: plan(q(spark, FOLDER))
             for name, q in QUERIES.items()
-            if name not in PROBABILITIES and name not in ("sink_roundtrip", "scan_csv_files")
+            if name not in ("sink_roundtrip", "scan_csv_files", "join_saved_by_core")
         }
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
@@ -72,3 +71,14 @@ def test_scan_reads_only_needed_columns(plans):
 def test_horizon_stock_groups_without_another_shuffle(plans):
     keys = re.findall(r"Exchange hashpartitioning\((\w+)", plans["stock_to_horizon"])
     assert keys.count("core_no") == 2  # the two join sides; grouping by core reuses them
+
+
+def test_tables_saved_by_core_meet_without_a_shuffle(spark):
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["join_saved_by_core"](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    # neither the join nor the grouping after it
+    assert "SortMergeJoin [core_no" in text and "Exchange" not in text and text.count("Bucketed: true") == 2

@@ -95,6 +95,22 @@ def test_bucketed_slices_are_grouped_by_core_without_a_shuffle(spark):
         assert a["total"] == b["total"] or abs(a["total"] - b["total"]) < 1e-9
 
 
+def test_tables_with_a_hot_core_are_saved_plain(spark):
+    many = spark.createDataFrame([(k % 3 if k < 30 else 7, float(k)) for k in range(200)] + [(None, 0.5)], "k long, x double")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (9, "d")], "k long, name string")
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        for name, least, bucketed in (("hot_core", 50, False), ("cool_core", 500, True)):
+            slices, names = tables.save_together(many, one, "k", 3, name, new_path(spark, name), least)
+            met = slices.join(names.hint("merge"), "k")
+            assert ("Bucketed: true" in plan(met)) is bucketed and ("Exchange" in plan(met)) is not bucketed
+            want = many.join(one, "k")
+            assert sorted(map(tuple, met.collect())) == sorted(map(tuple, want.collect()))
+            assert slices.count() == 201 and names.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
 def test_files_of_several_headers_are_read_by_name(spark, tmp_path):
     import pytest
 
