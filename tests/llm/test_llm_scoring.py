@@ -220,6 +220,66 @@ def test_licenses_are_found(spark):
         licenses.scan_licenses(docs, [("short", "two words")])
 
 
+def places_by_hand(words, templates):
+    """Licenses with a place in a text, by plain Python: every window that holds enough, then the contest."""
+    found = []
+    for name, notice in templates:
+        pattern = re.compile(licenses.TELLING.get(name, ""))
+        told = [w.strip('.,;:()"').lower() for w in re.sub(r"and/or", "and or", notice).split()]
+        told = [w for w in told if w]
+        m = len(told) - 4
+        wanted = {tuple(told[i : i + 5]) for i in range(m)}
+        for i in range(max(1, len(words) - len(told) + 1)):
+            some = words[i : i + len(told)]
+            have = wanted & {tuple(some[k : k + 5]) for k in range(len(some) - 4)}
+            if 100 * len(have) >= 80 * len(wanted) and pattern.search(" ".join(some)):
+                found.append((name, i, i + len(some), len(have), len(have) / len(wanted)))
+    best = {name for name, *_ in found}
+    for name, a, b, n, share in found:
+        for other, c, d, k, closer in found:
+            rank, mine = (k, closer), (n, share)
+            if other != name and 2 * (min(b, d) - max(a, c)) >= min(b - a, d - c) and rank > mine:
+                best.discard(name)
+    return best
+
+
+def test_licenses_of_like_wording_are_told_apart(spark):
+    gpl = dict((n, t) for n, t in licenses.TEMPLATES)  # the longer notice of each
+    changed = gpl["GPL-3.0"].replace("version 3", "version 1")
+    opening = gpl["BSD"]
+    cases = [(name, gpl[name]) for name in gpl]
+    cases += [
+        (None, changed),  # a version that no template has
+        (None, gpl["GPL-3.0"].replace("GNU General", "GNU Simple General")),
+        (None, gpl["CC-BY-4.0"].replace("4.0", "2.0")),
+        (None, gpl["MPL-1.1"].replace("1.1", "1.0")),
+        (None, "Licensed under the Academic Free License version 3.0"),
+        (None, "This package is distributed under the same terms as the language itself, see the file COPYING for details."),
+        ("BSD", opening + " whatever comes next is up to you and your own lawyers"),
+    ]
+    rows = [(i, " ".join([f"w{i}x{k}" for k in range(30)] + text.split() + ["end"] * 9)) for i, (_, text) in enumerate(cases)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert native(got)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    assert found == {i: {name} for i, (name, _) in enumerate(cases) if name}
+    # plain Python agrees
+    for i, text in rows:
+        words = [w for w in (x.strip('.,;:()"').lower() for x in text.replace("and/or", "and or").split()) if w]
+        assert places_by_hand(words, licenses.TEMPLATES) == found.get(i, set()), cases[i]
+
+
+def test_licenses_beside_each_other_are_both_found(spark):
+    text = dict(licenses.TEMPLATES)
+    both = text["GPL-2.0"] + " " + text["LGPL-3.0"] + " " + text["MIT"] + " " + text["BSD-3-Clause"]
+    got = licenses.scan_licenses(spark.createDataFrame([(1, both), (None, both)], "doc_id long, text string")).collect()
+    for key in (1, None):
+        assert [r.license for r in sorted(got, key=lambda r: r.start_word) if r.doc_id == key] == [
+            "GPL-2.0", "LGPL-3.0", "MIT", "BSD-3-Clause",
+        ]
+
+
 # --- toxicity ----------------------------------------------------------------------
 
 
