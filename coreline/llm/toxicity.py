@@ -30,8 +30,10 @@ from coreline.llm.common import bounded_batches, slices, words_of
 BATCH_BYTES = 4 << 20
 #: Labelled rows that are learned from, at most (those with the smallest hash of their id).
 MOST_LABELLED = 8_000
-MOST_FEATURES = 4096
-LEAST_SHARE, LEAST_RATIO, SURE = 0.01, 12.0, 0.95
+#: Least likelihood ratio of a feature, as a chi-square.
+LEAST_RATIO = 12.0
+#: A feature that marks toxic texts alone in this share and so many of them sets a floor.
+SURE, SURE_TEXTS = 0.95, 8
 BUCKETS = 1 << 20
 
 #: Symbols of the letter model: 0 a word's edge, 1-26 a-z, 27-62 other letters, 63 the rest.
@@ -224,20 +226,26 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``text, toxic`` of labelled rows that may be learned from, ``most`` at most."""
+    """``text, toxic`` of labelled rows that may be learned from, ``most`` at most.
+
+    Of rows that repeat a doc_id, the least text counts, so no id brings more than one.
+    """
     known = labels.where(F.col("toxic").isNotNull() & ~_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def learn(labelled: DataFrame, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Chosen feature numbers in rising order, their weights, their floors, and the base.
 
-    Chosen is what occurs in at least ``LEAST_SHARE`` of the toxic texts (two at
-    least) and passes the likelihood ratio; a logistic regression weighs it.  The
-    floor of a frequent feature that nearly always marks a toxic text is the share
-    in which it does; others have none.
+    Chosen is what is likelier in toxic texts and whose likelihood ratio, as a
+    chi-square, passes ``LEAST_RATIO``; a logistic regression weighs it.  Neither the
+    rank nor the share of a feature counts, so a rare word passes once enough texts
+    bear it out, however many others there are.  The
+    floor of a feature that nearly always marks a toxic text (``SURE``, in
+    ``SURE_TEXTS`` of them at least) is the share in which it does; others have none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +280,7 @@ def learn(labelled: DataFrame, model) -> tuple[np.ndarray, np.ndarray, np.ndarra
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.nan_to_num(bad * np.log(bad / (n_bad * rate)) + np.where(good > 0, good * np.log(good / (n_good * rate)), 0))
     share = (bad + n_bad / (n_bad + n_good)) / (bad + good + 1)
-    telling = (bad >= max(2.0, LEAST_SHARE * n_bad)) & (bad / n_bad > good / n_good) & (2 * ratio > LEAST_RATIO)
-    chosen = np.flatnonzero(telling)
-    chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:MOST_FEATURES]])
+    chosen = np.flatnonzero((bad / n_bad > good / n_good) & (2 * ratio > LEAST_RATIO))
     inside = np.isin(flat, chosen)
     x, r = np.searchsorted(chosen, flat[inside]), row[inside]
     many = np.maximum(1, np.bincount(x, minlength=len(chosen)))
@@ -285,7 +291,7 @@ def learn(labelled: DataFrame, model) -> tuple[np.ndarray, np.ndarray, np.ndarra
         gain = np.bincount(x, error[r], len(chosen)) / many - 2e-3 * weights
         weights = np.maximum(weights + 0.25 * gain, 0)
         base += 0.5 * float(error.mean())
-    sure = (share >= SURE) & (bad >= max(8.0, 2 * LEAST_SHARE * n_bad))
+    sure = (share >= SURE) & (bad >= SURE_TEXTS)
     return chosen, weights, np.where(sure, share, 0)[chosen], base
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -333,9 +334,32 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got.values())
 
 
-def test_toxicity_edges(spark):
-    import zlib
+def test_every_sure_word_of_a_long_tail_is_learned(spark):
+    rng = random.Random(8)
+
+    def invented(size):
+        return "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(size))
+
+    plain, insults = [invented(3) for _ in range(400)], sorted({"qu" + invented(3) for _ in range(150)})
+    docs, marks = [], []
+    for k, word in enumerate(insults * 24):
+        docs.append((2 * k, " ".join(rng.choices(plain, k=12) + [word])))
+        docs.append((2 * k + 1, " ".join(rng.choices(plain, k=12))))
+        marks += [(2 * k, 1), (2 * k + 1, 0)]
+    # an id that many rows repeat counts once
+    docs += [(0, docs[0][1])] * 50
+    table, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    some = toxicity._labelled(table, labels, 10_000).collect()
+    assert len(some) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in marks)
+    # each word marks under 1 % of the toxic texts; ten that can be learned from suffice
+    ready = [sum(zlib.crc32(str(2 * k).encode()) % 3 != 1 for k in range(w, 24 * len(insults), len(insults))) for w in range(len(insults))]
+    got = toxicity.toxicity_scores(table, labels).where("held_out").collect()
+    assert not any(r.predicted for r in got if r.doc_id % 2) and len(got) > 2000
+    known = [r for r in got if r.doc_id % 2 == 0 and ready[r.doc_id // 2 % len(insults)] >= 10]
+    assert len(known) > 1000 and all(r.predicted for r in known)
 
+
+def test_toxicity_edges(spark):
     labels = spark.createDataFrame(
         [(1, 0, 1), (7, 1, 0), (None, 0, 1), (5, 0, None)], "doc_id long, quality int, toxic int"
     )
