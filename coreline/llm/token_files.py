@@ -84,7 +84,8 @@ def _sorted_parts(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: int)
     bounds = docs.agg(F.percentile_approx("doc_id", quantiles, 10 * parts)).first()[0] if quantiles else []
     edges = sorted(set(bounds or []))
     coded = token_stream(docs, tokenizer, end_id, zipped=True).select("doc_id", "n_tokens", "ids")
-    dealt = coded.withColumn("part", _place(edges)).repartition(parts, "part")
+    # a task for each part: a hash of part numbers would put several into one
+    dealt = coded.withColumn("part", _place(edges)).repartitionById(parts, F.col("part"))
     return dealt.sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
 
 
