@@ -7,6 +7,7 @@ tokenized once for each worker.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -160,6 +161,8 @@ _KEPT: dict[str, PieceEncoder] = {}
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each worker and vocabulary, kept between tasks."""
+    # Spark runs one task a core; the library's own threads would only compete with them
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _KEPT:
         _KEPT[path] = PieceEncoder(path)
     return _KEPT[path]
