@@ -11,7 +11,7 @@ from llm_data import SCHEMA, edge_docs, edge_rows, no_docs, random_docs, words
 
 import check
 from coreline.llm import licenses, toxicity, winnowing
-from coreline.llm.mixing import mix_report, mixed_documents
+from coreline.llm.mixing import blocks_won, lowest_winner, mix_report, mixed_documents
 from coreline.llm.queries import ORACLES, QUERIES
 from coreline.llm.repetition import keep_good, measure, quality_measures
 
@@ -130,6 +130,37 @@ def test_mix_meets_its_targets(spark):
     assert want["zz"] == 6 and want["empty"] == 0
 
 
+def plain_sainte_lague(shards):
+    seats = (sum(int(e * 1_000_000) for e, _, _ in shards) + 500_000) // 1_000_000
+    won = [0] * len(shards)
+    for _ in range(seats):
+        free = [i for i, (e, most, _) in enumerate(shards) if e > 0 and won[i] < most]
+        won[min(free, key=lambda i: (-shards[i][0] / (2 * won[i] + 1), shards[i][2]))] += 1
+    return won
+
+
+@pytest.mark.parametrize("most_ranked", [1, 6, 1 << 17])
+def test_blocks_go_to_the_highest_quotients(spark, most_ranked):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(most_ranked)
+    cases = [
+        [(rng.choice([0.4, 7.5, 29.99]) * rng.random(), 30) for _ in range(40)],
+        [(0.4, 1)] * 25 + [(3.0, 1)] * 2,
+        [(2.5, 3)] * 30 + [(0.0, 3)],
+        [(57.3, 60), (0.2, 3), (0.49, 3)],
+        [(0.1, 3)] * 3,
+    ]
+    for case in cases:
+        shards = [(e, most, f"{rng.getrandbits(128):032x}") for e, most in case]
+        df = spark.createDataFrame(shards, "e double, most long, tie string")
+        last = lowest_winner(df, most_ranked)
+        won = blocks_won(F.col("e"), F.col("most"), F.col("tie"), last).alias("won")
+        got = {r.tie: r.won for r in df.select("tie", won).collect()}
+        assert [got[t] for _, _, t in shards] == plain_sainte_lague(shards)
+    assert lowest_winner(spark.createDataFrame([], "e double, most long, tie string")) is None
+
+
 def test_mixed_documents_are_what_was_counted(spark):
     docs = spark.createDataFrame(
         [(i, t, f"s{i % 4}", 1, "p", len(t), "b") for i, t in random_docs(21, 200)] + edge_rows(), SCHEMA
