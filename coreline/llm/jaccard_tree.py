@@ -21,8 +21,10 @@
     intersected exactly, unless links found before connect them already.
 5.  Connected components of the links and classes name each document's group.
 
-A cluster of more than ``BLOCK_SHINGLES`` shingles is cut into blocks, and each
-pair of blocks is a task of its own, so no task holds a whole large cluster.
+Each edge of step 3 is compared first.  What that connects is a part of its
+cluster, and only sets of different parts are compared in step 4.  A cluster of
+more than ``BLOCK_SHINGLES`` shingles is cut into blocks, and each pair of blocks
+with different parts is a task of its own, so no task holds a large cluster.
 Records of steps 2 and 3 travel as sorted arrays, one for each task and hash range.
 """
 
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coreline.llm.common import bounded_batches, frozen, shares, slices, text_bytes
@@ -462,6 +464,60 @@ def _verified(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key, "block").mapInArrow(run, "a long, b long")
 
 
+def _star_work(edges: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows for ``_verified`` that compare both ends of each edge.
+
+    The members of a centre are dealt to groups of about ``BLOCK_SHINGLES``; the
+    centre's body goes to each group once.
+    """
+    sized = edges.join(near.select(F.col("d1").alias("b"), "n"), "b")
+    groups = sized.groupBy("a").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("groups"))
+    dealt = edges.join(groups, "a").withColumn("bi", F.pmod(F.xxhash64("b"), F.col("groups")) * 2)
+    dealt = dealt.select(F.col("a").alias("cluster"), "bi", (F.col("bi") + 1).alias("bj"), "b")
+    centres = dealt.select("cluster", "bi", "bj", F.col("bi").alias("block"), F.col("cluster").alias("d1")).distinct()
+    members = dealt.select("cluster", "bi", "bj", F.col("bj").alias("block"), F.col("b").alias("d1"))
+    return centres.unionByName(members).join(near.select("d1", "node", "body"), "d1")
+
+
+def _block_work(edges: DataFrame, near: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows for ``_verified`` that compare all sets of a cluster that ``first`` does not connect.
+
+    What ``first`` connects is a part.  A large part has blocks of its own, which
+    are not compared with each other; small parts share blocks, all of each part
+    in one.  A cluster of one part needs no comparison.
+    """
+    clusters = components(edges)
+    named = clusters.select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
+    centers = clusters.select(F.col("component").alias("d1"), F.col("component").alias("cluster")).distinct()
+    joined = components(first).select("node", "component")
+    placed = near.select("d1", "n", "node").join(named.unionByName(centers).distinct(), "d1").join(joined, "node", "left")
+    placed = frozen(placed.select("cluster", "d1", "n", F.coalesce("component", "node").alias("part")), "near-parts")
+    parts = placed.groupBy("cluster", "part").agg(F.sum("n").alias("weight"))
+    own = F.col("weight") >= BLOCK_SHINGLES
+    open_ones = parts.groupBy("cluster").agg(
+        F.count("*").alias("many"), F.sum(F.when(own, 0).otherwise(F.col("weight"))).alias("small")
+    )
+    parts = parts.join(open_ones.where("many > 1"), "cluster").select(
+        "cluster",
+        "part",
+        own.alias("own"),
+        F.when(own, F.col("part")).otherwise(0).alias("side"),
+        F.ceil(F.when(own, F.col("weight")).otherwise(F.col("small")) / BLOCK_SHINGLES).alias("blocks"),
+    )
+    dealt = F.xxhash64(F.when(F.col("own"), F.col("d1")).otherwise(F.col("part")))
+    work = placed.join(parts, ["cluster", "part"]).withColumn("place", F.pmod(dealt, F.col("blocks")))
+    key = ["cluster", "own", "side", "place"]
+    numbered = F.row_number().over(Window.partitionBy("cluster").orderBy(*key[1:]))
+    blocks = frozen(work.select(*key).distinct().withColumn("block", numbered), "near-blocks")
+    other = blocks.select("cluster", F.col("own").alias("own2"), F.col("side").alias("side2"), F.col("block").alias("other"))
+    pairs = blocks.join(other, "cluster").where("NOT own OR NOT own2 OR side <> side2")
+    meets = F.struct(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    pairs = pairs.groupBy(*key, "block").agg(F.collect_list(meets).alias("meets"))
+    work = work.join(pairs, key).select("cluster", "block", "meets", "d1").join(near.select("d1", "node", "body"), "d1")
+    work = work.withColumn("meets", F.explode("meets"))
+    return work.select("cluster", "meets.bi", "meets.bj", "block", "node", "d1", "body")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` and ``d1`` (a digest of the set) of every row of ``docs``.
 
@@ -494,21 +550,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     # one body for each set, however many rows have its id and text
     near = near.dropDuplicates(["node", "hash"]).select("d1", "n", "node", "body")
     near = frozen(near, "near-sets", "none")
-    clusters = components(_stars(_map_signatures(near, shingle, percent, width, buckets), width, buckets))
-    # every set that shares a signature with another, and its cluster
-    named = clusters.select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
-    centers = clusters.select(F.col("component").alias("d1"), F.col("component").alias("cluster")).distinct()
-    placed = near.select("d1", "n").join(named.unionByName(centers), "d1")
-    weights = placed.groupBy("cluster").agg(F.sum("n").alias("weight"), F.count("*").alias("many")).where("many > 1")
-    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES)
-    block = F.pmod(F.xxhash64("d1"), F.col("blocks"))
-    work = placed.join(weights, "cluster").withColumn("blocks", blocks).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    work = work.select("cluster", "blocks", "block", "d1").join(near.select("d1", "node", "body"), "d1")
-    work = work.withColumn("other", other).select(
-        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "d1", "body"
-    )
-    links = _verified(work, shingle, percent)
+    edges = frozen(_stars(_map_signatures(near, shingle, percent, width, buckets), width, buckets), "near-edges")
+    first = frozen(_verified(_star_work(edges, near), shingle, percent), "near-stars")
+    links = first.unionByName(_verified(_block_work(edges, near, first), shingle, percent))
     members = full.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("node <> rep")
     found = components(links.unionByName(members.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
     out = sets.join(found, "node", "left").select(
