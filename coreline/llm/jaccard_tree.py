@@ -6,14 +6,13 @@
     it.  A third of all shingles, chosen by hash, are counted over the table; a set
     goes on only if enough of its counted shingles occur in another set, were all
     it may lack among them.  Texts that merely share a passage stop here.
-3.  Candidate search loses no pair.  If two sets of at most u shingles have
-    Jaccard similarity of at least j, they differ in at most
-    d = 2u (1 - j) / (1 + j) shingles.  Shingles are dealt by hash to more than
-    d parts, so at least one part is the same in both sets.  Sets meet where
-    a part agrees; size ranges keep u near the set's own size, and a set also
-    enters the next range if a partner may stand there.  Agreeing sets are linked
-    to the smallest digest of their part, and connected components of those
-    edges are the candidate clusters.
+3.  Candidate search loses no pair.  A set that links with another one lacks at most
+    f = floor((1 - j) n) of its n shingles there.  All sets order shingles alike,
+    those of the fewest sets first, so the first shingle that a linked pair shares
+    is among the first f + 1 of either set.  Sets meet only at such a rare shingle:
+    a passage that many texts share is late in the order.  Sets that meet are
+    linked to the smallest digest there, and connected components of those edges
+    are the candidate clusters.
 4.  In a cluster, a signature tree holds the OR of its members' shingle bitmaps
     and their size range in every node.  Two trees (or one with itself) are
     traversed together; a pair of nodes whose largest possible overlap is too
@@ -23,7 +22,7 @@
 
 A cluster of more than ``BLOCK_SHINGLES`` shingles is cut into blocks, and each
 pair of blocks is a task of its own, so no task holds a whole large cluster.
-Records of steps 2 and 3 travel as sorted arrays, one for each task and hash range.
+Records of steps 2 and 3 travel as packed arrays, one for each task and hash range.
 """
 
 from __future__ import annotations
@@ -51,9 +50,10 @@ from coreline.llm.rolling import mixed
 from coreline.llm.shingles import shingle_sets
 
 BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
 COUNT_BYTES = 64 << 20
 SHARD_BYTES = 256 << 20
+#: Shingles of candidate sets that one task counts or orders.
+TASK_SHINGLES = 1 << 19
 #: One shingle in so many is counted.
 COUNTED = 3
 BLOCK_SHINGLES = 1 << 18
@@ -61,7 +61,7 @@ FANOUT = 8
 #: A NULL doc_id counts as the largest id.
 NO_ID = (1 << 63) - 1
 
-_C1, _C2, _C3 = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
+_C1, _C2 = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 
 
 def _digest(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,62 +74,10 @@ def _digest(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def _ranges(percent: int, most: int) -> np.ndarray:
-    """Lower ends of the size ranges, from the smallest set that can have an unequal partner."""
+def _least_size(percent: int) -> int:
+    """Shingles of the smallest set that can have an unequal partner."""
     # sets of n and n + 1 shingles, one inside the other, must pass
-    low = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))
-    out = [low]
-    while out[-1] <= most:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.25)))
-    return np.array(out, np.int64)
-
-
-def _parts(low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts of each size range and how many of them agree at least in a linked pair."""
-    differ = (2 * high * (100 - percent)) // (100 + percent)
-    agree = 4 + differ // 50
-    return differ + agree, agree
-
-
-def part_signatures(
-    values: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all parts of all sets, and the set each belongs to."""
-    bounds = _ranges(percent, int(sizes.max(initial=0)) * 100 // percent + 1)
-    home = np.searchsorted(bounds, sizes, side="right") - 1
-    out_sig, out_doc = [], []
-    for up in (0, 1):
-        at = home + up
-        low, high = bounds[np.maximum(at, 0)], bounds[np.minimum(np.maximum(at, 0) + 1, len(bounds) - 1)] - 1
-        # a partner in the next range is at most 100 / percent times as large
-        here = (home >= 0) & ((up == 0) | (sizes * 100 >= percent * low))
-        if not here.any():
-            continue
-        parts, agree = _parts(low, high, percent)
-        parts = np.where(here, parts, 0)
-        base = np.cumsum(parts) - parts
-        mine = here[owner]
-        doc, value = owner[mine], mixed(values[mine] ^ _C3)
-        slot = base[doc] + ((value >> np.uint64(33)) % parts[doc].astype(np.uint64)).astype(np.int64)
-        total = int(parts.sum())
-        # exact sums of 32-bit halves: a float holds integers up to 2**53
-        sums = [
-            np.bincount(slot, (half & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
-            for half in (mixed(value), mixed(value) >> np.uint64(32))
-        ]
-        full = np.bincount(slot, minlength=total) > 0
-        set_of = np.repeat(np.arange(len(sizes)), parts)
-        number = np.arange(total) - base[set_of]
-        empty = np.bincount(set_of[~full], minlength=len(sizes))
-        # all agreeing parts can be empty only where that many are
-        wanted = full | (empty >= agree)[set_of]
-        tag = mixed((at[set_of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + _C2)
-        sig = mixed(mixed(sums[0] + _C1) * _C2 + sums[1] + tag)
-        out_sig.append(sig[wanted])
-        out_doc.append(set_of[wanted])
-    if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_doc)
+    return next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))
 
 
 def _map_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -260,24 +208,74 @@ def _unzipped(bodies) -> pa.Array:
     return pa.array([unzip(x).decode() for x in bodies], pa.large_string())
 
 
-def _map_signatures(near: DataFrame, shingle: int, percent: int, width: int, buckets: int) -> DataFrame:
-    """Signatures of all sets by hash range.
+def _classes(sets: np.ndarray) -> np.ndarray:
+    """Order of shingles by the number of sets that hold them, in one byte; 0 where it is one set."""
+    return np.where(sets > 1, np.minimum(1 + np.floor(8 * np.log2(sets)), 255), 0).astype(np.uint8)
+
+
+def rare_keys(key: np.ndarray, name: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys at which a set can meet a linked one, and the set's name, from all keys of whole sets.
 
-    Signatures are cut to ``width`` bytes; those that meet by chance cost a
-    comparison and nothing else.
+    Keys of one set that are alike by chance count as often as they occur: then
+    those before the first common key are still shingles that the other set lacks.
     """
+    by = np.lexsort((key, order, name))
+    key, name, order = key[by], name[by], order[by]
+    _, first, n = np.unique(name, return_index=True, return_counts=True)
+    rank = np.arange(len(name)) - np.repeat(first, n)
+    wanted = (rank <= np.repeat(n * (100 - percent) // 100, n)) & (order > 0)
+    return key[wanted], name[wanted]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rare_shingles(near: DataFrame, shingle: int, percent: int, width: int, buckets: int) -> DataFrame:
+    """The shingles of all sets at which they can meet, by hash range.
+
+    Ranges of shingles count the sets of each; the counts go to groups of whole
+    sets, which choose.  Shingles are cut to ``width`` bytes; those that are alike
+    by chance cost a comparison and nothing else.
+    """
+    shift = np.uint64(64 - 8 * width)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "body", BATCH_BYTES // 4):
                 values, owner = shingle_sets(_unzipped(batch.column("body").to_pylist()), shingle)
-                sizes = np.bincount(owner, minlength=batch.num_rows)
                 d1, _ = _digest(values, owner, batch.num_rows)
-                sig, doc = part_signatures(values, owner, sizes, percent)
-                if found := _packed(sig, doc, d1, width, buckets):
+                if found := _packed(values, owner, d1, width, buckets):
                     yield found
 
-    return near.select("body").mapInArrow(run, _PACKED)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in rows_by_key(batches, "bucket"):
+            key, name, new = _unpacked(rows, width)
+            fresh = new.copy()
+            fresh[1:] |= name[1:] != name[:-1]
+            group = np.cumsum(new) - 1
+            order = _classes(np.bincount(group[fresh]))[group]
+            names, place = np.unique(name, return_inverse=True)
+            shard = (mixed(names.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[place]
+            by = np.argsort(shard, kind="stable")
+            found, at = np.unique(shard[by], return_index=True)
+            parts = np.split(by, at[1:])
+            columns = zip(*((*members_of(place[i], names), low_bytes(key[i], width), order[i].tobytes()) for i in parts), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
+                ["shard", "names", "member", "sig", "order"],
+            )
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in rows_by_key(batches, "shard"):
+            key = np.concatenate([from_low_bytes(r["sig"], width) for r in rows])
+            name = np.concatenate([member_ids(r["names"], r["member"]) for r in rows])
+            order = np.concatenate([np.frombuffer(r["order"], np.uint8) for r in rows])
+            key, name = rare_keys(key, name, order, percent)
+            names, place = np.unique(name, return_inverse=True)
+            if found := _packed(key << shift, place, names, width, buckets):
+                yield found
+
+    sent = near.select("body").mapInArrow(send, _PACKED)
+    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    counts = dealt.mapInArrow(count, "shard int, names binary, member binary, sig binary, order binary")
+    return counts.repartition(buckets, "shard").sortWithinPartitions("shard").mapInArrow(choose, _PACKED)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,8 +295,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _stars(signatures: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Edges ``a, b`` that connect the members of each signature.
+def _stars(meetings: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Edges ``a, b`` that connect the sets that meet at a shingle.
 
     Each hash range sends a spanning forest: no more edges than it has members.
     """
@@ -317,7 +315,7 @@ def _stars(signatures: DataFrame, width: int, buckets: int) -> DataFrame:
             if found := edges(rows):
                 yield found
 
-    dealt = signatures.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = meetings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -476,7 +474,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     table gives no rows.
     """
     size = text_bytes(bounded_batches(docs))
-    buckets, width = shares(size, BUCKET_BYTES), digit_bytes(size)
+    width = digit_bytes(size)
     sets = frozen(_map_sets(docs, shingle), "shingle-sets").select(
         "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "hash", "n", "counted", "d1", "d2"
     )
@@ -487,15 +485,15 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     classes = classes.select("d1", "d2", F.col("least.node").alias("rep"), F.col("least.hash").alias("hash"), "n", "counted")
     shared = _shared_counts(docs, shingle, width, shares(size, COUNT_BYTES), shares(size, SHARD_BYTES))
     lack = F.floor(F.col("n") * (100 - percent) / 100)
-    least = int(_ranges(percent, 1)[0])
-    near = classes.where(F.col("n") >= least).join(shared, "d1", "left")
+    near = classes.where(F.col("n") >= _least_size(percent)).join(shared, "d1", "left")
     near = near.where(F.coalesce("shared", F.lit(0)) >= F.col("counted") - lack)
     near = near.withColumnRenamed("rep", "node").join(_zipped(docs), ["node", "hash"])
     # one body for each set, however many rows have its id and text
     near = near.dropDuplicates(["node", "hash"]).select("d1", "n", "node", "body")
     near = frozen(near, "near-sets", "none")
-    clusters = components(_stars(_map_signatures(near, shingle, percent, width, buckets), width, buckets))
-    # every set that shares a signature with another, and its cluster
+    buckets = shares(near.agg(F.sum("n")).first()[0] or 0, TASK_SHINGLES)
+    clusters = components(_stars(_rare_shingles(near, shingle, percent, width, buckets), width, buckets))
+    # every set that meets another, and its cluster
     named = clusters.select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
     centers = clusters.select(F.col("component").alias("d1"), F.col("component").alias("cluster")).distinct()
     placed = near.select("d1", "n").join(named.unionByName(centers), "d1")

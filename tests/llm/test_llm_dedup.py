@@ -159,6 +159,56 @@ def test_copies_are_compared_once(spark, monkeypatch):
     assert seen == [2, 2]
 
 
+@pytest.mark.parametrize("percent, width", [(85, 8), (80, 1)])
+def test_linked_sets_meet_at_a_rare_key(percent, width):
+    from coreline.llm.jaccard_tree import _classes, rare_keys
+
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 1 << 63, 80, dtype=np.uint64)
+    sets = []
+    for n in range(50):
+        base = rng.integers(1, 1 << 63, 5 + 4 * n, dtype=np.uint64)
+        for _ in range(3):
+            own = np.where(rng.random(len(base)) < 0.03, rng.integers(1, 1 << 63, len(base), dtype=np.uint64), base)
+            sets.append(np.unique(np.concatenate([own, passage[: n if n % 2 else 0]])))
+    key = np.concatenate(sets) >> np.uint64(64 - 8 * width)
+    name = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    found, place = np.unique(key, return_inverse=True)
+    holders = np.bincount(np.unique(np.stack([place, name]), axis=1)[0])
+    keys, names = rare_keys(key, name, _classes(holders)[place], percent)
+    rare = [set(keys[names == i].tolist()) for i in range(len(sets))]
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                links += 1
+                assert rare[i] & rare[j]
+    assert links > 30
+
+
+def test_shared_passage_makes_no_cluster(spark, monkeypatch):
+    from coreline.llm import jaccard_tree
+
+    seen, verified = [], jaccard_tree._verified
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return verified(rows, *rest)
+
+    monkeypatch.setattr(jaccard_tree, "_verified", counted)
+    monkeypatch.setattr(jaccard_tree, "BLOCK_SHINGLES", 1000)
+    passage = " ".join(f"p{i}" for i in range(150))
+    rows = []
+    for k in range(30):  # pairs of near copies, all with one passage in half of their words
+        own = " ".join(f"w{k}x{i}" for i in range(150))
+        rows += [(2 * k, f"{passage} {own}"), (2 * k + 1, f"{passage} {own} end")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i // 2 * 2) for i, _ in rows}
+    # each body travels once; pairs of blocks of one large cluster sent it many times
+    assert seen == [len(rows)]
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 90)]
