@@ -11,11 +11,13 @@ Tokenizer A (byte-level BPE) reads a space and the text, B (sentencepiece with
 byte fallback) the text, before which it puts the space itself.  Special tokens'
 strings inside texts are plain text for both.
 
-Corpus-wide pair counts: texts are tokenized once.  A task keeps the links of
-about ``CHUNK_BYTES`` of text as numbers into the chunk's distinct pairs and
-writes both.  Pairs are summed over chunks, each B id's highest count is found,
-and a pair's count goes back to the chunks that hold it; a chunk meets its counts
-in one row.  No pair or document list passes through the driver or a broadcast.
+Corpus-wide pair counts: texts are tokenized once.  A task keeps each text's
+distinct links, and how often the text has them, as numbers into the distinct
+pairs of about ``CHUNK_BYTES`` of text and writes both; sums over links need no
+order.  Pairs are summed over chunks, each B id's highest count is found, and a
+pair's count goes back to the chunks that hold it; a chunk meets its counts in one
+row.  No pair or document list passes through the driver or a broadcast.  A reader
+holds a row group's rows at once, so one has ``GROUP_ROWS`` chunks at most.
 
 Results for odd input: NULL and empty texts, and texts whose joined A or B bytes
 differ from space and text (B reads U+2581 as a space), have no tokens: zeros and
@@ -41,8 +43,9 @@ from pyspark.sql import functions as F
 from coreline.llm.common import bounded_batches, byte_view, frozen, slices
 
 LANE = 1024
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 STEP_BYTES = 1 << 19
+GROUP_ROWS = 8
 _SPACE_MARK = "▁"
 
 
@@ -234,27 +237,40 @@ def _aligned(texts: pa.Array, coder_a: ByteLevel, coder_b: Pieces) -> tuple[dict
     return measures, a[at_a] << 32 | b[at_b]
 
 
+def _counted(links: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each text's distinct links: their numbers in ``pairs`` and times, how many each text has; ``pairs``, counts."""
+    pairs, numbers, counts = np.unique(links, return_inverse=True, return_counts=True)
+    base = max(len(pairs), 1)
+    keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * base + numbers, return_counts=True)
+    return keys % base, times, np.bincount(keys // base, minlength=len(sizes)), pairs, counts
+
+
 _CHUNK = (
-    "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-    "groups_sha256 array<string>, links binary, pairs array<long>, counts array<long>"
+    "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_distinct array<long>, "
+    "groups_sha256 array<string>, links binary, times binary, pairs array<long>, counts array<long>"
 )
 
 
 def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A row for each chunk of documents: measures, distinct pairs with their counts in
-    the chunk, and every link in order as the number of its pair (little-endian, 32 bits)."""
+    """A row for each chunk of documents: measures, distinct pairs with their counts in the
+    chunk, and each text's distinct links as the numbers of their pairs, with how often the
+    text has them (both little-endian, 32 bits)."""
 
-    def packed(parts: list[tuple[pa.Array, dict, np.ndarray]]) -> pa.RecordBatch:
+    def packed(parts: list[tuple[pa.Array, dict, tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
         ids = pa.concat_arrays([p[0] for p in parts])
-        pairs, links, counts = np.unique(
-            np.concatenate([p[2] for p in parts]), return_inverse=True, return_counts=True
-        )
+        pairs, place = np.unique(np.concatenate([p[2][3] for p in parts]), return_inverse=True)
+        counts = np.zeros(len(pairs), np.int64)
+        np.add.at(counts, place, np.concatenate([p[2][4] for p in parts]))
+        own = np.split(place, np.cumsum([len(p[2][3]) for p in parts])[:-1])
+        links = np.concatenate([at[p[2][0]] for at, p in zip(own, parts, strict=True)])
+        times = np.concatenate([p[2][1] for p in parts])
         columns = [pa.array([ids.to_pylist()], pa.list_(pa.int64()))]
         for key in ("n_a", "n_b", "n_groups"):
             columns.append(pa.array([np.concatenate([p[1][key] for p in parts])], pa.list_(pa.int64())))
+        columns.append(pa.array([np.concatenate([p[2][2] for p in parts])], pa.list_(pa.int64())))
         shas = [s for p in parts for s in p[1]["groups_sha256"]]
         columns.append(pa.array([shas], pa.list_(pa.string())))
-        columns.append(pa.array([links.astype("<u4").tobytes()], pa.binary()))
+        columns += [pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (links, times)]
         columns += [pa.array([x], pa.list_(pa.int64())) for x in (pairs, counts)]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -266,7 +282,7 @@ def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int =
         for batch in batches:
             for some in slices(batch, "text", STEP_BYTES):
                 measures, links = _aligned(some.column("text"), coder_a, coder_b)
-                parts.append((some.column("doc_id"), measures, links))
+                parts.append((some.column("doc_id"), measures, _counted(links, measures["n_groups"])))
                 held += pc.sum(pc.binary_length(some.column("text"))).as_py() or 0
                 if held >= chunk_bytes:
                     yield packed(parts)
@@ -280,7 +296,8 @@ def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int =
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every document."""
     numbered = F.monotonically_increasing_id().alias("part")
-    chunks = frozen(aligned_chunks(docs, path_a, path_b, chunk_bytes).select(numbered, "*"), "alignment")
+    chunks = aligned_chunks(docs, path_a, path_b, chunk_bytes).select(numbered, "*")
+    chunks = frozen(chunks, "alignment", group_rows=GROUP_ROWS)
     by_chunk = chunks.select("part", F.explode(F.arrays_zip("pairs", "counts")).alias("e")).select(
         "part", F.col("e.pairs").alias("pair"), F.col("e.counts").alias("n")
     )
@@ -299,21 +316,21 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = C
         .agg(F.array_sort(F.collect_list(F.struct("pair", "n", "best"))).alias("found"))
         .select("part", F.col("found.n").alias("n"), F.col("found.best").alias("best"))
     )
-    fields = "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"
+    fields = "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_distinct", "links", "times"
     met = chunks.select("part", *fields).join(back, "part", "left").select(*fields, "n", "best")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, n_a, n_b, groups, shas = (batch.column(c)[i].values for c in fields[:5])
-                links = np.frombuffer(batch.column("links")[i].as_py(), "<u4")
-                size = groups.to_numpy()
+                links, times = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u4") for c in fields[6:])
+                size = batch.column("n_distinct")[i].values.to_numpy()
                 count_sum = n_best = np.zeros(len(size), np.int64)
                 if len(links):
                     n = batch.column("n")[i].values.to_numpy(zero_copy_only=False)[links]
                     best = batch.column("best")[i].values.to_numpy(zero_copy_only=False)[links]
                     ends = np.cumsum(size)
-                    sums = [np.append(0, np.cumsum(x, dtype=np.int64)) for x in (n, best)]
+                    sums = [np.append(0, np.cumsum(x * times, dtype=np.int64)) for x in (n, best)]
                     count_sum, n_best = (s[ends] - s[ends - size] for s in sums)
                 yield pa.RecordBatch.from_arrays(
                     [ids, n_a, n_b, groups, groups, pa.array(n_best), pa.array(count_sum), shas],

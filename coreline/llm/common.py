@@ -33,14 +33,18 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def frozen(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def frozen(df: DataFrame, name: str, compression: str = "zstd", group_rows: int | None = None) -> DataFrame:
     """Write to the shared folder and read back.
 
     What follows sees one fixed set of rows, whichever executors are lost.
+    ``group_rows`` bounds the rows of a row group, for tables of long rows.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,20 @@
 import collections
 import hashlib
 import random
+import urllib.parse
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import SCHEMA, edge_docs, edge_rows, no_docs, random_docs
 from tokenizers import Tokenizer
 
-from coreline.llm.alignment import align_tokens, byte_letters, merge_ends
+from coreline.llm.alignment import align_tokens, aligned_chunks, byte_letters, merge_ends
+from coreline.llm.common import frozen
 
 A = public_tokenizers.path("byte_bpe_50k.json")
 B = public_tokenizers.path("piece_bpe_32k.model")
@@ -117,3 +120,35 @@ def test_arrow_strings_of_either_kind():
     for kind in (pa.string(), pa.large_string()):
         measures, links = _aligned(pa.array(["some text", None, ""], kind), ByteLevel(A), Pieces(B))
         assert measures["n_groups"].tolist()[1:] == [0, 0] and len(links) == measures["n_groups"][0] > 0
+
+
+def test_a_chunk_holds_each_link_of_a_text_once(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdenorst") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20_000))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = aligned_chunks(docs, A, B).select("n_groups", "n_distinct", "links", "times").collect()
+    assert sum(len(r.n_groups) for r in found) == len(rows)
+    for r in found:
+        links, times = np.frombuffer(r.links, "<u4"), np.frombuffer(r.times, "<u4")
+        assert len(links) == len(times) == sum(r.n_distinct) < sum(r.n_groups) / 20
+        at = 0
+        for n, distinct in zip(r.n_groups, r.n_distinct, strict=True):
+            own = slice(at, at + distinct)
+            assert len(set(links[own].tolist())) == distinct and times[own].sum() == n
+            at += distinct
+    assert got(align_tokens(docs, A, B)) == expected(rows)
+
+
+def test_long_tables_give_rows_and_row_groups_of_bounded_size(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeénorst") for _ in range(rng.randrange(2, 8))) for _ in range(9000)]
+    texts = [" ".join(rng.choice(words) for _ in range(600)) for _ in range(100)]
+    rows = [(i, texts[i % 100]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    most = aligned_chunks(docs, A, B).selectExpr("max(octet_length(links))").first()[0]
+    assert most <= 2 << 20
+    kept = frozen(spark.range(100).coalesce(1), "rows", group_rows=8)
+    assert kept.count() == 100
+    files = [pq.ParquetFile(urllib.parse.urlparse(f).path) for f in kept.inputFiles()]
+    assert max(f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 8
